@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .neardup import op1_minhash_near_dedup
 from .packing import op10_best_fit_packing
 from .secrets import op8_secret_scan
+from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
