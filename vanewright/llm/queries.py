@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .licenses import op9_license_scan
 from .neardup import op1_minhash_near_dedup
 from .packing import op10_best_fit_packing
+from .quality import op6_quality_divergence
 from .secrets import op8_secret_scan
 from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op6_quality_divergence": op6_quality_divergence,
     "op8_secret_scan": op8_secret_scan,
+    "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
