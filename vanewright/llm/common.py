@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import mmap
 import os
 import re
+import sys
 import tempfile
 import uuid
 
@@ -91,6 +93,10 @@ def open_store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: Mappings need no open file, and there can be thousands.
+_NO_FD = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
+
 def mapped(path: str, dtype) -> np.ndarray:
     """Memory-map a binary file of the shared folder; a remote one is fetched once to the executor's file root."""
     from pyarrow import fs
@@ -103,9 +109,10 @@ def mapped(path: str, dtype) -> np.ndarray:
             fs.copy_files(inner, part, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
             os.replace(part, local)
         inner = local
-    if os.path.getsize(inner) == 0:
-        return np.zeros(0, dtype)
-    return np.memmap(inner, dtype=dtype, mode="r")
+    with open(inner, "rb") as f:
+        if not os.fstat(f.fileno()).st_size:
+            return np.zeros(0, dtype)
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_NO_FD), dtype)
 
 
 def write_bytes(path: str, data) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import op9_license_scan
+from .lm import op3_kneser_ney
 from .neardup import op1_minhash_near_dedup
 from .packing import op10_best_fit_packing
 from .quality import op6_quality_divergence
@@ -11,6 +12,7 @@ from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_toxicity": op4_toxicity,
     "op6_quality_divergence": op6_quality_divergence,
     "op8_secret_scan": op8_secret_scan,
