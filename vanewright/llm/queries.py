@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op2_adaptive_scan
 from .licenses import op9_license_scan
 from .lm import op3_kneser_ney
 from .neardup import op1_minhash_near_dedup
@@ -12,6 +13,7 @@ from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_adaptive_scan": op2_adaptive_scan,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_toxicity": op4_toxicity,
     "op6_quality_divergence": op6_quality_divergence,
