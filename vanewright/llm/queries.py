@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .ann import op2_adaptive_scan
 from .licenses import op9_license_scan
+from .lines import OP5_SQL, op5_line_site_spread
 from .lm import op3_kneser_ney
+from .mixing import OP7_SQL, op7_hierarchical_mix
 from .neardup import op1_minhash_near_dedup
 from .packing import op10_best_fit_packing
 from .quality import op6_quality_divergence
@@ -16,9 +18,14 @@ QUERIES = {
     "op2_adaptive_scan": op2_adaptive_scan,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_toxicity": op4_toxicity,
+    "op5_line_site_spread": op5_line_site_spread,
     "op6_quality_divergence": op6_quality_divergence,
+    "op7_hierarchical_mix": op7_hierarchical_mix,
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_site_spread": OP5_SQL,
+    "op7_hierarchical_mix": OP7_SQL,
+}
