@@ -25,12 +25,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-REF = F.col("t") < F.lit("2024-01-11 00:00:00").cast("timestamp")
+def _ref():
+    return F.col("t") < F.lit("2024-01-11 00:00:00").cast("timestamp")
 
 
 def _z(spark: SparkSession, d: str) -> DataFrame:
     """Base z of the grid, as one fleet."""
-    return detectors.base_z(grid_long(spark, d).withColumn("fleet", F.lit("all")), REF, ["fleet"], "t")
+    return detectors.base_z(grid_long(spark, d).withColumn("fleet", F.lit("all")), _ref(), ["fleet"], "t")
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +39,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _detected(spark: SparkSession, d: str) -> DataFrame:
-    return detectors.detect(_scores(spark, d), ["fleet"], "t", REF, ~REF, F.lit(True), CFG)
+    return detectors.detect(_scores(spark, d), ["fleet"], "t", _ref(), ~_ref(), F.lit(True), CFG)
 
 
 SCORES = f"{BASE_Z}, s AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE z >= 1.5) / count(*) AS fs, count(*) FILTER (WHERE z >= 1.0) / count(*) AS fp, list_avg(list_slice(list_reverse_sort(list(z)), 1, 3)) AS top, max(z) AS zmax FROM z GROUP BY 1)"
@@ -66,7 +67,7 @@ def d00(spark: SparkSession, d: str) -> DataFrame:
 @query("d01_d03_row_detectors", f"WITH {DETECTED} SELECT {T}, round(st, 6) AS short_threshold, round(pt, 6) AS persistent_threshold, short_flag, intermittent_flag, persistent_flag FROM dd")
 def d01(spark: SparkSession, d: str) -> DataFrame:
     cfg = F.col("smooth_persistent") >= F.col("persistent_threshold") - 1e-12
-    x = _detected(spark, d).withColumn("persistent_flag", cfg & ~REF)
+    x = _detected(spark, d).withColumn("persistent_flag", cfg & ~_ref())
     return x.select(sec("t").alias("t"), r("short_threshold").alias("short_threshold"), r("persistent_threshold").alias("persistent_threshold"), "short_flag", "intermittent_flag", "persistent_flag")
 
 

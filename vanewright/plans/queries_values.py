@@ -23,7 +23,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-REF = F.col("t") < F.lit("2024-01-11 00:00:00").cast("timestamp")
+def _ref():
+    return F.col("t") < F.lit("2024-01-11 00:00:00").cast("timestamp")
 
 
 @query("p02_identifiers", "SELECT event_id, regexp_replace(trim(CAST(CAST(event_id AS VARCHAR) || '.0' AS VARCHAR)), '\\.0$', '') AS id, coalesce(CASE WHEN event_id % 7 > 0 THEN CAST(event_id AS VARCHAR) END, '') AS token FROM events")
@@ -168,14 +169,14 @@ def a03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a05_period_statistics", f"WITH {HOURLY}, x AS (SELECT *, CASE WHEN t < {REFERENCE} THEN 'before' ELSE 'after' END AS period FROM h) SELECT base, period, count(*) AS n_rows, count(value) AS n_valid, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(max(value) - min(value), 6) AS range, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, round(1 - count(value) / count(*), 6) AS missing_ratio, round(regr_slope(value, pos), 6) AS slope FROM x GROUP BY 1, 2")
 def a05(spark: SparkSession, d: str) -> DataFrame:
-    h = hourly(spark, d).withColumn("period", F.when(REF, "before").otherwise("after"))
+    h = hourly(spark, d).withColumn("period", F.when(_ref(), "before").otherwise("after"))
     out = stats.describe(h, ["base", "period"], "value", "pos")
     return out.select("base", "period", "n_rows", "n_valid", *(r(c).alias(c) for c in ("mean", "std", "min", "max", "range", "median", "q25", "q75", "missing_ratio", "slope")))
 
 
 @query("a06_period_comparison", f"WITH {HOURLY}, s AS (SELECT base, avg(value) FILTER (WHERE t < {REFERENCE}) AS a, avg(value) FILTER (WHERE t >= {REFERENCE}) AS b FROM h GROUP BY 1) SELECT base, round(a, 6) AS mean_before, round(b, 6) AS mean_after, round(b - a, 6) AS mean_diff, round(CASE WHEN abs(a) >= 1e-9 THEN (b - a) / abs(a) END, 6) AS mean_relative FROM s")
 def a06(spark: SparkSession, d: str) -> DataFrame:
-    h = hourly(spark, d).withColumn("period", F.when(REF, "before").otherwise("after"))
+    h = hourly(spark, d).withColumn("period", F.when(_ref(), "before").otherwise("after"))
     c = stats.compare_periods(stats.describe(h, ["base", "period"], "value"), ["base"], "period", "before", "after", ["mean"])
     return c.select("base", *(r(x).alias(x) for x in c.columns[1:]))
 
@@ -214,7 +215,7 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a14_adaptive_threshold", f"WITH {HOURLY} SELECT base, round(greatest(40, quantile_cont(value, 0.9) FILTER (WHERE t < {REFERENCE})), 6) AS threshold FROM h GROUP BY 1")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    return stats.adaptive_threshold(hourly(spark, d), ["base"], "value", 0.9, 40.0, REF).select("base", r("threshold").alias("threshold"))
+    return stats.adaptive_threshold(hourly(spark, d), ["base"], "value", 0.9, 40.0, _ref()).select("base", r("threshold").alias("threshold"))
 
 
 @query("a15_consensus", "SELECT event_id, CAST(least(1 + event_id % 9, greatest(CASE WHEN event_id % 9 = 0 THEN 1 ELSE 2 END, ceil((1 + event_id % 9) * 0.75))) AS INTEGER) AS need FROM events")
