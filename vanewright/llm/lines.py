@@ -60,10 +60,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     lines = _lines(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.element_at(F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")), 1))
-    changed = {"n_lines": F.size(lines), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)), text_col: text}
+    out = out.withColumns({"n_lines": F.size(lines), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)), text_col: text})
     if "n_chars" in columns:
-        changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.withColumns(changed).select(*columns, "n_lines", "n_removed")
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*columns, "n_lines", "n_removed")
 
 
 def op5_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
