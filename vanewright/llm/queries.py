@@ -8,6 +8,7 @@ from .lines import OP5_SQL, op5_line_site_spread
 from .lm import op3_kneser_ney
 from .mixing import OP7_SQL, op7_hierarchical_mix
 from .neardup import op1_minhash_near_dedup
+from .oracles import OP1_SQL, OP6_SQL
 from .packing import op10_best_fit_packing
 from .quality import op6_quality_divergence
 from .secrets import op8_secret_scan
@@ -26,6 +27,8 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1_SQL,
+    "op6_quality_divergence": OP6_SQL,
     "op5_line_site_spread": OP5_SQL,
     "op7_hierarchical_mix": OP7_SQL,
 }
