@@ -7,9 +7,10 @@
 2. Equal sets become one node, so exact copies cost one aggregated row, however many there are.
 3. Nodes that share a band key are candidates. A bucket's nodes are held against one pivot each (a star, linear in
    the bucket), whatever passes the size and Odd sketch tests is confirmed on the full sets, and linked nodes are
-   contracted. Buckets that still hold several components get further pivots, and at last every pair between
-   different components, in blocks of bounded size. So no link between candidates is lost, and a bucket with very
-   many copies is never expanded into its pairs.
+   contracted. Buckets that still hold several components are cut into blocks of bounded size which meet in pairs: the
+   sketches first tell which nodes have a partner in another component at all, then only these bring their texts, and
+   all their pairs are confirmed at once. A pair of blocks returns a spanning forest of its links. So no link between
+   candidates is lost, and a bucket with very many copies is never expanded into its pairs.
 4. Components come from alternating large-star and small-star steps on the confirmed links.
 """
 
@@ -32,7 +33,8 @@ BANDS, ROWS = 40, 6
 BITS = 512
 LANES = BITS // 64
 BLOCK = 256
-STAR_ROUNDS = 2
+#: Node ids up to which they are broadcast to pick out texts; beyond, texts are shuffled to meet them.
+BROADCAST_IDS = 500_000
 #: Odd sketch tests pass estimates down to this far below the threshold (about six standard deviations).
 MARGIN = 0.18
 
@@ -178,47 +180,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     keys = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("print")).where("pivot <> last")
     keys = keys.groupBy("size", "pivot", "last", "print").agg(F.min("key").alias("key")).select("key", "pivot")
     buckets = scratch.save(keyed.join(keys, "key"), "buckets")
-    members = scratch.save(docs.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id").distinct(), "texts")
+    ids = scratch.save(buckets.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    members = scratch.save(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").distinct(), "texts")
 
     most = most_differing(percent / 100 - MARGIN, bands * rows)
-    tried: list[DataFrame] = []
-    links: list[DataFrame] = []
 
     def side(name: str, table: DataFrame) -> DataFrame:
         return table.select(*(F.col(c).alias({"id": name, "doc_id": name}.get(c, f"{c}_{name}")) for c in table.columns))
 
-    def sketched(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(side("a", lanes), "a").join(side("b", lanes), "b")
-        differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(LANES)))
-        return p.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= most)).select("a", "b")
-
-    def link(pairs: DataFrame) -> None:
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "tried")
-        tried.append(pairs)
-        links.append(scratch.save(confirmed(pairs.join(side("a", members), "a").join(side("b", members), "b"), k, percent).distinct(), "links"))
-
-    def active() -> DataFrame:
-        """Rows of buckets that hold several components."""
-        comp = components(scratch, reduce(DataFrame.union, links))
-        now = buckets.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        ends = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high")
-        return scratch.save(now.join(ends, "key"), "active")
-
-    ordered = (F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    link(sketched(buckets.where("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).select(*ordered).distinct()))
-    open_ = active()
-    for _ in range(STAR_ROUNDS):
-        if open_.isEmpty():
-            break
-        pivots = open_.groupBy("key").agg(F.min(F.when(F.col("c") == F.col("low"), F.col("id"))).alias("p"), F.max(F.when(F.col("c") == F.col("high"), F.col("id"))).alias("q"))
-        stars = open_.join(pivots, "key").select("id", F.explode(F.array(F.when(F.col("c") != F.col("low"), F.col("p")), F.when(F.col("c") != F.col("high"), F.col("q")))).alias("y")).where("y is not null")
-        link(sketched(stars.select(F.col("id").alias("x"), "y").select(*ordered).distinct()))
-        open_ = active()
+    stars = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(LANES)))
+    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= most)
+    stars = scratch.save(stars.join(side("a", lanes), "a").join(side("b", lanes), "b").where(near).select("a", "b").distinct(), "stars")
+    links = scratch.save(confirmed(stars.join(side("a", members), "a").join(side("b", members), "b"), k, percent).distinct(), "links")
+
+    comp = components(scratch, links)
+    now = buckets.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    ends = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "low")
+    open_ = scratch.save(now.join(ends, "key"), "open")
+    final = comp
     if not open_.isEmpty():
-        link(across(open_, lanes, percent, most).distinct())
-    final = components(scratch, reduce(DataFrame.union, links))
+        more = scratch.save(across(scratch, open_, lanes, members, k, percent, most).distinct(), "more")
+        final = components(scratch, links.union(more))
 
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     rest = sig.where("digest is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -226,40 +210,116 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def across(open_: DataFrame, lanes: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs between different components of a bucket that pass the size and sketch tests.
+def across(scratch: Scratch, open_: DataFrame, lanes: DataFrame, members: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+    """Confirmed links (a, b) between different components of a bucket, as a spanning forest for each pair of blocks.
 
     A bucket's first component is kept apart from the rest, both are cut into blocks of about BLOCK rows, and blocks
-    meet in pairs; blocks within the first component don't meet. So a task holds two blocks at most, and work is
+    meet in pairs; blocks within the first component don't meet. So a task holds two blocks at a time, and work is
     linear in the large component.
     """
     rest = F.col("c") != F.col("low")
     sizes = open_.groupBy("key").agg(F.count(F.when(rest, 1)).alias("outer"), F.count(F.when(~rest, 1)).alias("inner"))
     cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     rows = open_.join(sizes, "key").select("key", "id", "c", rest.alias("rest"), cut("outer").alias("no"), cut("inner").alias("ni"))
-    block = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("no")).otherwise(F.col("ni"))).cast("int")
-    rows = rows.withColumn("block", block)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("no")).otherwise(F.col("ni"))).cast("int"))
     other_rest = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(F.least("block", i).alias("i"), F.greatest("block", i).alias("j")))
     with_inner = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.struct(F.col("block").alias("i"), (-1 - i).alias("j")))
     to_outer = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j")))
     dealt = rows.select("key", "id", "c", F.explode(F.when(F.col("rest"), F.concat(other_rest, with_inner)).otherwise(to_outer)).alias("at"), "rest", "block")
     dealt = dealt.join(lanes, "id").select("key", "at.i", "at.j", "rest", "block", "id", "c", "n", "odd")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left = pdf[pdf["rest"] & (pdf["block"] == i)]
-        right = pdf[~pdf["rest"]] if j < 0 else pdf[pdf["rest"] & (pdf["block"] == j)]
-        found = []
-        if len(left) and len(right):
-            odd = np.vstack(right["odd"].to_numpy()).view(np.uint64)
-            n, c, ids = (right[x].to_numpy(np.int64) for x in ("n", "c", "id"))
-            for one in left.itertuples():
-                near = (c != one.c) & (100 * np.minimum(n, one.n) >= percent * np.maximum(n, one.n))
-                near &= np.bitwise_count(odd ^ np.asarray(one.odd, np.int64).view(np.uint64)).sum(axis=1) <= most
-                found += [(max(one.id, x), min(one.id, x)) for x in ids[near].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    def partners(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows that have a partner by size and sketch."""
+        x, y, _ = candidates(pdf, percent, most)
+        return pdf.iloc[np.unique(np.concatenate([x, y]))]
+
+    kept = dealt.groupBy("key", "i", "j").applyInPandas(partners, dealt.schema)
+    kept = scratch.save(kept, "partners").join(members.withColumnRenamed("doc_id", "id"), "id")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, z = candidates(pdf, percent, most)
+        sets = [shingles(t, k) for t in pdf["text"]]
+        ids = pdf["id"].to_numpy(np.int64)
+        found = forest(sets, pdf["c"].to_numpy(np.int64), x, y, z, percent)
+        return pd.DataFrame([(max(ids[p], ids[q]), min(ids[p], ids[q])) for p, q in found], columns=["a", "b"]).astype("int64")
+
+    return kept.groupBy("key", "i", "j").applyInPandas(verify, "a long, b long")
+
+
+def candidates(pdf: pd.DataFrame, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers (x, y) of the pairs of two blocks that lie in different components and pass the size and sketch
+    tests, with the number of differing bits."""
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    rest, block = pdf["rest"].to_numpy(bool), pdf["block"].to_numpy()
+    left = np.flatnonzero(rest & (block == i))
+    right = np.flatnonzero(~rest) if j < 0 else np.flatnonzero(rest & (block == j))
+    if not len(left) or not len(right):
+        return (np.zeros(0, np.int64),) * 3
+    odd = np.vstack(pdf["odd"].to_numpy()).astype(np.int64).view(np.uint64)
+    n, c = pdf["n"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
+    differ = np.zeros((len(left), len(right)), np.int32)
+    for lane in range(odd.shape[1]):
+        differ += np.bitwise_count(odd[left, lane][:, None] ^ odd[right, lane][None, :])
+    small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+    ok = (c[left][:, None] != c[right][None, :]) & (100 * small >= percent * large) & (differ <= most)
+    p, q = np.nonzero(ok)
+    x, y, z = left[p], right[q], differ[p, q]
+    once = x < y if i == j else np.ones(len(x), bool)
+    return x[once], y[once], z[once]
+
+
+def forest(sets: list[np.ndarray], comp: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, over components, of the pairs whose sets are similar enough.
+
+    Few pairs are intersected one by one, the likeliest first, and pairs that are joined already are passed over. For
+    many, all intersection sizes come from products of 0/1 matrices over the elements that two sets share at all.
+    """
+    names, root = np.unique(comp, return_inverse=True)
+    parent = np.arange(len(names))
+
+    def find(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    size = np.array([len(s) for s in sets], np.int64)
+    if len(x) > 2000:
+        rows, inverse = np.unique(np.concatenate([x, y]), return_inverse=True)
+        flat = np.concatenate([sets[r] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), size[rows])
+        _, element, count = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = count[element] > 1
+        column = (np.cumsum(count > 1) - 1)[element[shared]]
+        owner = owner[shared]
+        by = np.argsort(column, kind="stable")
+        column, owner = column[by], owner[by]
+        both = np.zeros((len(rows), len(rows)), np.float32)
+        width = 4096
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [at, at + width])
+            m = np.zeros((len(rows), width), np.float32)
+            m[owner[a:b], column[a:b] - at] = 1
+            both += m @ m.T
+        xi, yi = inverse[: len(x)], inverse[len(x) :]
+        common = both[xi, yi].astype(np.int64)
+        good = 100 * common >= percent * (size[x] + size[y] - common)
+        x, y, checked = x[good], y[good], True
+    else:
+        order = np.argsort(z, kind="stable")
+        x, y, checked = x[order], y[order], False
+    out = []
+    for p, q in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = find(root[p]), find(root[q])
+        if a == b:
+            continue
+        if not checked:
+            common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            if 100 * common < percent * (len(sets[p]) + len(sets[q]) - common):
+                continue
+        parent[max(a, b)] = min(a, b)
+        out.append((p, q))
+    return out
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
