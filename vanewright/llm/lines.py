@@ -56,7 +56,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     hits = several.join(found, ["h1", "h2"]).where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
     gone = scratch.save(hits.where("doc is not null").groupBy("doc").agg(F.collect_set("pos").alias("gone")), "gone")
     columns = docs.columns
-    out = docs.join(gone.withColumnsRenamed({"doc": "_doc", "gone": "_gone"}), F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
+    # always by a shuffle: a broadcast of the places would not hold at every size
+    out = docs.join(gone.withColumnsRenamed({"doc": "_doc", "gone": "_gone"}).hint("merge"), F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
     lines = _lines(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.element_at(F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")), 1))
