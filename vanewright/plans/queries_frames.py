@@ -193,6 +193,13 @@ def p27(spark: SparkSession, d: str) -> DataFrame:
     return n.select("event_id", F.round("nearest_hours", 5).alias("nearest_hours"))
 
 
+@query("p27_nearest_interval_all")
+def p27_all(spark: SparkSession, d: str) -> DataFrame:
+    """p27 over every span; its SQL and p27_nearest_interval hold the first 2,000 events only."""
+    n = intervals.nearest_hours(spans(spark, d), windows(spark, d), ["user_id"], ("start", "end"), ("w_start", "w_end"), ["event_id"])
+    return n.select("event_id", F.round("nearest_hours", 5).alias("nearest_hours"))
+
+
 @query("a16_union_hours", f"WITH {SPANS}, p AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans WHERE e > s), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM p), m AS (SELECT user_id, (epoch_us(max(e)) - epoch_us(min(s))) / 3.6e9 AS h, count(*) AS n FROM g GROUP BY user_id, grp) SELECT user_id, CAST(sum(n) AS BIGINT) AS n_intervals, count(*) AS n_merged, round(max(h), 5) AS max_hours, round(sum(h), 5) AS total_hours FROM m GROUP BY 1")
 def a16(spark: SparkSession, d: str) -> DataFrame:
     u = intervals.union_hours(spans(spark, d), ["user_id"], "start", "end")
@@ -217,6 +224,14 @@ def j07(spark: SparkSession, d: str) -> DataFrame:
     return c.select("event_id", F.col("w_id").alias("parent"))
 
 
+@query("j07_containment_parent_all")
+def j07_all(spark: SparkSession, d: str) -> DataFrame:
+    """j07 over every span; its SQL and j07_containment_parent hold every fifth event only."""
+    p = windows(spark, d).withColumnsRenamed({"w_start": "p_start", "w_end": "p_end"})
+    c = intervals.contained_parent(spans(spark, d), p, ["user_id"], "event_id", ["w_label", "p_start"])
+    return c.select("event_id", F.col("w_id").alias("parent"))
+
+
 @query("j08_buffered_anti_join", f"WITH {CLIPPED} SELECT event_id FROM spans WHERE NOT EXISTS (SELECT 1 FROM win WHERE win.user_id = spans.user_id AND e >= w_s - INTERVAL 6 HOUR AND s <= w_e + INTERVAL 6 HOUR) AND EXISTS (SELECT 1 FROM win WHERE win.user_id = spans.user_id)")
 def j08(spark: SparkSession, d: str) -> DataFrame:
     b = F.expr("interval 6 hours")
@@ -262,6 +277,13 @@ def t05(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", ranking.by_priority(F.col("a"), ["error", "signup", "purchase"]).alias("main"))
 
 
+@query("t05_primary_detector_all")
+def t05_all(spark: SparkSession, d: str) -> DataFrame:
+    """t05 over every event; its SQL and t05_primary_detector hold every fortieth event only."""
+    s = events(spark, d, "user_id", "event_type").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
+    return s.select("user_id", ranking.by_priority(F.col("a"), ["error", "signup", "purchase"]).alias("main"))
+
+
 @query("t06_spaced_selection")
 def t06(spark: SparkSession, d: str) -> DataFrame:
     return ranking.spaced(events(spark, d, "event_id", "user_id", "value", "ts"), ["user_id"], "value", "ts", "event_id", 24, 5)
