@@ -57,3 +57,29 @@ def test_primary_detector(spark, small):
     want = {u: next((k for k in ("error", "signup", "purchase") if k in kinds), min(kinds)) for u, kinds in seen.items()}
     got = catalog.QUERIES["t05_primary_detector_all"](spark, d).collect()
     assert {r["user_id"]: r["main"] for r in got} == want and len(got) == len(want)
+
+
+def test_exclusion_hull(spark, small):
+    d, rows = small
+    errors = {}
+    for _, u, kind, t in rows:
+        if kind == "error":
+            errors.setdefault(u, []).append(t)
+    far = lambda u, t: u not in errors or not min(errors[u]) - 12 * HOUR <= t <= max(errors[u]) + 12 * HOUR
+    want = sorted(i for i, u, kind, t in rows if kind == "error" or far(u, t))
+    got = sorted(r["event_id"] for r in catalog.QUERIES["p23_exclusion_hull_all"](spark, d).collect())
+    assert got == want and any(u % 10 for i, u, _, _ in rows if i in want)
+
+
+def test_own_context(spark, small):
+    d, rows = small
+    want = {}
+    for i, u, s, e in spans(rows):
+        near = min(((gap(s, e, a, z), w, a, z) for w, v, _, a, z in windows(rows) if v == u), default=None)
+        if near is None:
+            want[i] = (None, "none", None)
+        else:
+            g, w, a, z = near
+            want[i] = (w, "overlapping" if min(e, z) > max(s, a) else "before" if e <= a else "after", round(g / HOUR, 5))
+    got = catalog.QUERIES["j11_own_context_all"](spark, d).collect()
+    assert len(got) == len(rows) and {r["event_id"]: (r["nearest"], r["position"], r["distance_hours"]) for r in got} == want

@@ -95,6 +95,13 @@ def p23(spark: SparkSession, d: str) -> DataFrame:
     return baselines.exclusion_hull(e, ["user_id"], "ts", "y", 12).select("event_id")
 
 
+@query("p23_exclusion_hull_all")
+def p23_all(spark: SparkSession, d: str) -> DataFrame:
+    """p23 over every user; its SQL and p23_exclusion_hull hold every tenth user only."""
+    e = events(spark, d, "event_id", "user_id", "ts", "event_type").withColumn("y", (F.col("event_type") == "error").cast("int"))
+    return baselines.exclusion_hull(e, ["user_id"], "ts", "y", 12).select("event_id")
+
+
 def _episodes(spark: SparkSession, d: str) -> DataFrame:
     return spans(spark, d).select("user_id", F.col("start").alias("ep_start"), F.col("end").alias("ep_end"), F.col("event_type").alias("families"))
 
@@ -150,4 +157,10 @@ def j11c(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("c_id").alias("event_id"), F.col("event_id").alias("nearest"), "position", F.round("distance_hours", 5).alias("distance_hours"))
 
 
-
+@query("j11_own_context_all")
+def j11c_all(spark: SparkSession, d: str) -> DataFrame:
+    """j11 over every span; its SQL and j11_own_context hold every eleventh event only."""
+    c = spans(spark, d).select("user_id", F.col("event_id").alias("c_id"), "start", "end")
+    e = windows(spark, d).select("user_id", F.col("w_id").alias("event_id"), F.col("w_start").alias("e_start"), F.col("w_end").alias("e_end"))
+    o = fusion.own_context(c, e, ["user_id"], "c_id")
+    return o.select(F.col("c_id").alias("event_id"), F.col("event_id").alias("nearest"), "position", F.round("distance_hours", 5).alias("distance_hours"))
