@@ -119,6 +119,44 @@ def test_licenses(spark):
     assert licenses.scan_licenses(odd(spark)).count() == 16 and licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def shortest(parts):
+    """The shortest texts of a parsed regex, one for each choice of branches."""
+    texts = [""]
+    for op, arg in parts:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(x) if str(o) == "LITERAL" else "1" for o, x in arg]
+        elif op == "BRANCH":
+            more = [t for branch in arg[1] for t in shortest(branch)]
+        elif op == "SUBPATTERN":
+            more = shortest(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [t * arg[0] for t in shortest(arg[2])] if arg[0] else [""]
+        else:
+            assert op == "ASSERT"
+            more = [""]
+        texts = [a + b for a in texts for b in more]
+    return texts
+
+
+def test_shortest_license_matches_pass_the_gates():
+    for keyword, regex, _, _ in licenses.rules():
+        for t in shortest(re._parser.parse(regex)):
+            t = t.strip()
+            assert re.search(regex, f" {t} ") and keyword in t, (keyword, t)
+            for gap in (" ", "-" * 60, " \n" * 40):
+                assert re.search(licenses.PREFILTER, t.upper().replace(" ", gap)), (keyword, t)
+
+
+def test_licenses_by_rare_words(spark):
+    texts = ["CC" + " " * 41 + "BY", "cc |" + "-\n" * 50 + "| by", "distributed under the 3-Clause BSD", "MIT No Attribution", "Unauthorised copying is prohibited", "submit according to the bylaw"]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[x["label"] for x in r["base"]] for r in rows[:2]] == [["cc-by"]] * 2 and rows[0]["base"][0]["first"] == 0
+    assert [[x["label"] for x in r["found"]] for r in rows[2:]] == [["bsd-3-clause"], ["mit-0"], ["proprietary"], []]
+
+
 def test_license_base_against_plain(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: (r["n_words"], sorted((x["first"], x["label"]) for x in r["base"])) for r in licenses.scan_licenses(docs).collect()}
