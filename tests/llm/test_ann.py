@@ -42,3 +42,23 @@ def test_hot_list_is_dealt_in_parts(spark, monkeypatch):
     rows = [(i, (np.ones(8) if i % 3 else rng.normal(size=8)).tolist()) for i in range(301)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probe_share=1.0).where("query_id = 50").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 4, 5, 7]
+
+
+def test_repeated_neighbour_leaves_room(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_LISTS", 1)
+    rng = np.random.default_rng(3)
+    rows = [(50, [1.0, 0.0])] + [(1, [1.0, 1e-3 * j]) for j in range(12)] + [(1, [1.0, 0.0])] * 8 + [(i, [1.0, 0.1 * i]) for i in range(2, 9)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probe_share=1.0).where("query_id = 50").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and got[0]["score"] == 1.0
+
+
+def test_equal_vectors_give_the_smallest_ids():
+    rng = np.random.default_rng(4)
+    for n in (5, 7, 101, 255, 700):
+        for dim in (3, 64, 127):
+            v, q = rng.normal(size=dim), rng.normal(size=dim)
+            ids = rng.permutation(np.arange(1, n + 1))
+            queries = ann.pd.DataFrame({"query_id": [50], "embedding": [q]})
+            got = ann.search_part(ids, np.tile(v, (n, 1)) * 2.0 ** rng.integers(0, 3, size=(n, 1)), queries, np.eye(dim), 5, ann.EPSILON)
+            assert [i for _, i, _ in got] == [1, 2, 3, 4, 5]

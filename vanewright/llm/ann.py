@@ -101,30 +101,55 @@ def scan(query: np.ndarray, rotated: np.ndarray, k: int, worst: float, tail: np.
     return alive
 
 
+def distinct(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray], dict[int, list[int]]]:
+    """Distinct vectors, the k + 1 smallest vec_ids of each, and the vectors of each vec_id.
+
+    Equal vectors score the same and ties go to the smaller vec_id, so no other vec_id of a vector is among the best k
+    for its sake, with the query's own vec_id left out.
+    """
+    rows, inverse = np.unique(vectors, axis=0, return_inverse=True)
+    pairs = np.unique(np.column_stack([inverse.ravel(), ids]), axis=0)
+    held = np.split(pairs[:, 1], np.flatnonzero(np.diff(pairs[:, 0])) + 1)
+    of: dict[int, list[int]] = {}
+    for u, i in pairs.tolist():
+        of.setdefault(i, []).append(u)
+    return rows, [h[: k + 1] for h in held], of
+
+
 def search_part(ids: np.ndarray, vectors: np.ndarray, queries: pd.DataFrame, rotation: np.ndarray, k: int, epsilon: float) -> list[tuple[int, int, float]]:
-    """(query, vec_id, cosine) of the best k of one part for each query."""
-    original = unit(vectors)
+    """(query, vec_id, exact cosine) of the best k vec_ids of one part for each query.
+
+    Products of whole blocks differ in their last bits between equal rows: everything within that rounding of the k-th
+    is kept until the exact cosine has ranked it.
+    """
+    rows, held, of = distinct(ids, vectors, k)
+    original = unit(rows)
     rotated = original @ rotation
     dim = rotated.shape[1]
+    rounding = 16 * (dim + 16) * np.finfo(np.float64).eps
     tail = np.r_[1.0, (1 + epsilon / np.sqrt(np.arange(1, dim + 1))) ** 2]
     out = []
     exact = unit(np.vstack(queries["embedding"].to_numpy()))
     for row, one in enumerate(queries.itertuples()):
         q = exact[row]
         turned = q @ rotation
-        best: list[tuple[float, int]] = []  # (cosine, -vec_id), the worst first
-        worst = np.inf
-        for at in range(0, len(ids), 256):
+        best: dict[int, float] = {}  # cosine by vec_id, of all within the rounding of the k-th
+        least, worst = -np.inf, np.inf
+        for at in range(0, len(rows), 256):
             alive = scan(turned, rotated[at : at + 256], k, worst, tail) + at
-            alive = alive[ids[alive] != one.query_id]
-            for c, i in zip((original[alive] @ q).tolist(), ids[alive].tolist(), strict=True):
-                if len(best) < k:
-                    heapq.heappush(best, (c, -i))
-                elif (c, -i) > best[0]:
-                    heapq.heapreplace(best, (c, -i))
-            if len(best) == k:
-                worst = max(0.0, 2 - 2 * best[0][0]) + 1e-9
-        out += [(one.query_id, -i, c) for c, i in best]
+            score = original[alive] @ q
+            near = score >= least
+            for u, c in zip(alive[near].tolist(), score[near].tolist(), strict=True):
+                for i in held[u].tolist():
+                    if i != one.query_id and c > best.get(i, -np.inf):
+                        best[i] = c
+            if len(best) >= k:
+                kth = heapq.nlargest(k, best.values())[-1]
+                least, worst = kth - rounding, max(0.0, 2 - 2 * kth) + 1e-9
+                best = {i: c for i, c in best.items() if c >= least}
+        known = {u: cosine(one.embedding, rows[u]) for u in {u for i in best for u in of[i]}}
+        ranked = sorted((-max(known[u] for u in of[i]), i) for i in best)
+        out += [(one.query_id, i, -c) for c, i in ranked[:k]]
     return out
 
 
@@ -189,12 +214,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, probe_share: float
         if len(left) and len(right):
             found = search_part(left["vec_id"].to_numpy(np.int64), np.vstack(left["embedding"].to_numpy()), right, index.value.rotation, k, epsilon)
         pdf = pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        if len(pdf):
-            mine, other = dict(zip(right["query_id"], right["embedding"], strict=True)), {}
-            for i, v in zip(left["vec_id"], left["embedding"], strict=True):
-                other.setdefault(i, []).append(v)
-            pdf["score"] = [max(cosine(mine[q], v) for v in other[i]) for q, i in zip(pdf["query_id"], pdf["vec_id"], strict=True)]
-        return pdf.drop_duplicates(["query_id", "vec_id"])
+        return pdf
 
     key = ("list", "salt", "block")
     found = salted.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(find, "query_id long, vec_id long, score double")
