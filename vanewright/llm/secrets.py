@@ -25,6 +25,9 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make their line a sensitive context for the novelty measure.
 CONTEXT_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "credential", "private", "signature", "akia", "key=", "key:")
+#: What may stand between a separator and the end of its line: an opening quote, bracket or block mark.
+_OPENING = "\"'`([{|>\\"
+_TEXT = re.compile(r"\S")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 _WORDS = """access account action address admin algorithm alias amount api app application archive array async attribute auth
 author backend batch binary block body boolean branch buffer build byte cache callback category certificate channel char check class
@@ -79,9 +82,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def carried(low: str, hits: set[int]) -> list[int]:
+    """Starts of the lines in a sensitive context: ``hits``, the next line with text after one that ends in a separator,
+    and all lines from a BEGIN mark in a hit to the next END mark, or to the end of the text if there is none."""
+    lines, reach = set(hits), 0
+    for start in sorted(hits):
+        end = low.find("\n", start)
+        line = low[start:] if end < 0 else low[start:end]
+        to = 0
+        if (begin := line.rfind("-----begin ")) >= 0 and "-----end " not in line[begin:]:
+            if start < reach:
+                continue
+            mark = low.find("-----end ", start)
+            to = reach = len(low) if mark < 0 else mark
+        elif line.rstrip().rstrip("+-").rstrip(_OPENING).rstrip().endswith((":", "=")) and (value := _TEXT.search(low, start + len(line))):
+            to = value.end()
+        while 0 <= end < to:
+            lines.add(end + 1)
+            end = low.find("\n", end + 1)
+    return sorted(lines)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, ratio: float, window: int) -> list[tuple[int, int, int]]:
-    """Strings of 16 or more characters on a line with a context word, outside base spans, that cost at least
-    ``ratio`` bytes a character beyond what the ``window`` characters on both sides and the dictionary explain."""
+    """Strings of 16 or more characters in a sensitive context, outside base spans, that cost at least ``ratio`` bytes
+    a character beyond what the ``window`` characters on both sides and the dictionary explain. The context is a line
+    with a context word and what ``carried`` adds to it; nothing but the cost decides."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change length: fold ASCII only
         low = text.encode("utf-32-le").decode("utf-32-le").translate({c: c + 32 for c in range(65, 91)})
@@ -93,7 +118,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, r
             end = low.find("\n", at)
             at = low.find(w, end) if end >= 0 else -1
     out = []
-    for start in sorted(hits):
+    for start in carried(low, hits):
         end = low.find("\n", start)
         end = len(low) if end < 0 else end
         for m in _CANDIDATE.finditer(text, start, end):
@@ -101,8 +126,6 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, r
             if any(x < b and a < y for x, y, _ in base):
                 continue
             s = m[0]
-            if not any(c.isdigit() for c in s) or len(set(s)) < 8:
-                continue
             around = text[max(0, a - window) : a] + text[b : b + window]
             if novelty.cost(s, around) >= ratio * len(s):
                 out.append((a, b, 3))
