@@ -1,9 +1,11 @@
 """Queries over all events against brute force, where the SQL of their namesakes holds only a part of the ids."""
 
 import datetime as dt
+import inspect
 
 import pytest
 
+from vanewright.operators import ml
 from vanewright.plans import catalog
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -83,3 +85,11 @@ def test_own_context(spark, small):
             want[i] = (w, "overlapping" if min(e, z) > max(s, a) else "before" if e <= a else "after", round(g / HOUR, 5))
     got = catalog.QUERIES["j11_own_context_all"](spark, d).collect()
     assert len(got) == len(rows) and {r["event_id"]: (r["nearest"], r["position"], r["distance_hours"]) for r in got} == want
+
+
+def test_votes_use_the_folds_and_repeats_of_the_operator(spark, monkeypatch):
+    how = inspect.signature(ml.nested_cv)
+    monkeypatch.setattr(ml, "nested_cv", lambda *a, **k: how.bind(*a, **k))
+    used = catalog.QUERIES["m01_logistic_votes"](spark, "/root/testdata/sf0.001")
+    used.apply_defaults()
+    assert (used.arguments["splits"], used.arguments["repeats"]) == (5, 5)

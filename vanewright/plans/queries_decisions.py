@@ -282,4 +282,4 @@ def m01(spark: SparkSession, d: str) -> DataFrame:
 
     x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
     x = x.select("doc_id", F.col("toxic").alias("label"), F.log1p("n_chars").alias("f0"), F.col("quality").cast("double").alias("f1"), (F.col("lang") == "en").cast("double").alias("f2"))
-    return nested_cv(x, "doc_id", "label", ["f0", "f1", "f2"], splits=2, repeats=1)
+    return nested_cv(x, "doc_id", "label", ["f0", "f1", "f2"])
