@@ -43,6 +43,44 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score_toxicity(empty(spark), toxicity.fit_toxicity(docs, labels.where("false"))).count() == 0
 
 
+def plain_logit(m, text):
+    """The forward pass word by word."""
+    seq = [list(r) for r in toxicity.tokens(text).tolist()] or [[m.buckets] * toxicity.PARTS]
+    x = [sum(m.emb[i].astype(float) for i in r) for r in seq] + [np.zeros(m.dim)] * (max(m.widths) - 1)
+    pooled = [max(sum(float(x[p + o] @ taps[o][:, f]) for o in range(len(taps))) for p in range(len(seq))) for taps in m.taps for f in range(m.filters)]
+    return float(np.maximum(np.array(pooled) + m.bias, 0) @ m.out + m.base)
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    m = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    some = docs.where("doc_id < 40").union(odd(spark).select("doc_id", "text", "lang").where("length(text) < 1000"))
+    a, b = m.scale
+    for r in toxicity.score_toxicity(some, m).collect():
+        assert abs(r["toxicity"] - 1 / (1 + math.exp(-(a * plain_logit(m, r["text"]) + b)))) < 1e-4
+
+
+def test_toxicity_sample_bounds(spark):
+    long = "blarg " * 5000
+    rows = [(i, long if i % 2 else "fine words here", "en") for i in range(40)] + [(1, long, "en")] * 30 + [(1, "another text of one", "en")] + [(None, long, "en"), (2, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    scratch = toxicity.Scratch(spark, "t")
+    got = toxicity.labelled_sample(docs, labels, scratch, 1000, 10**9).collect()
+    assert len(got) == 41 and sorted(r["doc_id"] for r in got).count(1) == 2 and {r["toxic"] for r in got if r["doc_id"] == 1} == {1}
+    assert toxicity.labelled_sample(docs, labels, scratch, 10, 10**9).count() == 10
+    few = toxicity.labelled_sample(docs, labels, scratch, 1000, 12_000).collect()
+    assert 0 < len(few) < 40 and sum(len(r["text"].split()) for r in few) <= 12_000
+
+
+def test_toxicity_fit_stops_by_the_held_back_loss(monkeypatch):
+    losses = iter([0.5, 0.3, 0.2999, 0.2998, 0.1])
+    monkeypatch.setattr(toxicity, "log_loss", lambda *a: next(losses))
+    t = [toxicity.tokens("a b c"), toxicity.tokens("d e f")]
+    toxicity.TextCNN().fit(t, np.array([0.0, 1.0]), t, np.array([0.0, 1.0]))
+    assert next(losses) == 0.1
+
+
 def test_toxicity_batches_equal_single_texts():
     m = toxicity.TextCNN()
     t = [toxicity.tokens(x) for x in ("", "a", "a b", "one two three four", "x " * 50)]
