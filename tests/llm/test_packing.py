@@ -12,9 +12,18 @@ from tests.llm.fixtures import empty, odd
 from vanewright.llm import packing
 
 SF = "/root/testdata/sf0.001"
-ENCODER = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+ENCODER = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
 PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-PLAIN.encode_special_tokens = True
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "hello", "x", "\n", "<|", "endoftext", "|>", "\0", "."]), max_size=8).map("".join))
+def test_added_tokens_have_their_ids(text):
+    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_the_added_token_between_words():
+    assert np.frombuffer(ENCODER.encode(["hello <|endoftext|> x"])[0], "<u4").tolist() == [31373, 220, 50256, 2124]
 
 
 @settings(max_examples=300, deadline=None)

@@ -10,9 +10,12 @@ third of all documents does not meet in one task.
 
 from __future__ import annotations
 
-import base64
 import itertools
+import os
+import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,76 +28,79 @@ from .common import Scratch, read
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
+#: Marks that are tokens' own pre-tokens when they follow a letter.
+MARKS = ".,;:!?"
+_CUT = re.compile(r"(?= \S)")
+#: Spaces that are no place to cut.
+_SPACES = re.compile(r" (?:\s|\Z)")
 RANK_BUCKETS = 256
 
 
 class ChunkEncoder:
-    """Byte-level BPE ids of whole texts, by cached space-led chunks.
+    """Byte-level BPE ids of whole texts by the ``tokenizers`` library, which sees each distinct chunk once.
 
-    In this vocabulary's pre-tokenisation a token never spans the place before a single space that stands between
-    two non-blank characters, so a text is the concatenation of its chunks' ids. Texts with other spacing (runs
-    that include a space, leading or trailing spaces) are encoded whole. ``encode`` returns little-endian uint32.
+    In this vocabulary's pre-tokenisation a token never spans the place before a space with a non-blank behind it, and
+    what stands before that place is cut alike with and without what follows. So a text is the concatenation of the ids
+    of its chunks between such places, and those are cached. Texts that hold an added token's string (which has the id
+    of that token) are encoded whole. ``encode`` returns little-endian uint32.
     """
 
-    def __init__(self, rank_file: str, pattern: str, entries: int = CACHE_ENTRIES):
-        import tiktoken
+    def __init__(self, tokenizer_file: str, entries: int = CACHE_ENTRIES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores out
+        from tokenizers import Tokenizer
 
-        with open(rank_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.newline = ranks[b"\n"]
-        self._encode = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._tokenizer = Tokenizer.from_file(tokenizer_file)
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self.entries = entries
-        self.cache: dict[str, bytes | None] = {}
+        self.cache: dict[str, bytes] = {}
+        self._marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        got = [array("I", x.ids) for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in got:
+                x.byteswap()
+        return [x.tobytes() for x in got]
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self._encode(text), dtype="<u4").tobytes()
+        return self._ids([text])[0]
+
+    def _chunks(self, text: str) -> list[str] | None:
+        if "\0" in text or any(x in text for x in self._added):
+            return None
+        return _CUT.split(text) if _SPACES.search(text) else text.replace(" ", "\0 ").split("\0")
 
     def _learn(self, new: set[str]) -> None:
-        joint = []
+        alone, marked, cache = set(), [], self.cache
         for c in new:
-            if c[:1] == " ":
-                parts = c.split()
-                if len(parts) == 1 and len(c) > 1 and not c[1].isspace() and not c[-1].isspace():
-                    joint.append(c)
-                else:  # a lone space or a run with a space in it has to be seen with its surroundings
-                    self.cache[c] = self.whole(c) if len(c) > 1 and not c[1].isspace() else None
-            else:
-                self.cache[c] = self.whole(c) if c else None
-        if joint:
-            ids = np.asarray(self._encode("\n".join(joint)), dtype="<u4")
-            cuts = np.flatnonzero(ids == self.newline)
-            starts, ends = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
-            data = ids.tobytes()
-            self.cache.update(zip(joint, map(data.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True))
+            if c[-1:] in self._marks and c[-2:-1].isalpha():
+                marked.append(c)
+                c = c[:-1]
+            alone.add(c)
+        items = list(alone - cache.keys())
+        for at in range(0, len(items), 10_000):
+            cache.update(zip(part := items[at : at + 10_000], self._ids(part), strict=True))
+        cache.update((c, cache[c[:-1]] + self._marks[c[-1]]) for c in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace(" ", "\0 ").split("\0") if t and "\0" not in t else None for t in texts]
+        split = [self._chunks(t) for t in texts]
         new = set(itertools.chain.from_iterable(x for x in split if x is not None)) - self.cache.keys()
         if len(self.cache) + len(new) > self.entries:
             self.cache.clear()
             new = set(itertools.chain.from_iterable(x for x in split if x is not None))
         self._learn(new)
-        out, get = [], self.cache.__getitem__
-        for t, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                out.append(self.whole(t) if t else b"")
-                continue
-            try:
-                out.append(b"".join(map(get, chunks)))
-            except TypeError:
-                out.append(self.whole(t))
-        return out
+        get = self.cache.__getitem__
+        return [self.whole(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, split, strict=True)]
 
 
-_encoders: dict[tuple[str, str], ChunkEncoder] = {}
+_encoders: dict[str, ChunkEncoder] = {}
 
 
-def _encoder(rank_file: str, pattern: str) -> ChunkEncoder:
-    key = (rank_file, pattern)
-    if key not in _encoders:
-        _encoders[key] = ChunkEncoder(*key)
-    return _encoders[key]
+def _encoder(tokenizer_file: str) -> ChunkEncoder:
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = ChunkEncoder(tokenizer_file)
+    return _encoders[tokenizer_file]
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[int]:
@@ -105,12 +111,12 @@ def pieces_of(ids: bytes, capacity: int) -> list[int]:
     return [zlib.crc32(ids[a:b]) for a, b in itertools.pairwise(cuts)]
 
 
-def tokenized(docs: DataFrame, capacity: int, end_id: int, rank_file: str, pattern: str) -> DataFrame:
+def tokenized(docs: DataFrame, capacity: int, end_id: int, tokenizer_file: str) -> DataFrame:
     """(doc_id, n_tokens, crcs): the length with the end id and the checksum of each piece."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(rank_file, pattern)
+        encoder = _encoder(tokenizer_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # bounds what is held as chunks at once
                 part = batch.slice(at, 500)
@@ -168,21 +174,22 @@ def _two_for(left: np.ndarray, room: int, beaten: int) -> tuple[int, int] | None
     return (int(have[best]), int(other[best])) if sums[best] > beaten else None
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_file: str | None = None) -> DataFrame:
     """Place every document's token pieces: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     A document's ids end with ``end_id``; a longer one than ``capacity`` is cut so that only its first piece can be
     short. Null or empty texts consist of the end id. Rows with the same doc_id are packed one by one; rows with a
     null doc_id too, and keep the null. An empty table gives an empty result. Further columns are ignored.
-    ``rank_file`` is the vocabulary as ranks (the same ids as the tokenizer file of that name).
+    ``tokenizer_file`` is a byte-level vocabulary of the ``tokenizers`` library (its path on every executor). The
+    string of one of its added tokens in a text has that token's id.
     """
-    if rank_file is None or pattern is None:
+    if tokenizer_file is None:
         import public_tokenizers
 
-        rank_file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        tokenizer_file = public_tokenizers.path("byte_bpe_50k.json")
     scratch = Scratch(docs.sparkSession, "packing")
-    items = scratch.save(tokenized(docs, capacity, end_id, rank_file, pattern), "items")
-    items = items.select("doc_id", "n_tokens", "crcs", (F.col("n_tokens") % capacity).cast("int").alias("tail"), F.floor(F.col("n_tokens") / capacity).alias("n_full"), F.pmod(F.xxhash64("doc_id", "n_tokens", F.col("crcs")[0]), F.lit(RANK_BUCKETS)).cast("int").alias("bucket"))
+    items = scratch.save(tokenized(docs, capacity, end_id, tokenizer_file), "items")
+    items = items.select("doc_id", "n_tokens", "crcs", (F.col("n_tokens") % capacity).cast("int").alias("tail"), F.floor(F.col("n_tokens") / capacity).alias("n_full"), F.pmod(F.xxhash64("doc_id", "n_tokens", "crcs"), F.lit(RANK_BUCKETS)).cast("int").alias("bucket"))
     groups = scratch.save(items.groupBy("tail", "bucket").agg(F.count("*").alias("g_rows"), F.sum("n_full").alias("g_full")), "groups")
     # at most `capacity` rows, whatever the input
     histogram = {r["tail"]: (r["n"], r["full"]) for r in groups.groupBy("tail").agg(F.sum("g_rows").alias("n"), F.sum("g_full").alias("full")).collect()}
