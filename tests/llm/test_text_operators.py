@@ -96,6 +96,39 @@ def test_lines_odd_rows(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def plain_lines(rows, least=3):
+    """What each distinct row keeps, by dictionaries."""
+    sites, first = collections.defaultdict(set), {}
+    blanks = " \t\n\x0b\x0c\r"
+    at = {}
+    for r in set(rows):
+        for k, x in enumerate((r[1] or "").split("\n")):
+            if key := x.strip(blanks):
+                sites[key].add(r[2] or "")
+                at.setdefault(key, []).append((r[0] is not None, r[0] or 0, k, r))
+    for key, places in at.items():
+        low = min(p[:3] for p in places)
+        first[key] = [p[2:] for p in places if p[:3] == low]
+    keep = {}
+    for r in set(rows):
+        kept = [x for k, x in enumerate((r[1] or "").split("\n")) if len(sites[x.strip(blanks)]) < least or not x.strip(blanks) or (k, r) in first[x.strip(blanks)]]
+        keep[r] = None if r[1] is None else "\n".join(kept)
+    return keep
+
+
+def test_lines_of_repeated_and_null_ids(spark, monkeypatch):
+    hot = "a line that stands nearly everywhere"
+    rows = [(7, "first\n" + hot, "s0"), (7, "UNIQUE LINE OF SECOND ROW\n" + hot + "\nend", "s1"), (7, "first\n" + hot, "s0"), (None, hot + "\nnull one", "s2"), (None, "null two\n" + hot, "s3"), (None, None, "s4")]
+    rows += [(i, f"own {i}\n{hot}\npair {i // 2}\nfew {i // 3}", f"s{i}") for i in range(10, 40)]
+    want = plain_lines(rows)
+    for common in (lines.COMMON, 1):
+        monkeypatch.setattr(lines, "COMMON", common)
+        got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        before = {(r[0], r[2], k): r for k, r in enumerate(rows)}
+        assert len(got) == len(rows)
+        assert collections.Counter((r["doc_id"], r["source"], r["text"]) for r in got) == collections.Counter((r[0], r[2], want[r]) for r in before.values())
+
+
 def plain_quality(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     g = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))

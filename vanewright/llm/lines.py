@@ -2,9 +2,12 @@
 
 A line that stands on many sites is boilerplate. Lines are known by a 128-bit hash of the trimmed line. One aggregation
 finds the lines that stand on two sites at all; HyperLogLog sketches of their sites, merged by aggregation, settle
-those that are clearly under or over the limit, and the rest are counted exactly. The first occurrence stays, all
-others are removed. A line on a third of all rows is aggregated before the shuffle; texts are moved once, to meet the
-places of their removed lines.
+those that are clearly under or over the limit, and the rest are counted exactly (with the default limit of three
+sites: all lines on up to five). The first occurrence stays, all others are removed.
+
+A line on a third of all rows is aggregated before the shuffle, and its rows are found by a broadcast of the common
+lines: those on more than a 10,000th of all line places, of which there can't be more than 10,000. Texts are moved once,
+to meet the places of their removed lines.
 """
 
 from __future__ import annotations
@@ -18,46 +21,68 @@ MIN_SITES = 3
 BLANK_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: log2 of the sketch's registers: a standard error of about 1.6 %.
 LG_REGISTERS = 12
+#: A line is common if it has more than one in so many places; there are fewer common lines than this.
+COMMON = 10_000
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def with_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows joined with the lines of a table (h1, h2, common, ...): common lines are broadcast, so that none of them
+    has to be dealt to one task; all others meet by a shuffle."""
+    key = ["h1", "h2"]
+    common = F.broadcast(lines.where("common"))  # at most COMMON rows
+    return rows.join(common, key).union(rows.join(common.select(*key), key, "left_anti").join(lines.where("not common").hint("merge"), key))
+
+
 def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int, id_col: str, text_col: str, site_col: str) -> tuple[DataFrame, DataFrame]:
     """(lines on two or more sites with their places, boilerplate lines with their first place)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
+    site = F.coalesce(F.col(site_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), row_hash(id_col, text_col, site_col).alias("row"), F.xxhash64(site).alias("site"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
     key = F.btrim("line", F.lit(BLANK_CHARS))
-    rows = rows.where(key != "").select("doc", "site", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
-    spread = rows.groupBy("h1", "h2").agg(F.min(F.xxhash64("site")).alias("low"), F.max(F.xxhash64("site")).alias("high")).where("low <> high").select("h1", "h2")
-    several = scratch.save(rows.join(spread, ["h1", "h2"]), "several")
-    sketches = several.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_REGISTERS)).alias("sites"), F.min(F.struct("doc", "pos")).alias("first"))
+    rows = rows.where(key != "").select("doc", "row", "site", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
+    spread = rows.groupBy("h1", "h2").agg(F.min("site").alias("low"), F.max("site").alias("high"), F.count("*").alias("n")).where("low <> high").select("h1", "h2", "n")
+    spread = scratch.save(spread, "spread")
+    total = spread.agg(F.sum("n")).first()[0] or 0
+    several = scratch.save(with_lines(rows, spread.select("h1", "h2", (F.col("n") * COMMON > total).alias("common"))), "several")
+    sketches = several.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_REGISTERS)).alias("sites"), F.min(F.struct("doc", "pos", "row")).alias("first"), F.first("common").alias("common"))
     sketches = scratch.save(sketches, "sketches")
     zone = max(2, -(-min_sites // 10))  # six standard errors, and two sites where numbers are small
     clear = sketches.where(F.col("sites") > min_sites + zone)
     near = sketches.where(F.col("sites").between(min_sites - zone, min_sites + zone))
-    exact = several.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    found = clear.select("h1", "h2", "first").union(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
-    return several, found
+    counted = with_lines(several.select("h1", "h2", "site"), near.select("h1", "h2", "common")).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
+    exact = counted.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    columns = ["h1", "h2", "first", "common"]
+    return several.drop("common"), scratch.save(clear.select(*columns).union(near.join(exact, ["h1", "h2"]).select(*columns)), "found")
+
+
+def row_hash(id_col: str, text_col: str, site_col: str) -> Column:
+    """What tells rows with the same id apart."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col), F.col(site_col).cast("string"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The documents without lines that stand on ``min_sites`` sites or more, except each line's first place.
 
-    Lines are compared with blanks trimmed; blank lines stay. The first place is the smallest (doc_id, line number);
-    a null doc_id comes first. A null site counts as one site. Null texts stay null; empty ones empty; a text that
-    loses all lines becomes empty and its row stays. Rows with the same doc_id are treated alike. ``n_chars``, if
-    there is one, follows the text. Two columns are added: ``n_lines`` and ``n_removed`` (existing ones of these
-    names are replaced); all others are passed on.
+    Lines are compared with blanks trimmed; blank lines stay. The first place is the smallest (doc_id, line number, hash
+    of the row); a null doc_id comes first. Rows with the same doc_id and different texts or sites are documents of
+    their own; rows that agree in all three are treated alike. A null site counts as one site. Null texts stay null;
+    empty ones empty; a text that loses all lines becomes empty and its row stays. ``n_chars``, if there is one, follows
+    the text. Two columns are added: ``n_lines`` and ``n_removed`` (existing ones of these names are replaced); all
+    others are passed on.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_removed")
     several, found = boilerplate(docs, scratch, min_sites, id_col, text_col, site_col)
-    hits = several.join(found, ["h1", "h2"]).where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
-    gone = scratch.save(hits.where("doc is not null").groupBy("doc").agg(F.collect_set("pos").alias("gone")), "gone")
+    first = F.struct("doc", "pos", "row")
+    hits = with_lines(several, found).where(~first.eqNullSafe(F.col("first")))
+    gone = scratch.save(hits.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone")), "gone")
     columns = docs.columns
     # always by a shuffle: a broadcast of the places would not hold at every size
-    out = docs.join(gone.withColumnsRenamed({"doc": "_doc", "gone": "_gone"}).hint("merge"), F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
+    at = F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (row_hash(id_col, text_col, site_col) == F.col("_row"))
+    out = docs.join(gone.withColumnsRenamed({"doc": "_doc", "row": "_row", "gone": "_gone"}).hint("merge"), at, "left").drop("_doc", "_row")
     lines = _lines(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.element_at(F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")), 1))
