@@ -212,7 +212,7 @@ def test_licenses(spark):
     labels = {x["label"] for x in out[1]["found"]}
     assert {"apache-2.0", "lgpl-2.1", "gpl-2.0-or-later"} <= labels and "lgpl" not in labels and "apache" not in labels
     assert sorted(x["label"] for x in out[1]["base"]) == ["cc-by", "gpl", "reserved"] and [x["first"] for x in out[4]["base"]] == [0, 2]
-    assert out[2]["n_words"] == 0 and out[5]["found"] == [] and len(licenses.rules()) > 300
+    assert out[2]["n_words"] == 0 and out[5]["found"] == [] and len(licenses.rules()) > 300 and len({x[0] for x in licenses.rules()}) > 100
     assert all(re.compile(x[1]) and "{v}" not in x[1] for x in licenses.rules())
     assert licenses.scan_licenses(odd(spark)).count() == 16 and licenses.scan_licenses(empty(spark)).count() == 0
 
@@ -248,6 +248,39 @@ def test_shortest_license_matches_pass_the_gates():
                 assert re.search(licenses.PREFILTER, t.upper().replace(" ", gap)), (keyword, t)
 
 
+def plain_licenses(text):
+    """All rules over the words of a text, one by one, and what no other match suppresses."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    norm = f" {' '.join(w)} "
+    base, found = [], []
+    for _, regex, label, priority in licenses.rules():
+        for m in re.finditer(regex, norm):
+            first = norm[: m.start()].count(" ")
+            name = label or licenses.SPELLED[re.sub("^ (?:spdx license identifier|license) ", "", m[0])]
+            (base if priority == 1000 else found).append((name, priority, first, first + m[0].count(" ")))
+
+    def beaten(x, y):
+        if x[2:] == y[2:]:
+            return (y[1], y[0]) > (x[1], x[0])
+        return y[2] <= x[2] and x[3] <= y[3] and y[1] >= x[1]
+
+    return sorted(base), sorted(x for x in found if not any(beaten(x, y) for y in found))
+
+
+def test_license_rules_priority_and_containment_against_plain(spark):
+    rng = np.random.default_rng(5)
+    phrases = [t for _, regex, _, _ in licenses.rules() for t in shortest(re._parser.parse(regex))[:2]]
+    texts = [". ".join(p.strip().upper() if rng.random() < 0.3 else p.strip() for p in rng.choice(phrases, 12)) for _ in range(250)]
+    texts += phrases + [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["all rights reserved " * 3000, "license gpl 2 0 or later license gpl-2.0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan_licenses(df).collect():
+        got = [sorted((x["label"], x["priority"], x["first"], x["last"]) for x in r[c]) for c in ("base", "found")]
+        if "all rights reserved all rights" in texts[r["doc_id"]]:
+            assert len(got[0]) == len(got[1]) == 3000
+        else:
+            assert tuple(got) == plain_licenses(texts[r["doc_id"]]), texts[r["doc_id"]]
+
+
 def test_licenses_by_rare_words(spark):
     texts = ["CC" + " " * 41 + "BY", "cc |" + "-\n" * 50 + "| by", "distributed under the 3-Clause BSD", "MIT No Attribution", "Unauthorised copying is prohibited", "submit according to the bylaw"]
     rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
