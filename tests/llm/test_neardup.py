@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import empty, odd
 from vanewright.llm import neardup
@@ -51,6 +52,35 @@ def test_family_of_edits_is_not_expanded(spark):
     assert got == brute(rows, 4)
 
 
+def test_outlier_with_the_smallest_id_is_dealt_to_few(spark):
+    """One node outside a component of 5,000: the large component stays apart, whatever the names are."""
+    nodes = spark.range(1, 5001).select(F.lit(1).cast("long").alias("key"), "id", F.lit(True).alias("common"), F.lit(1).cast("long").alias("c"))
+    nodes = nodes.union(spark.createDataFrame([(1, 0, True, 0)], "key long, id long, common boolean, c long"))
+    rows = neardup.open_buckets(nodes).withColumn("n", F.lit(100).cast("long"))
+    sizes = neardup.block_counts(rows)
+    dealt = neardup.deal(rows, sizes)
+    assert dealt.count() == 5000 + 1 + 20 and dealt.groupBy("i", "j").count().agg(F.max("count")).first()[0] < 400
+    # long texts make more blocks
+    assert neardup.block_counts(rows.withColumn("n", F.lit(100_000).cast("long"))).first()["ni"] == 500
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_further_stars_change_nothing(spark, monkeypatch, limit):
+    monkeypatch.setattr(neardup, "DEALT", limit)
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(240):
+        w = [f"f{i % 2}w{j}" for j in range(100)]
+        for p in rng.choice(100, i % 7, replace=False):
+            w[p] = f"x{i}_{p}"
+        rows.append((i, " ".join(w)))
+    rows.append((1000, " ".join(f"long{j}" for j in range(60_000))))
+    rows.append((1001, " ".join(f"long{j}" for j in range(59_000))))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert got == brute(rows, 4)
+
+
 def test_odd_rows(spark):
     got = sorted(neardup.near_duplicates(odd(spark), k=4).collect(), key=str)
     assert len(got) == 16

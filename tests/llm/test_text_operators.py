@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.fixtures import PROSE, empty, odd
 from tests.oracle import differences
-from vanewright.llm import licenses, lines, mixing, quality, queries, secrets, toxicity
+from vanewright.llm import common, licenses, lines, mixing, quality, queries, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,8 +121,8 @@ def test_lines_of_repeated_and_null_ids(spark, monkeypatch):
     rows = [(7, "first\n" + hot, "s0"), (7, "UNIQUE LINE OF SECOND ROW\n" + hot + "\nend", "s1"), (7, "first\n" + hot, "s0"), (None, hot + "\nnull one", "s2"), (None, "null two\n" + hot, "s3"), (None, None, "s4")]
     rows += [(i, f"own {i}\n{hot}\npair {i // 2}\nfew {i // 3}", f"s{i}") for i in range(10, 40)]
     want = plain_lines(rows)
-    for common in (lines.COMMON, 1):
-        monkeypatch.setattr(lines, "COMMON", common)
+    for most in (common.COMMON, 1):
+        monkeypatch.setattr(common, "COMMON", most)
         got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
         before = {(r[0], r[2], k): r for k, r in enumerate(rows)}
         assert len(got) == len(rows)

@@ -162,5 +162,20 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: A key is common if it has more than one in so many rows; there are fewer common keys than this.
+COMMON = 10_000
+
+
+def is_common(size: Column, total: int) -> Column:
+    return size * COMMON > total
+
+
+def join_keys(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """Rows joined with a table of their keys that has a boolean column ``common``: common keys are broadcast (there are
+    at most COMMON of them), so that no key's rows have to be dealt to one task; all others meet by a shuffle."""
+    common = F.broadcast(table.where("common"))
+    return rows.join(common, key).union(rows.join(common.select(*key), key, "left_anti").join(table.where("not common").hint("merge"), key))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

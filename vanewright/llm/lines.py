@@ -15,28 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, is_common, join_keys, read
 
 MIN_SITES = 3
 BLANK_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: log2 of the sketch's registers: a standard error of about 1.6 %.
 LG_REGISTERS = 12
-#: A line is common if it has more than one in so many places; there are fewer common lines than this.
-COMMON = 10_000
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def with_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows joined with the lines of a table (h1, h2, common, ...): common lines are broadcast, so that none of them
-    has to be dealt to one task; all others meet by a shuffle."""
-    key = ["h1", "h2"]
-    common = F.broadcast(lines.where("common"))  # at most COMMON rows
-    return rows.join(common, key).union(rows.join(common.select(*key), key, "left_anti").join(lines.where("not common").hint("merge"), key))
-
-
 def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int, id_col: str, text_col: str, site_col: str) -> tuple[DataFrame, DataFrame]:
     """(lines on two or more sites with their places, boilerplate lines with their first place)."""
     site = F.coalesce(F.col(site_col).cast("string"), F.lit(""))
@@ -46,13 +36,13 @@ def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int, id_col: str,
     spread = rows.groupBy("h1", "h2").agg(F.min("site").alias("low"), F.max("site").alias("high"), F.count("*").alias("n")).where("low <> high").select("h1", "h2", "n")
     spread = scratch.save(spread, "spread")
     total = spread.agg(F.sum("n")).first()[0] or 0
-    several = scratch.save(with_lines(rows, spread.select("h1", "h2", (F.col("n") * COMMON > total).alias("common"))), "several")
+    several = scratch.save(join_keys(rows, spread.select("h1", "h2", is_common(F.col("n"), total).alias("common")), ["h1", "h2"]), "several")
     sketches = several.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_REGISTERS)).alias("sites"), F.min(F.struct("doc", "pos", "row")).alias("first"), F.first("common").alias("common"))
     sketches = scratch.save(sketches, "sketches")
     zone = max(2, -(-min_sites // 10))  # six standard errors, and two sites where numbers are small
     clear = sketches.where(F.col("sites") > min_sites + zone)
     near = sketches.where(F.col("sites").between(min_sites - zone, min_sites + zone))
-    counted = with_lines(several.select("h1", "h2", "site"), near.select("h1", "h2", "common")).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
+    counted = join_keys(several.select("h1", "h2", "site"), near.select("h1", "h2", "common"), ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
     exact = counted.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     columns = ["h1", "h2", "first", "common"]
     return several.drop("common"), scratch.save(clear.select(*columns).union(near.join(exact, ["h1", "h2"]).select(*columns)), "found")
@@ -77,7 +67,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     docs = docs.drop("n_lines", "n_removed")
     several, found = boilerplate(docs, scratch, min_sites, id_col, text_col, site_col)
     first = F.struct("doc", "pos", "row")
-    hits = with_lines(several, found).where(~first.eqNullSafe(F.col("first")))
+    hits = join_keys(several, found, ["h1", "h2"]).where(~first.eqNullSafe(F.col("first")))
     gone = scratch.save(hits.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone")), "gone")
     columns = docs.columns
     # always by a shuffle: a broadcast of the places would not hold at every size

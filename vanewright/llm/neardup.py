@@ -7,10 +7,12 @@
 2. Equal sets become one node, so exact copies cost one aggregated row, however many there are.
 3. Nodes that share a band key are candidates. A bucket's nodes are held against one pivot each (a star, linear in
    the bucket), whatever passes the size and Odd sketch tests is confirmed on the full sets, and linked nodes are
-   contracted. Buckets that still hold several components are cut into blocks of bounded size which meet in pairs: the
-   sketches first tell which nodes have a partner in another component at all, then only these bring their texts, and
-   all their pairs are confirmed at once. A pair of blocks returns a spanning forest of its links. So no link between
-   candidates is lost, and a bucket with very many copies is never expanded into its pairs.
+   contracted; while what is left would be dealt out too often, further pivots take stars of it. Buckets that still
+   hold several components are cut into blocks of bounded size which meet in pairs, except those of the bucket's
+   largest component among themselves: the sketches first tell which nodes have a partner in another component at
+   all, then only these bring their texts, and all their pairs are confirmed at once. A pair of blocks returns a
+   spanning forest of its links. So no link between candidates is lost, and a bucket with very many copies is never
+   expanded into its pairs.
 4. Components come from alternating large-star and small-star steps on the confirmed links.
 """
 
@@ -27,12 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hashes, mix, read, signed, words
+from .common import Scratch, hashes, is_common, join_keys, mix, read, signed, words
 
 BANDS, ROWS = 40, 6
 BITS = 512
 LANES = BITS // 64
-BLOCK = 256
+#: Nodes, and shingles, that a block is meant to hold.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Rows dealt to pairs of blocks for each row of an open bucket, beyond which another star comes first.
+DEALT = 16
 #: Node ids up to which they are broadcast to pick out texts; beyond, texts are shuffled to meet them.
 BROADCAST_IDS = 500_000
 #: Odd sketch tests pass estimates down to this far below the threshold (about six standard deviations).
@@ -164,7 +169,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     one document (it is linked if one of its texts is); each still gives a row. A row with a null doc_id can't be named
     as a component: it takes no part, has a null component_id and is kept. Other columns are ignored.
 
-    With 40 bands of 6 rows a pair at the threshold misses all bands with probability 5e-6.
+    With 40 bands of 6 rows a pair at the threshold misses all bands with probability 5e-6. Buckets with most of the
+    rows are broadcast by key (10,000 at most); a text of any length is worked on whole, and blocks hold fewer of long
+    ones.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -177,9 +184,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     # Buckets with two nodes or more; of buckets with the same nodes, one.
     keyed = nodes.select(F.explode("bands").alias("key"), "id")
+    total = nodes.count() * bands
     keys = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("print")).where("pivot <> last")
-    keys = keys.groupBy("size", "pivot", "last", "print").agg(F.min("key").alias("key")).select("key", "pivot")
-    buckets = scratch.save(keyed.join(keys, "key"), "buckets")
+    keys = keys.groupBy("size", "pivot", "last", "print").agg(F.min("key").alias("key")).select("key", "pivot", is_common(F.col("size"), total).alias("common"))
+    buckets = scratch.save(join_keys(keyed, scratch.save(keys, "keys"), ["key"]).select("key", "id", "pivot", "common"), "buckets")
     ids = scratch.save(buckets.select(F.col("id").alias("doc_id")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     members = scratch.save(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").distinct(), "texts")
@@ -189,19 +197,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     def side(name: str, table: DataFrame) -> DataFrame:
         return table.select(*(F.col(c).alias({"id": name, "doc_id": name}.get(c, f"{c}_{name}")) for c in table.columns))
 
-    stars = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(LANES)))
     near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= most)
-    stars = scratch.save(stars.join(side("a", lanes), "a").join(side("b", lanes), "b").where(near).select("a", "b").distinct(), "stars")
-    links = scratch.save(confirmed(stars.join(side("a", members), "a").join(side("b", members), "b"), k, percent).distinct(), "links")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The confirmed of pairs (a, b)."""
+        close = scratch.save(pairs.distinct().join(side("a", lanes), "a").join(side("b", lanes), "b").where(near).select("a", "b").distinct(), "stars")
+        return scratch.save(confirmed(close.join(side("a", members), "a").join(side("b", members), "b"), k, percent).distinct(), "links")
+
+    links = linked(buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     comp = components(scratch, links)
-    now = buckets.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    ends = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "low")
-    open_ = scratch.save(now.join(ends, "key"), "open")
+    while True:
+        open_ = scratch.save(open_buckets(buckets.join(comp, "id", "left").select("key", "id", "common", F.coalesce("component", "id").alias("c"))), "open")
+        rows, dealt = open_.join(lanes.select("id", "n"), "id"), 0
+        if open_.isEmpty():
+            break
+        sizes = scratch.save(block_counts(rows), "sizes")
+        held, dealt = sizes.agg(F.sum(F.col("outer") + F.col("inner")), F.sum(F.col("outer") * (F.col("no") + F.col("ni")) + F.col("inner") * F.col("no"))).first()
+        if dealt <= DEALT * held:
+            break
+        # a star of each open bucket's nodes outside its largest component, around one of them
+        rest = open_.where("c <> low")
+        pivots = rest.groupBy("key", "common").agg(F.min(F.struct("id", "c")).alias("p")).select("key", "common", F.col("p.id").alias("b"), F.col("p.c").alias("pc"))
+        new = linked(join_keys(rest.drop("common", "low"), pivots, ["key"]).where("c <> pc").select(F.col("id").alias("a"), "b"))
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        comp = components(scratch, links)
     final = comp
-    if not open_.isEmpty():
-        more = scratch.save(across(scratch, open_, lanes, members, k, percent, most).distinct(), "more")
+    if dealt:
+        more = scratch.save(across(scratch, deal(rows, sizes), lanes, members, k, percent, most).distinct(), "more")
         final = components(scratch, links.union(more))
 
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
@@ -210,23 +235,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def across(scratch: Scratch, open_: DataFrame, lanes: DataFrame, members: DataFrame, k: int, percent: int, most: int) -> DataFrame:
-    """Confirmed links (a, b) between different components of a bucket, as a spanning forest for each pair of blocks.
+def open_buckets(now: DataFrame) -> DataFrame:
+    """(key, id, common, c, low) of buckets with several components c; ``low`` is the one with most of its nodes."""
+    parts = now.groupBy("key", "common", "c").agg(F.count("*").alias("n"))
+    ends = parts.groupBy("key", "common").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    return join_keys(now.drop("common"), ends.select("key", "common", (-F.col("top.c")).alias("low")), ["key"])
 
-    A bucket's first component is kept apart from the rest, both are cut into blocks of about BLOCK rows, and blocks
-    meet in pairs; blocks within the first component don't meet. So a task holds two blocks at a time, and work is
-    linear in the large component.
-    """
+
+def block_counts(rows: DataFrame) -> DataFrame:
+    """(key, common, outer, inner, no, ni): nodes outside and in the largest component, and blocks of each."""
     rest = F.col("c") != F.col("low")
-    sizes = open_.groupBy("key").agg(F.count(F.when(rest, 1)).alias("outer"), F.count(F.when(~rest, 1)).alias("inner"))
-    cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = open_.join(sizes, "key").select("key", "id", "c", rest.alias("rest"), cut("outer").alias("no"), cut("inner").alias("ni"))
+    sides = {"outer": rest, "inner": ~rest}
+    out = rows.groupBy("key", "common").agg(*(F.count(F.when(on, 1)).alias(x) for x, on in sides.items()), *(F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias(f"{x}_n") for x, on in sides.items()))
+    blocks = lambda x: F.ceil(F.greatest(F.col(x) / BLOCK, F.col(f"{x}_n") / BLOCK_SHINGLES)).cast("int")
+    return out.select("key", "common", "outer", "inner", blocks("outer").alias("no"), blocks("inner").alias("ni"))
+
+
+def deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, i, j, rest, block, id, c): the nodes of open buckets, once for each pair of blocks that they belong to."""
+    rows = join_keys(rows.drop("common"), sizes, ["key"]).select("key", "id", "c", (F.col("c") != F.col("low")).alias("rest"), "no", "ni")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("no")).otherwise(F.col("ni"))).cast("int"))
     other_rest = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(F.least("block", i).alias("i"), F.greatest("block", i).alias("j")))
     with_inner = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.struct(F.col("block").alias("i"), (-1 - i).alias("j")))
     to_outer = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j")))
     dealt = rows.select("key", "id", "c", F.explode(F.when(F.col("rest"), F.concat(other_rest, with_inner)).otherwise(to_outer)).alias("at"), "rest", "block")
-    dealt = dealt.join(lanes, "id").select("key", "at.i", "at.j", "rest", "block", "id", "c", "n", "odd")
+    return dealt.select("key", "at.i", "at.j", "rest", "block", "id", "c")
+
+
+def across(scratch: Scratch, dealt: DataFrame, lanes: DataFrame, members: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+    """Confirmed links (a, b) between different components of a bucket, as a spanning forest for each pair of blocks.
+
+    A bucket's largest component is kept apart from the rest, both are cut into blocks of bounded size, and blocks meet
+    in pairs; blocks within the largest component don't meet. So a task holds two blocks at a time, and work is linear
+    in the largest component.
+    """
+    dealt = dealt.join(lanes, "id").select("key", "i", "j", "rest", "block", "id", "c", "n", "odd")
 
     def partners(pdf: pd.DataFrame) -> pd.DataFrame:
         """The rows that have a partner by size and sketch."""
