@@ -22,6 +22,13 @@ def test_added_tokens_have_their_ids(text):
     assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_generations_of_the_cache():
+    small = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), entries=3)
+    for text in ("one two three, four", "two five. one", "six seven eight nine ten", "one two, five", "two"):
+        assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    assert len(small.cache) + len(small.old) < 20
+
+
 def test_the_added_token_between_words():
     assert np.frombuffer(ENCODER.encode(["hello <|endoftext|> x"])[0], "<u4").tolist() == [31373, 220, 50256, 2124]
 

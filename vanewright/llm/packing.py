@@ -28,7 +28,8 @@ from .common import Scratch, read
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_ENTRIES = 600_000
+#: Chunks from which the cache of a worker begins a new generation; the one before is kept beside it.
+CACHE_ENTRIES = 500_000
 #: Marks that are tokens' own pre-tokens when they follow a letter.
 MARKS = ".,;:!?"
 _CUT = re.compile(r"(?= \S)")
@@ -54,6 +55,7 @@ class ChunkEncoder:
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self.entries = entries
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self._marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -71,6 +73,13 @@ class ChunkEncoder:
             return None
         return _CUT.split(text) if _SPACES.search(text) else text.replace(" ", "\0 ").split("\0")
 
+    def _missing(self, keys: set[str]) -> set[str]:
+        """Keys that neither generation holds; those of the older one are moved to the younger."""
+        keys = keys - self.cache.keys()
+        old = keys & self.old.keys()
+        self.cache.update(zip(old, map(self.old.__getitem__, old), strict=True))
+        return keys - old
+
     def _learn(self, new: set[str]) -> None:
         alone, marked, cache = set(), [], self.cache
         for c in new:
@@ -78,18 +87,16 @@ class ChunkEncoder:
                 marked.append(c)
                 c = c[:-1]
             alone.add(c)
-        items = list(alone - cache.keys())
+        items = list(self._missing(alone))
         for at in range(0, len(items), 10_000):
             cache.update(zip(part := items[at : at + 10_000], self._ids(part), strict=True))
         cache.update((c, cache[c[:-1]] + self._marks[c[-1]]) for c in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._chunks(t) for t in texts]
-        new = set(itertools.chain.from_iterable(x for x in split if x is not None)) - self.cache.keys()
-        if len(self.cache) + len(new) > self.entries:
-            self.cache.clear()
-            new = set(itertools.chain.from_iterable(x for x in split if x is not None))
-        self._learn(new)
+        if len(self.cache) > self.entries:
+            self.old, self.cache = self.cache, {}
+        self._learn(self._missing(set(itertools.chain.from_iterable(x for x in split if x is not None))))
         get = self.cache.__getitem__
         return [self.whole(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, split, strict=True)]
 
