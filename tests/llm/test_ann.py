@@ -27,6 +27,41 @@ def test_recall(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
 
 
+def test_recall_on_clusters_with_few_probes(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 32))
+    rows = [(i, (centres[rng.integers(0, 60)] + 0.15 * rng.normal(size=32)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.fit(df, 6000, sample=2000)
+    assert index.share < 0.25
+    want, got = brute(rows), {}
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_many_equal_vectors_among_others(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 128)
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        same = rng.normal(size=24)
+        copies = set(rng.choice(np.arange(1, 1500), 300, replace=False).tolist()) | {50}
+        rows = [(i, same.tolist() if i in copies else rng.normal(size=24).tolist()) for i in range(1500)]
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 50").orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == sorted(copies - {50})[:5]
+
+
+def test_bounds_of_the_sample():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(40, 6))
+    x = ann.unit(v)
+    ix = ann.Index(np.eye(6), x[:3], 1.0, np.arange(40), v)
+    bound, held = ix.first_found(np.arange(40), x, 5)
+    assert np.allclose(bound, [np.sort(np.delete(x @ x[i], i))[-5] for i in range(40)]) and all(len(h) == 5 and i not in h for i, h in enumerate(held))
+    bound, held = ann.Index(np.eye(6), x[:3], 1.0, np.arange(5), v[:5]).first_found(np.arange(2), x[:2], 5)
+    assert bound.max() == -np.inf and [len(h) for h in held] == [4, 4]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [None, 1.0], 1), (8, [1.0], 1), (9, [], 1), (None, [1.0, 0.0], 1), (50, [0.0, 3.0], 1), (50, [0.0, 3.0], 1), (11, [1e-300, 0.0], 1)]
@@ -40,7 +75,7 @@ def test_hot_list_is_dealt_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART_ROWS", 16)
     rng = np.random.default_rng(0)
     rows = [(i, (np.ones(8) if i % 3 else rng.normal(size=8)).tolist()) for i in range(301)]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probe_share=1.0).where("query_id = 50").orderBy("rank").collect()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), reached=1.0).where("query_id = 50").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 4, 5, 7]
 
 
@@ -49,7 +84,7 @@ def test_repeated_neighbour_leaves_room(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(50, [1.0, 0.0])] + [(1, [1.0, 1e-3 * j]) for j in range(12)] + [(1, [1.0, 0.0])] * 8 + [(i, [1.0, 0.1 * i]) for i in range(2, 9)]
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probe_share=1.0).where("query_id = 50").orderBy("rank").collect()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), reached=1.0).where("query_id = 50").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and got[0]["score"] == 1.0
 
 
