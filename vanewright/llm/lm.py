@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_mod, hashes, mapped, mix, read, words, write_bytes
 
 ORDER = 2
+#: Characters of text for each range of context hashes: what a task merges is bounded by it, whatever the input's size.
+RANGE_CHARS = 16_000_000
+LEAST_RANGES = 16
 #: Tokens that a task holds before it sends what it has counted.
 FLUSH_TOKENS = 3_000_000
 BEGIN = np.uint64(0x1B873593CC9E2D51)
@@ -200,11 +203,14 @@ class Model:
     stats: dict[int, dict[str, int]]
 
 
-def train(docs: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> Model:
-    """Count the texts of ``docs`` and write the model's arrays; null and empty texts count as one end each."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "lm")
-    ranges = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def train(docs: DataFrame, order: int = ORDER, scratch: Scratch | None = None, ranges: int | None = None) -> Model:
+    """Count the texts of ``docs`` and write the model's arrays; null and empty texts count as one end each.
+
+    The number of ranges follows from the characters of all texts, which are added up first. A range holds whole
+    contexts, so a context with very many different continuations makes its range larger.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "lm")
+    ranges = ranges or max(LEAST_RANGES, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS))
     root = scratch.path("model")
     blocks = docs.select("text").mapInArrow(lambda it: _count(it, order, ranges), BLOCKS)
     stats, last = {}, None
