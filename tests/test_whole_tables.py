@@ -1,4 +1,4 @@
-"""Queries over all events against brute force, where the SQL of their namesakes holds only a part of the ids."""
+"""Interval and selection queries over all events against brute force."""
 
 import datetime as dt
 import inspect
@@ -39,7 +39,7 @@ def test_nearest_interval(spark, small):
     d, rows = small
     w = windows(rows)
     want = {i: min((round(gap(s, e, a, z) / HOUR, 5) for _, v, _, a, z in w if v == u), default=None) for i, u, s, e in spans(rows)}
-    got = catalog.QUERIES["p27_nearest_interval_all"](spark, d).collect()
+    got = catalog.QUERIES["p27_nearest_interval"](spark, d).collect()
     assert len(got) == len(rows) and {r["event_id"]: r["nearest_hours"] for r in got} == want and max(want) >= 2000
 
 
@@ -47,7 +47,7 @@ def test_containment_parent(spark, small):
     d, rows = small
     w = sorted(windows(rows), key=lambda x: (x[2], x[3]))
     want = {i: next((p for p, v, _, a, z in w if v == u and a <= s and e <= z), None) for i, u, s, e in spans(rows)}
-    got = catalog.QUERIES["j07_containment_parent_all"](spark, d).collect()
+    got = catalog.QUERIES["j07_containment_parent"](spark, d).collect()
     assert len(got) == len(rows) and {r["event_id"]: r["parent"] for r in got} == want and any(v and i % 5 for i, v in want.items())
 
 
@@ -57,7 +57,7 @@ def test_primary_detector(spark, small):
     for _, u, kind, _ in rows:
         seen.setdefault(u, set()).add(kind)
     want = {u: next((k for k in ("error", "signup", "purchase") if k in kinds), min(kinds)) for u, kinds in seen.items()}
-    got = catalog.QUERIES["t05_primary_detector_all"](spark, d).collect()
+    got = catalog.QUERIES["t05_primary_detector"](spark, d).collect()
     assert {r["user_id"]: r["main"] for r in got} == want and len(got) == len(want)
 
 
@@ -69,7 +69,7 @@ def test_exclusion_hull(spark, small):
             errors.setdefault(u, []).append(t)
     far = lambda u, t: u not in errors or not min(errors[u]) - 12 * HOUR <= t <= max(errors[u]) + 12 * HOUR
     want = sorted(i for i, u, kind, t in rows if kind == "error" or far(u, t))
-    got = sorted(r["event_id"] for r in catalog.QUERIES["p23_exclusion_hull_all"](spark, d).collect())
+    got = sorted(r["event_id"] for r in catalog.QUERIES["p23_exclusion_hull"](spark, d).collect())
     assert got == want and any(u % 10 for i, u, _, _ in rows if i in want)
 
 
@@ -83,7 +83,7 @@ def test_own_context(spark, small):
         else:
             g, w, a, z = near
             want[i] = (w, "overlapping" if min(e, z) > max(s, a) else "before" if e <= a else "after", round(g / HOUR, 5))
-    got = catalog.QUERIES["j11_own_context_all"](spark, d).collect()
+    got = catalog.QUERIES["j11_own_context"](spark, d).collect()
     assert len(got) == len(rows) and {r["event_id"]: (r["nearest"], r["position"], r["distance_hours"]) for r in got} == want
 
 

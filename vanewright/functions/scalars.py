@@ -14,21 +14,31 @@ TRUE_WORDS = ("true", "1", "yes", "y", "t")
 #: Label synonyms (fixed values).
 NORMAL_WORDS = ("normal", "healthy", "0", "false", "no")
 ANOMALY_WORDS = ("anomaly", "anomalous", "fault", "faulty", "abnormal", "1", "true", "yes")
-#: Subsystems by description keyword; the first match wins (fixed values).
+#: Subsystems by parts of a signal's description, in order; the first match wins (fixed values).
 SUBSYSTEMS = (
-    ("gearbox", ("gearbox", "gear box", "gear oil")),
-    ("generator", ("generator", "stator", "rotor winding")),
-    ("main_bearing", ("main bearing", "rotor bearing")),
-    ("pitch", ("pitch", "blade angle")),
-    ("yaw", ("yaw", "nacelle direction")),
-    ("hydraulic", ("hydraulic",)),
-    ("transformer", ("transformer",)),
-    ("converter", ("converter", "inverter", "igbt")),
-    ("cooling", ("cooling", "coolant", "fan")),
-    ("grid", ("grid", "voltage", "current", "frequency")),
-    ("wind", ("wind", "anemometer")),
-    ("temperature", ("temperature", "temp")),
+    ("dc_link_voltage", ("dc link", "direct current link", "dc-link")),
+    ("grid_voltage", ("grid voltage", "line voltage", "mains voltage", "phase voltage", "transformer voltage")),
+    ("generator_current", ("generator current", "stator current", "phase current")),
+    ("converter_electrical", ("converter", "inverter", "rectifier")),
+    ("auxiliary_supply", ("supply voltage", "battery voltage", "control voltage", "cabinet voltage", "auxiliary voltage")),
+    ("pitch_axis", ("pitch", "blade", "axis 1", "axis 2", "axis 3", "pitching")),
+    ("yaw", ("yaw",)),
+    ("gearbox_oil", ("gear oil", "gearbox oil", "oil pump", "oil pressure", "oil level", "lubric")),
+    ("gearbox_thermal", ("gearbox temperature", "gear bearing temperature", "gearbox bearing temperature")),
+    ("generator_thermal", ("generator temperature", "generator bearing temperature", "stator temperature", "rotor temperature")),
+    ("converter_thermal", ("converter temperature", "inverter temperature", "power module temperature")),
+    ("cabinet_thermal", ("cabinet temperature", "nacelle temperature", "hub temperature", "ambient cabinet")),
+    ("cooling_system", ("cooling", "coolant", "cooler", "heat exchanger", "water pump", "cooling fan")),
+    ("hydraulic_brake", ("hydraulic", "brake", "accumulator pressure")),
+    ("vibration_mechanical", ("vibration", "acceleration", "shaft", "coupling", "main bearing")),
 )
+#: Names that are no signals, and parts of names that give the outcome away (fixed values).
+NO_SIGNALS = ("time_stamp", "timestamp", "time", "datetime", "date_time", "asset_id", "event_id", "id", "train_test", "status_type_id", "label", "target", "event_label", "event_start", "event_end", "description")
+LEAKS = ("fault", "failure", "anomaly", "label", "target", "prediction", "event_")
+#: Names of power signals, what excludes one, and the signals of a source whose names don't tell (fixed values).
+POWER_NAMES = ("(^|_)power($|_)", "active_power", "generator_power", "electrical_power", "(^|_)pwr($|_)")
+NO_POWER_NAMES = ("reactive", "power_factor", "setpoint", "limit", "rated")
+POWER_SIGNALS = {"C": ("power_2", "power_5", "power_6", "power_17")}
 
 
 def identifier(c: Column) -> Column:
@@ -101,18 +111,52 @@ def family(c: Column) -> Column:
     return F.when(c.startswith("reactive_power"), "reactive_power").when(c.startswith("wind_speed"), "wind_speed").when(c.startswith("power"), "power").when(c.startswith("sensor"), "sensor").otherwise("other")
 
 
-def subsystem(description: Column, groups: Sequence[tuple[str, Sequence[str]]] = SUBSYSTEMS) -> Column:
-    """The first group one of whose keywords occurs in the description; null if none does."""
-    text = F.lower(description)
-    out = None
+def subsystem(description: Column, is_angle: Column | None = None, is_counter: Column | None = None, groups: Sequence[tuple[str, Sequence[str]]] = SUBSYSTEMS) -> Column:
+    """The first group one of whose parts occurs in the description; null if none does, and for angles and counters."""
+    text = F.lower(F.trim(description))
+    no = F.lit(False)
+    left_out = F.coalesce(is_angle if is_angle is not None else no, no) | F.coalesce(is_counter if is_counter is not None else no, no)
+    out = F.when(left_out, F.lit(None).cast("string"))
     for name, words in groups:
-        hit = F.lit(False)
+        hit = no
         for w in words:
             hit = hit | text.contains(w)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        out = out.when(hit, name)
     return out
 
 
+def admissible(name: Column, mode: str = "all") -> Column:
+    """Whether a column may be a feature: no identifier, no leak, and of the wanted statistic (avg, avg_std or all)."""
+    plain = plain_name(name)
+    leak = F.lit(False)
+    for part in LEAKS:
+        leak = leak | plain.contains(part)
+    kind = {"avg": plain.endswith("_avg"), "avg_std": plain.endswith("_avg") | plain.endswith("_std"), "all": F.lit(True)}[mode]
+    return ~plain.isin(*NO_SIGNALS) & ~leak & kind
+
+
+def power_signal(base: Column, source: Column, has_avg: Column) -> Column:
+    """Whether a base signal is power: by the source's own list if it has one, else by its name; it needs an average."""
+    name = F.lower(base)
+    by_name = name.rlike("|".join(POWER_NAMES)) & ~name.rlike("|".join(NO_POWER_NAMES))
+    out = None
+    for key, listed in POWER_SIGNALS.items():
+        out = F.when(source == key, base.isin(*listed)) if out is None else out.when(source == key, base.isin(*listed))
+    return has_avg & (by_name if out is None else out.otherwise(by_name))
+
+
+def label_text(c: Column) -> Column:
+    """Labels as "normal" or "anomaly" where they are synonyms, else as they are, in lower case."""
+    text = F.lower(F.trim(c.cast("string")))
+    return F.when(text.isin(*ANOMALY_WORDS), "anomaly").when(text.isin(*NORMAL_WORDS), "normal").otherwise(text)
+
+
+def period(time: Column, start: Column, end: Column, names: tuple[str, str, str] = ("before", "event", "after"), otherwise: str = "unknown") -> Column:
+    """Where a time lies to a closed interval; ``otherwise`` where one of the three is null."""
+    known = time.isNotNull() & start.isNotNull() & end.isNotNull()
+    return F.when(~known, otherwise).when(time < start, names[0]).when(time <= end, names[1]).otherwise(names[2])
+
+
 def divide(a: Column, b: Column, default: float | None = None) -> Column:
     """a / b, the default where b is zero or null."""
     out = a / F.when(b != 0, b)
@@ -170,3 +214,9 @@ def parse_hours(text: str) -> list[float]:
     if not out or any(not math.isfinite(x) or x <= 0 for x in out):
         raise ValueError(f"not a list of positive hours: {text!r}")
     return out
+
+
+def hours_list(text: Column) -> Column:
+    """The positive hours of a comma list, as doubles; what is none is left out."""
+    parts = F.transform(F.split(text, ","), lambda x: number(F.trim(x)))
+    return F.filter(parts, lambda x: x > 0)

@@ -2,26 +2,78 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def event_decision(df: DataFrame) -> DataFrame:
-    """Adds level (3 to 0), decision and reasons from event features.
+@dataclass(frozen=True)
+class EventLimits:
+    """Limits of the event decision (fixed values): hours, counts and shares of the event's time."""
+
+    persistent_longest: float = 2.0
+    persistent_total: float = 4.0
+    localized_longest: float = 1.0
+    short_2h: int = 4
+    short_24h: int = 6
+    strong_clusters: int = 2
+    short_episodes: int = 8
+    coverage: float = 0.03
+    transient_coverage: float = 0.005
+    review_2h: tuple[int, int] = (2, 3)
+    review_24h: tuple[int, int] = (3, 5)
+    rejected_longest: float = 2.0
+
+
+def event_decision(df: DataFrame, limits: EventLimits = EventLimits()) -> DataFrame:
+    """Adds decision, status, level (3 to 0), manual_review, paths and reasons from event features.
+
+    Columns: short_count, max_short_2h, max_short_24h, strong_clusters, persistent_longest, persistent_total,
+    persistent_segments, localized_longest, localized_segments, coverage, n_families, rejected_longest, censored.
 
-    Columns: short_count, max_short_24h, cluster_count, persistent_hours, localized_count, n_detectors, censored.
-    Four ways lead to an anomaly: a long persistent state, strong clusters, a confirmed localized segment with others,
-    or several detectors with a state detector among them. Weaker evidence, or censoring alone, asks for a review.
+    An anomaly (level 3) needs one of four ways: persistent (longest or total hours), localized (longest hours),
+    repeated short stops (density in 2 or 24 hours, or several strong clusters of many episodes), or coverage by two
+    families with a state segment among them. A review (level 2, not an anomaly) takes medium density, one strong
+    cluster, medium coverage, a long rejected localized candidate or censoring. Else there are transients (1) or nothing.
     """
-    persistent = F.col("persistent_hours") >= 2
-    cluster = (F.col("cluster_count") >= 1) & (F.col("max_short_24h") >= 4)
-    localized = (F.col("localized_count") >= 1) & (F.col("n_detectors") >= 2)
-    multi = (F.col("n_detectors") >= 3) & ((F.col("persistent_hours") > 0) | (F.col("localized_count") >= 1))
-    weak = (F.col("short_count") >= 2) | (F.col("persistent_hours") > 0) | (F.col("localized_count") >= 1)
-    level = F.when(persistent & cluster, 3).when(persistent | cluster | localized | multi, 2).when(weak | F.col("censored"), 1).otherwise(0)
-    reasons = F.concat_ws(";", F.when(persistent, "persistent"), F.when(cluster, "cluster"), F.when(localized, "localized"), F.when(multi, "multi_detector"), F.when(F.col("censored"), "censored"))
-    decision = F.when(F.col("level") >= 2, "anomaly").when(F.col("level") == 1, "review").otherwise("normal")
-    return df.withColumn("level", level).withColumns({"decision": decision, "reasons": reasons, "manual_review": F.col("censored") | (F.col("level") == 1)})
+    n = limits
+    c = lambda name: F.coalesce(F.col(name), F.lit(0))
+    persistent = (c("persistent_longest") >= n.persistent_longest) | (c("persistent_total") >= n.persistent_total)
+    localized = c("localized_longest") >= n.localized_longest
+    density = (c("max_short_2h") >= n.short_2h) | (c("max_short_24h") >= n.short_24h)
+    repeated = density | ((c("strong_clusters") >= n.strong_clusters) & (c("short_count") >= n.short_episodes))
+    multi = (c("coverage") >= n.coverage) & (c("n_families") >= 2) & ((c("persistent_segments") > 0) | (c("localized_segments") > 0))
+    censored = F.coalesce(F.col("censored"), F.lit(False))
+    paths = F.concat_ws(";", F.when(persistent, "persistent_system_state"), F.when(localized, "localized_persistent_state"), F.when(repeated, "repeated_short_standstill"))
+    n_paths = persistent.cast("int") + localized.cast("int") + repeated.cast("int")
+    anomaly = (n_paths > 0) | multi
+    medium = c("max_short_2h").between(*n.review_2h) | c("max_short_24h").between(*n.review_24h)
+    one = c("strong_clusters") == 1
+    some = (c("coverage") >= n.transient_coverage) & (c("coverage") < n.coverage)
+    rejected = c("rejected_longest") >= n.rejected_longest
+    review = medium | one | some | rejected | censored
+    status = F.when(anomaly & ((n_paths >= 2) | multi), "anomaly_multi_detector").when(anomaly, F.concat(F.lit("anomaly_"), paths)).when(review, "review_required").when(c("short_count") > 0, "normal_with_transients").otherwise("normal")
+    of_anomaly = F.concat_ws(";", F.when(persistent, "persistent"), F.when(localized, "localized"), F.when(repeated, "repeated_short"), F.when(multi, "coverage"), F.when(censored, "censored"))
+    of_review = F.concat_ws(";", F.when(medium, "medium_density"), F.when(one, "one_cluster"), F.when(some, "medium_coverage"), F.when(rejected, "rejected_localized"), F.when(censored, "censored"))
+    return df.withColumns({
+        "status": status, "decision": F.when(anomaly, "anomaly").otherwise("normal"), "level": F.when(anomaly, 3).when(review, 2).when(c("short_count") > 0, 1).otherwise(0), "manual_review": F.when(anomaly, censored).otherwise(review),
+        "paths": F.when(anomaly, paths).otherwise(""), "reasons": F.when(anomaly, of_anomaly).when(review, of_review).otherwise(""),
+    })
+
+
+def stream_pattern(n_overlap: Column, operational: Column, meaningful: Column, n_before: Column, n_after: Column, fragmented: int = 3) -> Column:
+    """The pattern of a window's alert episodes, by tier and counts."""
+    return (
+        F.when(operational & (n_overlap >= fragmented), "operational_fragmented").when(operational, "operational_concentrated").when(meaningful, "meaningful_late_or_untimely")
+        .when(n_overlap > 0, "weak_overlap_only").when(n_before > 0, "pre_window_alert_only").when(n_after > 0, "post_window_alert_only").otherwise("no_qualifying_episode")
+    )
+
+
+def episode_relation(start: Column, end: Column, m_start: Column, m_end: Column, label: Column) -> Column:
+    """How an alert episode lies to its source's logged interval; background without one, or where they only touch."""
+    overlap = F.greatest(F.lit(0), F.unix_micros(F.least(end, m_end)) - F.unix_micros(F.greatest(start, m_start))) > 0
+    return F.when(m_start.isNull(), "background").when(overlap & (label == "anomaly"), "overlap_anomaly").when(overlap, "overlap_normal").when(end < m_start, "before_metadata").when(start > m_end, "after_metadata").otherwise("background")
 
 
 def dual_relation(offline: Column, stream: Column) -> Column:

@@ -32,6 +32,7 @@ class DetectorConfig:
     coverage_least: float = 0.6
     localized_least: int = 3
     overlap_least: float = 0.4
+    strength_floor: float = 8.0
 
 
 def base_z(long: DataFrame, reference: Column, key: Sequence[str], order: str) -> DataFrame:
@@ -103,9 +104,46 @@ def flag_segments(df: DataFrame, flag: str, key: Sequence[str], order: str, scor
     return seg.withColumn("segment", F.row_number().over(keyed(key, ["first"]))).drop("_i")
 
 
-def confidence(peak: Column, n: Column, confirmed: Column) -> Column:
-    """Bands of a segment's confidence."""
-    return F.when(confirmed & (peak >= 0.9) & (n >= 6), "Very High").when(confirmed & (peak >= 0.7), "High").when(confirmed | (peak >= 0.8), "Medium").otherwise("Candidate only")
+def confidence(detector: Column, power: Column, count: Column, least: Column, overlap: Column, core: Column, strength: Column, fraction: Column, threshold: Column, strength_threshold: Column, overlap_least: float = 0.4) -> Column:
+    """Bands of a segment's confidence, one rule for each detector.
+
+    Short stops: full power evidence (dip, recovery and both within the window). Clusters: the largest count against
+    the least count. Localized: mean overlap, stable core against ``threshold``, and strength. Others: the largest
+    smoothed fraction against ``threshold``.
+    """
+    short = F.when(power, "Very High").otherwise("High")
+    cluster = F.when(count >= 2.0 * least, "High").when(count >= 1.5 * least, "Medium-High").otherwise("Medium")
+    local = F.when((overlap >= 0.60) & (core >= 1.25 * threshold) & (strength >= 1.5 * strength_threshold), "High").when(overlap >= overlap_least, "Medium-High").otherwise("Medium")
+    other = F.when(fraction >= 1.5 * threshold, "High").when(fraction >= 1.2 * threshold, "Medium-High").otherwise("Medium")
+    return F.when(detector == "short_standstill", short).when(detector == "intermittent_cluster", cluster).when(detector == "localized_persistent_subsystem_state", local).otherwise(other)
+
+
+def localized(z: DataFrame, key: Sequence[str], order: str, reference: Column, in_event: Column, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """(key, order, n_active, n_stable, overlap, strength, core_threshold, strength_threshold, raw, localized) from base z.
+
+    A localized state: enough active signals, a stable core of signals that are active in most rows around (at least
+    the quantile of the reference rows), active sets that stay alike, and a strength of the strongest signals over the
+    quantile of the reference rows smoothed by themselves.
+    """
+    w = Window.partitionBy(*key, "base").orderBy(order)
+    around, active = centred(w, cfg.coverage_points), F.col("z") >= cfg.active_level
+    least = max(2, -(-cfg.coverage_points // 2))
+    cover = F.when(F.count(F.lit(1)).over(around) >= least, F.avg(active.cast("double")).over(around))
+    zs = F.slice(F.sort_array(F.collect_list("z"), asc=False), 1, cfg.localized_least)
+    rows = z.withColumns({"_a": active, "_c": cover}).groupBy(*key, order).agg(F.count_if("_a").alias("n_active"), F.count_if(F.col("_c") >= cfg.coverage_least).alias("n_stable"), F.collect_set(F.when(F.col("_a"), F.col("base"))).alias("_set"), zs.alias("_top"))
+    t = keyed(key, [order])
+    before = F.lag("_set").over(t)
+    union = F.size(F.array_union("_set", before))
+    overlap = F.coalesce(F.when(union > 0, F.size(F.array_intersect("_set", before)) / union), F.lit(0.0))
+    rows = rows.withColumns({"_overlap": overlap, "_strength": F.aggregate("_top", F.lit(0.0), lambda s, x: s + x) / F.size("_top")})
+    smooth = lambda c: F.avg(c).over(centred(t, cfg.coverage_points))
+    core = rows.where(reference).groupBy(*key).agg(F.ceil(F.percentile("n_stable", cfg.quantile)).alias("_core"))
+    ref = rows.where(reference).withColumn("_s", smooth("_strength"))
+    strength = adaptive_threshold(ref, key, "_s", cfg.quantile, cfg.strength_floor, F.lit(True)).withColumnRenamed("threshold", "strength_threshold")
+    out = rows.withColumns({"overlap": smooth("_overlap"), "strength": smooth("_strength")}).join(core, list(key), "left").join(strength, list(key), "left")
+    out = out.withColumn("core_threshold", F.greatest(F.lit(cfg.localized_least), F.coalesce("_core", F.lit(0))).cast("int"))
+    raw = (F.col("n_active") >= cfg.localized_least) & (F.col("n_stable") >= F.col("core_threshold")) & (F.col("overlap") >= cfg.overlap_least) & (F.col("strength") >= F.coalesce("strength_threshold", F.lit(cfg.strength_floor)))
+    return out.withColumns({"raw": raw, "localized": raw & in_event}).drop("_set", "_top", "_overlap", "_strength", "_core")
 
 
 def operating_mode(ratio: Column, stopped: float = 0.03, generating: float = 0.15) -> Column:
@@ -121,4 +159,4 @@ def debounced(df: DataFrame, mode: str, key: Sequence[str], order: str, n: int =
     return runs.withColumn("_at", at).withColumn(name, F.last(F.when(F.col("_at") >= n, F.col(mode)), True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_i", "_at")
 
 
-__all__ = ["DetectorConfig", "base_z", "composite_rank", "confidence", "debounced", "detect", "flag_segments", "operating_mode", "power_evidence", "row_scores", "stable_core", "true_ranges"]
+__all__ = ["DetectorConfig", "base_z", "composite_rank", "confidence", "debounced", "detect", "flag_segments", "localized", "operating_mode", "power_evidence", "row_scores", "stable_core", "true_ranges"]

@@ -167,3 +167,9 @@ def ewma(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], n:
     kind = ",".join(f"{o}:{df.schema[o].dataType.simpleString()}" for o in order)
     start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var"), F.array().cast(f"array<struct<{kind},ewma_mean:double,ewma_var:double>>").alias("out"))
     return rows.select(*key, F.explode(F.aggregate("_rows", start, step)["out"]).alias("_o")).select(*key, "_o.*")
+
+
+def single_precision(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns as float; NaN and infinities become null. All columns in one projection, whatever their number."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return df.withColumns({c: finite(F.col(f"`{c}`").cast("float")) for c in columns})

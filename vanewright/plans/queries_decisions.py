@@ -129,13 +129,6 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d)
 
 
-@query("d12_event_decision", f"""WITH {FEATURES}, b AS (SELECT *, persistent_hours >= 2 AS p, cluster_count >= 1 AND max_short_24h >= 4 AS c, localized_count >= 1 AND n_detectors >= 2 AS l, n_detectors >= 3 AND (persistent_hours > 0 OR localized_count >= 1) AS m FROM f),
-v AS (SELECT *, CASE WHEN p AND c THEN 3 WHEN p OR c OR l OR m THEN 2 WHEN short_count >= 2 OR persistent_hours > 0 OR localized_count >= 1 OR censored THEN 1 ELSE 0 END AS level FROM b)
-SELECT w_id, level, CASE WHEN level >= 2 THEN 'anomaly' WHEN level = 1 THEN 'review' ELSE 'normal' END AS decision, concat_ws(';', CASE WHEN p THEN 'persistent' END, CASE WHEN c THEN 'cluster' END, CASE WHEN l THEN 'localized' END, CASE WHEN m THEN 'multi_detector' END, CASE WHEN censored THEN 'censored' END) AS reasons, censored OR level = 1 AS manual_review FROM v""")
-def d12(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.event_decision(_features(spark, d)).select("w_id", "level", "decision", "reasons", "manual_review")
-
-
 TRI = "['anomaly', 'review', 'normal']"
 
 

@@ -187,15 +187,8 @@ def p26(spark: SparkSession, d: str) -> DataFrame:
     return j.select("w_id", "event_id", scalars.interval_relation(F.col("start"), F.col("end"), F.col("w_start"), F.col("w_end"), 12).alias("relation"))
 
 
-@query("p27_nearest_interval", f"WITH {CLIPPED} SELECT event_id, round(min(CASE WHEN w_s IS NOT NULL THEN greatest(0, (epoch_us(w_s) - epoch_us(e)) / 3.6e9, (epoch_us(s) - epoch_us(w_e)) / 3.6e9) END), 5) AS nearest_hours FROM spans LEFT JOIN win USING (user_id) WHERE event_id < 2000 GROUP BY 1")
+@query("p27_nearest_interval", f"WITH {CLIPPED} SELECT event_id, round(min(CASE WHEN w_s IS NOT NULL THEN greatest(0, (epoch_us(w_s) - epoch_us(e)) / 3.6e9, (epoch_us(s) - epoch_us(w_e)) / 3.6e9) END), 5) AS nearest_hours FROM spans LEFT JOIN win USING (user_id) GROUP BY 1")
 def p27(spark: SparkSession, d: str) -> DataFrame:
-    n = intervals.nearest_hours(spans(spark, d).where("event_id < 2000"), windows(spark, d), ["user_id"], ("start", "end"), ("w_start", "w_end"), ["event_id"])
-    return n.select("event_id", F.round("nearest_hours", 5).alias("nearest_hours"))
-
-
-@query("p27_nearest_interval_all")
-def p27_all(spark: SparkSession, d: str) -> DataFrame:
-    """p27 over every span; its SQL and p27_nearest_interval hold the first 2,000 events only."""
     n = intervals.nearest_hours(spans(spark, d), windows(spark, d), ["user_id"], ("start", "end"), ("w_start", "w_end"), ["event_id"])
     return n.select("event_id", F.round("nearest_hours", 5).alias("nearest_hours"))
 
@@ -217,16 +210,8 @@ def j06b(spark: SparkSession, d: str) -> DataFrame:
     return intervals.bucketed_overlap(windows(spark, d), spans(spark, d), ["user_id"], ("w_start", "w_end"), ("start", "end"), 6 * 3600).select("w_id", "event_id")
 
 
-@query("j07_containment_parent", f"WITH {CLIPPED}, x AS (SELECT event_id, user_id, s, e FROM spans WHERE event_id % 5 = 0), j AS (SELECT x.event_id, w_id, row_number() OVER (PARTITION BY x.event_id ORDER BY w_label NULLS LAST, w_s NULLS LAST) AS n FROM x LEFT JOIN win ON x.user_id = win.user_id AND s >= w_s AND e <= w_e) SELECT event_id, w_id AS parent FROM j WHERE n = 1")
+@query("j07_containment_parent", f"WITH {CLIPPED}, x AS (SELECT event_id, user_id, s, e FROM spans), j AS (SELECT x.event_id, w_id, row_number() OVER (PARTITION BY x.event_id ORDER BY w_label NULLS LAST, w_s NULLS LAST) AS n FROM x LEFT JOIN win ON x.user_id = win.user_id AND s >= w_s AND e <= w_e) SELECT event_id, w_id AS parent FROM j WHERE n = 1")
 def j07(spark: SparkSession, d: str) -> DataFrame:
-    p = windows(spark, d).withColumnsRenamed({"w_start": "p_start", "w_end": "p_end"})
-    c = intervals.contained_parent(spans(spark, d).where("event_id % 5 = 0"), p, ["user_id"], "event_id", ["w_label", "p_start"])
-    return c.select("event_id", F.col("w_id").alias("parent"))
-
-
-@query("j07_containment_parent_all")
-def j07_all(spark: SparkSession, d: str) -> DataFrame:
-    """j07 over every span; its SQL and j07_containment_parent hold every fifth event only."""
     p = windows(spark, d).withColumnsRenamed({"w_start": "p_start", "w_end": "p_end"})
     c = intervals.contained_parent(spans(spark, d), p, ["user_id"], "event_id", ["w_label", "p_start"])
     return c.select("event_id", F.col("w_id").alias("parent"))
@@ -271,16 +256,9 @@ def t02(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_n(e, ["user_id"], [F.desc("value"), "event_id"], 20).select("user_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("t05_primary_detector", "WITH s AS (SELECT user_id, list(DISTINCT event_type) AS a FROM events WHERE event_id % 40 = 0 GROUP BY 1) SELECT user_id, coalesce(list_filter(['error', 'signup', 'purchase'], lambda x: list_contains(a, x))[1], list_sort(a)[1]) AS main FROM s")
+@query("t05_primary_detector", "WITH s AS (SELECT user_id, list(DISTINCT event_type) AS a FROM events GROUP BY 1) SELECT user_id, coalesce(list_filter(['error', 'signup', 'purchase'], lambda x: list_contains(a, x))[1], list_sort(a)[1]) AS main FROM s")
 def t05(spark: SparkSession, d: str) -> DataFrame:
-    s = events(spark, d, "event_id", "user_id", "event_type").where("event_id % 40 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
-    return s.select("user_id", ranking.by_priority(F.col("a"), ["error", "signup", "purchase"]).alias("main"))
-
-
-@query("t05_primary_detector_all")
-def t05_all(spark: SparkSession, d: str) -> DataFrame:
-    """t05 over every event; its SQL and t05_primary_detector hold every fortieth event only."""
-    s = events(spark, d, "user_id", "event_type").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
+    s = events(spark, d, "event_id", "user_id", "event_type").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
     return s.select("user_id", ranking.by_priority(F.col("a"), ["error", "signup", "purchase"]).alias("main"))
 
 

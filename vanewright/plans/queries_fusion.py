@@ -60,11 +60,11 @@ def w18(spark: SparkSession, d: str) -> DataFrame:
     return baselines.comparison_scale(hourly(spark, d), ["base"], "t", "value").select("base", r("scale").alias("scale"))
 
 
-@query("w31_transition_score", f"WITH {HOURLY}, x AS (SELECT base, t, avg(value / 100) OVER (PARTITION BY base ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS f, value FROM h) SELECT base, {T}, round(f, 6) AS rolling_fraction, round(f * (1 + ln(1 + value)), 6) AS transition_score, f >= 0.5 AS transition_flag FROM x")
+@query("w31_transition_score", f"WITH {HOURLY}, x AS (SELECT base, t, avg(value / 100) OVER (PARTITION BY base ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS f, value FROM h) SELECT base, {T}, round(f, 9) AS rolling_fraction, round(f * (1 + ln(1 + value)), 9) AS transition_score, f >= 0.5 AS transition_flag FROM x")
 def w31(spark: SparkSession, d: str) -> DataFrame:
     h = hourly(spark, d).withColumn("f", F.col("value") / 100)
     out = baselines.transition_score(h, ["base"], "t", "f", "value", 6, 0.5)
-    return out.select("base", sec("t").alias("t"), r("rolling_fraction").alias("rolling_fraction"), r("transition_score").alias("transition_score"), "transition_flag")
+    return out.select("base", sec("t").alias("t"), F.round("rolling_fraction", 9).alias("rolling_fraction"), F.round("transition_score", 9).alias("transition_score"), "transition_flag")
 
 
 @query("w32_state_score", f"WITH {HOURLY} SELECT base, {T}, round(median(value / 100 + 0.01::DOUBLE * value) OVER (PARTITION BY base ORDER BY t ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 8) AS score FROM h")
@@ -89,15 +89,8 @@ def p21(spark: SparkSession, d: str) -> DataFrame:
     return baselines.annotate(e, windows(spark, d), ["user_id"], "ts", "w_start", "w_end", "w_id", ["w_id", "w_label"]).select("event_id", "w_id", "w_label")
 
 
-@query("p23_exclusion_hull", "WITH x AS (SELECT event_id, user_id, ts, CAST(event_type = 'error' AS INTEGER) AS y FROM events WHERE user_id % 10 = 0), w AS (SELECT *, min(ts) FILTER (WHERE y = 1) OVER (PARTITION BY user_id) AS a, max(ts) FILTER (WHERE y = 1) OVER (PARTITION BY user_id) AS b FROM x) SELECT event_id FROM w WHERE y = 1 OR NOT coalesce(ts BETWEEN a - INTERVAL 12 HOUR AND b + INTERVAL 12 HOUR, false)")
+@query("p23_exclusion_hull", "WITH x AS (SELECT event_id, user_id, ts, CAST(event_type = 'error' AS INTEGER) AS y FROM events), w AS (SELECT *, min(ts) FILTER (WHERE y = 1) OVER (PARTITION BY user_id) AS a, max(ts) FILTER (WHERE y = 1) OVER (PARTITION BY user_id) AS b FROM x) SELECT event_id FROM w WHERE y = 1 OR NOT coalesce(ts BETWEEN a - INTERVAL 12 HOUR AND b + INTERVAL 12 HOUR, false)")
 def p23(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d, "event_id", "user_id", "ts", "event_type").where("user_id % 10 = 0").withColumn("y", (F.col("event_type") == "error").cast("int"))
-    return baselines.exclusion_hull(e, ["user_id"], "ts", "y", 12).select("event_id")
-
-
-@query("p23_exclusion_hull_all")
-def p23_all(spark: SparkSession, d: str) -> DataFrame:
-    """p23 over every user; its SQL and p23_exclusion_hull hold every tenth user only."""
     e = events(spark, d, "event_id", "user_id", "ts", "event_type").withColumn("y", (F.col("event_type") == "error").cast("int"))
     return baselines.exclusion_hull(e, ["user_id"], "ts", "y", 12).select("event_id")
 
@@ -147,19 +140,10 @@ def d19(spark: SparkSession, d: str) -> DataFrame:
     return fusion.payload(e, "event_id", ["event_id", "event_type", "label"])
 
 
-@query("j11_own_context", f"""WITH {SPANS}, {WINDOWS}, c AS (SELECT event_id, user_id, s, e FROM spans WHERE event_id % 11 = 0),
+@query("j11_own_context", f"""WITH {SPANS}, {WINDOWS}, c AS (SELECT event_id, user_id, s, e FROM spans),
 j AS (SELECT event_id, w_id, CASE WHEN w_id IS NULL THEN 'none' WHEN least(e, w_e) > greatest(s, w_s) THEN 'overlapping' WHEN e <= w_s THEN 'before' ELSE 'after' END AS position, CASE WHEN w_id IS NOT NULL THEN greatest(0, (epoch_us(w_s) - epoch_us(e)) / 3.6e9, (epoch_us(s) - epoch_us(w_e)) / 3.6e9) END AS dist FROM c LEFT JOIN win USING (user_id))
 SELECT event_id, w_id AS nearest, position, round(dist, 5) AS distance_hours FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist NULLS LAST, w_id) AS n FROM j) WHERE n = 1""")
 def j11c(spark: SparkSession, d: str) -> DataFrame:
-    c = spans(spark, d).where("event_id % 11 = 0").select("user_id", F.col("event_id").alias("c_id"), "start", "end")
-    e = windows(spark, d).select("user_id", F.col("w_id").alias("event_id"), F.col("w_start").alias("e_start"), F.col("w_end").alias("e_end"))
-    o = fusion.own_context(c, e, ["user_id"], "c_id")
-    return o.select(F.col("c_id").alias("event_id"), F.col("event_id").alias("nearest"), "position", F.round("distance_hours", 5).alias("distance_hours"))
-
-
-@query("j11_own_context_all")
-def j11c_all(spark: SparkSession, d: str) -> DataFrame:
-    """j11 over every span; its SQL and j11_own_context hold every eleventh event only."""
     c = spans(spark, d).select("user_id", F.col("event_id").alias("c_id"), "start", "end")
     e = windows(spark, d).select("user_id", F.col("w_id").alias("event_id"), F.col("w_start").alias("e_start"), F.col("w_end").alias("e_end"))
     o = fusion.own_context(c, e, ["user_id"], "c_id")

@@ -35,13 +35,6 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("name").agg((F.count("v") / F.count("*")).alias("valid")).where("valid >= 0.5").select("name", r("valid").alias("valid"))
 
 
-@query("p15_subsystems", "SELECT p_partkey, CASE WHEN contains(lower(x), 'gearbox') OR contains(lower(x), 'gear box') OR contains(lower(x), 'gear oil') THEN 'gearbox' WHEN contains(lower(x), 'generator') OR contains(lower(x), 'stator') OR contains(lower(x), 'rotor winding') THEN 'generator' WHEN contains(lower(x), 'main bearing') OR contains(lower(x), 'rotor bearing') THEN 'main_bearing' WHEN contains(lower(x), 'pitch') OR contains(lower(x), 'blade angle') THEN 'pitch' WHEN contains(lower(x), 'yaw') OR contains(lower(x), 'nacelle direction') THEN 'yaw' WHEN contains(lower(x), 'hydraulic') THEN 'hydraulic' WHEN contains(lower(x), 'transformer') THEN 'transformer' WHEN contains(lower(x), 'converter') OR contains(lower(x), 'inverter') OR contains(lower(x), 'igbt') THEN 'converter' WHEN contains(lower(x), 'cooling') OR contains(lower(x), 'coolant') OR contains(lower(x), 'fan') THEN 'cooling' WHEN contains(lower(x), 'grid') OR contains(lower(x), 'voltage') OR contains(lower(x), 'current') OR contains(lower(x), 'frequency') THEN 'grid' WHEN contains(lower(x), 'wind') OR contains(lower(x), 'anemometer') THEN 'wind' WHEN contains(lower(x), 'temperature') OR contains(lower(x), 'temp') THEN 'temperature' END AS subsystem FROM (SELECT p_partkey, ['Gear oil temp', 'Stator current', 'Pitch angle', 'Yaw fan', 'Grid voltage', 'Wind speed', 'Ambient temperature', 'Odd'][1 + p_partkey % 8] AS x FROM part)")
-def p15(spark: SparkSession, d: str) -> DataFrame:
-    names = ("Gear oil temp", "Stator current", "Pitch angle", "Yaw fan", "Grid voltage", "Wind speed", "Ambient temperature", "Odd")
-    x = F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % 8).cast("int"))
-    return table(spark, d, "part").select("p_partkey", scalars.subsystem(x).alias("subsystem"))
-
-
 @query("p19_reference_windows", f"WITH {WINDOWS}, c AS (SELECT w_id, count(*) FILTER (WHERE ts >= w_s - INTERVAL 48 HOUR) AS near, count(*) AS pre FROM win JOIN events ON events.user_id = win.user_id AND ts < w_s GROUP BY 1) SELECT w_id, near, pre, CASE WHEN near >= 4 THEN 'window' WHEN pre >= 4 THEN 'all_before' ELSE 'none' END AS reference FROM c")
 def p19(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d, "user_id", "ts")
@@ -142,14 +135,6 @@ def w37(spark: SparkSession, d: str) -> DataFrame:
     return w.select(sec("t").alias("t"), (F.coalesce(F.col("a") > 55, no) | F.coalesce(F.col("b") < 30, no)).alias("control"))
 
 
-@query("r07_data_quality", f"WITH {HOURLY}, x AS (SELECT base, t, value, lag(value) OVER ({W}) AS pv, (epoch_us(t) - epoch_us(lag(t) OVER ({W}))) / 6e7 AS gap FROM h) SELECT base, {T}, coalesce(abs(value - pv) <= 1e-12 + 1e-9 * abs(pv), false) AS frozen, coalesce(gap > 90, false) AS gap FROM x")
-def r07(spark: SparkSession, d: str) -> DataFrame:
-    w = frames.keyed(["base"], ["t"])
-    pv, gap = F.lag("value").over(w), (F.unix_micros("t") - F.unix_micros(F.lag("t").over(w))) / 6e7
-    no = F.lit(False)
-    return hourly(spark, d).select("base", sec("t").alias("t"), F.coalesce(F.abs(F.col("value") - pv) <= 1e-12 + 1e-9 * F.abs(pv), no).alias("frozen"), F.coalesce(gap > 90, no).alias("gap"))
-
-
 @query("r11_streaming_persistent", f"WITH {HOURLY}, m AS (SELECT *, count(*) OVER f = 6 AND avg(value / 100) OVER f >= 0.5 AS hit FROM h WINDOW f AS ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), i AS (SELECT *, sum(CASE WHEN hit IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER ({W}) AS k FROM (SELECT *, lag(hit) OVER ({W}) AS p FROM m)) SELECT base, {T}, hit AND row_number() OVER (PARTITION BY base, k ORDER BY t) >= 4 AS persistent FROM i")
 def r11(spark: SparkSession, d: str) -> DataFrame:
     f = frames.trailing(frames.keyed(["base"], ["t"]), 6)
@@ -213,20 +198,6 @@ def m07(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_n(e, ["user_id"], [F.md5(F.col("event_id").cast("string").cast("binary"))], 20).select("event_id")
 
 
-@query("d16_stream_patterns", "WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS e, count(*) FILTER (WHERE event_type = 'signup') AS s, count(*) AS n FROM events GROUP BY 1) SELECT user_id, CASE WHEN e = 0 AND s = 0 THEN 'quiet' WHEN e >= 12 AND s >= 12 THEN 'multi_family' WHEN e >= 12 THEN 'repeated' WHEN s >= 12 THEN 'onset' ELSE 'isolated' END AS pattern FROM c")
-def d16(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_type")
-    c = events(spark, d, "user_id", "event_type").groupBy("user_id").agg(F.count_if(k == "error").alias("e"), F.count_if(k == "signup").alias("s"))
-    e, s = F.col("e"), F.col("s")
-    return c.select("user_id", F.when((e == 0) & (s == 0), "quiet").when((e >= 12) & (s >= 12), "multi_family").when(e >= 12, "repeated").when(s >= 12, "onset").otherwise("isolated").alias("pattern"))
-
-
-@query("d07_confidence", "SELECT event_id, CASE WHEN c AND p >= 0.9 AND n >= 6 THEN 'Very High' WHEN c AND p >= 0.7 THEN 'High' WHEN c OR p >= 0.8 THEN 'Medium' ELSE 'Candidate only' END AS band FROM (SELECT event_id, value / 100 AS p, event_id % 12 AS n, event_id % 2 = 0 AS c FROM events)")
-def d07(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("event_id")
-    return events(spark, d, "event_id", "value").select("event_id", detectors.confidence(F.col("value") / 100, i % 12, i % 2 == 0).alias("band"))
-
-
 @query("d20_error_categories", f"WITH {PREDICTIONS} SELECT doc_id, repeat, CASE WHEN actual = predicted THEN 'correct' WHEN predicted = 1 AND probability - threshold < 0.1 THEN 'false_positive_near' WHEN predicted = 1 THEN 'false_positive_clear' WHEN threshold - probability < 0.1 THEN 'false_negative_near' ELSE 'false_negative_clear' END AS category FROM p")
 def d20(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("probability") - F.col("threshold")
