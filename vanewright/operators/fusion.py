@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import hours_between, overlap_hours
 from .decisions import offlog_priority
@@ -102,3 +103,23 @@ def own_context(candidates: DataFrame, events: DataFrame, key: Sequence[str], id
     position = F.when(F.col("event_id").isNull(), "none").when(inside, "overlapping").when(F.col("end") <= F.col("e_start"), "before").otherwise("after")
     j = j.withColumns({"position": position, "distance_hours": F.when(F.col("event_id").isNotNull(), gap)})
     return j.withColumn("_n", F.row_number().over(Window.partitionBy(ids).orderBy(F.col("distance_hours").asc_nulls_last(), "event_id"))).where("_n = 1").select(ids, "event_id", "position", "distance_hours")
+
+
+def vote_reason(fraction: Column, stability: Column) -> Column:
+    """A sentence on a document's repeated predictions."""
+    return F.concat(F.round(fraction * 100).cast("bigint").cast("string"), F.lit(" % of the votes are for an anomaly; the votes are "), stability, F.lit("."))
+
+
+def without_fields(value: Column, kind: T.DataType, prohibited: Sequence[str] = PROHIBITED, rename: dict[str, str] | None = None, replace: dict[str, str] | None = None) -> Column:
+    """A nested value without prohibited fields at any depth, with fields renamed and parts of texts replaced. It
+    follows the schema, so the work is one projection."""
+    rename, replace = rename or {}, replace or {}
+    again = lambda v, t: without_fields(v, t, prohibited, rename, replace)
+    if isinstance(kind, T.StructType):
+        return F.struct(*(again(value[f.name], f.dataType).alias(rename.get(f.name, f.name)) for f in kind if f.name not in prohibited))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: again(x, kind.elementType))
+    if isinstance(kind, T.StringType):
+        for old, new in replace.items():
+            value = F.replace(value, F.lit(old), F.lit(new))
+    return value

@@ -118,3 +118,13 @@ def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, valu
     w = Window.partitionBy(*key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumns({v: F.last(v, True).over(w) for v in values})
     return filled.where("_side = 1").drop("_side")
+
+
+def active_counts(df: DataFrame, key: Sequence[str], start: str, end: str) -> DataFrame:
+    """(key, start, end, n): atomic intervals between neighbouring boundaries with the number of intervals active in
+    them. Starts count up and ends count down in one running sum, so that nothing is joined; empty intervals don't count."""
+    real = df.where(F.col(end) > F.col(start))
+    steps = real.select(*key, F.col(start).alias("_t"), F.lit(1).alias("_d")).union(real.select(*key, F.col(end).alias("_t"), F.lit(-1).alias("_d"))).groupBy(*key, "_t").agg(F.sum("_d").alias("_d"))
+    w = keyed(key, ["_t"])
+    out = steps.withColumns({"n": F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_z": F.lead("_t").over(w)})
+    return out.where("n > 0 and _z is not null").select(*key, F.col("_t").alias("start"), F.col("_z").alias("end"), "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,14 @@ def left_chain(base: DataFrame, others: Sequence[tuple[DataFrame, Sequence[str]]
     for other, key in others:
         base = base.join(other, list(key), "left")
     return base.na.fill(0, list(zeros)) if zeros else base
+
+
+def aligned(left: DataFrame, right: DataFrame, key: Sequence[str], l_order: Sequence[str], r_order: Sequence[str]) -> DataFrame:
+    """Two tables side by side by row number within a key; the longer one's further rows get nulls. Order columns that
+    the tables share come from neither."""
+    shared = [c for c in left.columns if c in right.columns and c not in key]
+
+    def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+        return df.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).drop(*shared)
+
+    return numbered(left, l_order).join(numbered(right, r_order), [*key, "n"], "full")

@@ -85,19 +85,35 @@ def binomial_column(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def bootstrap_difference(pairs: DataFrame, a: str, b: str, ids: str, resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Mean of a - b with a percentile interval over resampled rows.
+def resampled(pairs: DataFrame, a: str, b: str, ids: str, resamples: int, seed: int = 0) -> DataFrame:
+    """(resample, drawn, m): rows drawn and their mean of a - b, for each resample.
 
-    Each row gets a Poisson(1) weight for each resample, from a hash of (seed, resample, id): resamples are then made
+    Each row gets a Poisson(1) weight for each resample, from a digest of (seed, resample, id): resamples are then made
     in one pass with partial sums, and no row is drawn by position.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "resample", ids), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col(ids).cast("string")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 10), 16, 10).cast("bigint") + 0.5) / float(1 << 40)
     cdf, p, weight = 0.0, math.exp(-1), F.lit(0)
     for k in range(9):
         cdf += p
         weight = weight + F.when(u > cdf, 1).otherwise(0)
         p /= k + 1
     draws = pairs.select(ids, (F.col(a) - F.col(b)).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    means = draws.withColumn("w", weight).groupBy("resample").agg((F.sum(F.col("w") * F.col("d")) / F.when(F.sum("w") > 0, F.sum("w"))).alias("m"))
+    return draws.withColumn("w", weight).groupBy("resample").agg(F.sum("w").alias("drawn"), (F.sum(F.col("w") * F.col("d")) / F.when(F.sum("w") > 0, F.sum("w"))).alias("m"))
+
+
+def bootstrap_difference(pairs: DataFrame, a: str, b: str, ids: str, resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Mean of a - b over resampled rows with a percentile interval, and the share of resamples where it is positive."""
     q = (1 - level) / 2
-    return means.agg(F.avg("m").alias("mean_difference"), F.percentile("m", q).alias("low"), F.percentile("m", 1 - q).alias("high"), F.avg((F.col("m") > 0).cast("int")).alias("support"))
+    return resampled(pairs, a, b, ids, resamples, seed).agg(F.avg("m").alias("mean_difference"), F.percentile("m", q).alias("low"), F.percentile("m", 1 - q).alias("high"), F.avg((F.col("m") > 0).cast("int")).alias("support"))
+
+
+def rank_candidates(df: DataFrame, targets: dict[str, tuple[float, str]], by: Sequence[Column | str]) -> DataFrame:
+    """Adds feasible (every target met), miss (how far the targets are missed together) and rank: feasible ones first,
+    then those that miss least, then ``by``. One row for each candidate is ordered."""
+    miss = sum((F.greatest(F.lit(0.0), (limit - F.col(c)) if kind == "least" else (F.col(c) - limit)) for c, (limit, kind) in targets.items()), F.lit(0.0))
+    met = F.lit(True)
+    for c, (limit, kind) in targets.items():
+        met = met & (F.col(c) >= limit if kind == "least" else F.col(c) <= limit)
+    rated = df.withColumns({"feasible": met, "miss": F.round(miss, 9)})
+    return rated.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("feasible").cast("int")), "miss", *by)))

@@ -72,3 +72,13 @@ def summary(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """(key, n, mean, std, median, q25, q75, p2_5, p97_5)."""
     q = F.percentile(value, F.array(*map(F.lit, (0.025, 0.25, 0.5, 0.75, 0.975))))
     return df.groupBy(*key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("_q")).select(*key, "n", "mean", "std", *(F.col("_q")[i].alias(n) for i, n in enumerate(("p2_5", "q25", "median", "q75", "p97_5"))))
+
+
+def reference_z(df: DataFrame, reference: Column, key: Sequence[str], value: str) -> DataFrame:
+    """Adds mean, std, median, mad, min and max of the reference rows, and z by the median and 1.4826 MAD, else by mean
+    and standard deviation, else 0."""
+    first = df.where(reference).groupBy(*key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"))
+    mad = df.where(reference).join(first.select(*key, "median"), list(key)).groupBy(*key).agg(F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
+    out = df.join(first.join(mad, list(key)), list(key), "left")
+    z = F.when(F.col("mad") > LEAST, F.abs(F.col(value) - F.col("median")) / (MAD * F.col("mad"))).when(F.col("std") > LEAST, F.abs(F.col(value) - F.col("mean")) / F.col("std")).otherwise(0.0)
+    return out.withColumn("z", z)

@@ -202,13 +202,6 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
     return g.select(*(r(c).alias(c) for c in g.columns))
 
 
-@query("a39_bootstrap_difference")
-def a39(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d).where("repeat <= 2")
-    wide = p.groupBy("doc_id").agg(F.max(F.when(F.col("repeat") == 1, (F.col("actual") == F.col("predicted")).cast("int"))).alias("a"), F.max(F.when(F.col("repeat") == 2, (F.col("actual") == F.col("predicted")).cast("int"))).alias("b"))
-    return metrics.bootstrap_difference(wide, "a", "b", "doc_id", 200)
-
-
 @query("a34_false_alarms", "WITH f AS (SELECT user_id, ts FROM events WHERE event_type = 'error'), g AS (SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1e6 > 43200 THEN 1 ELSE 0 END AS late FROM f), n AS (SELECT *, sum(late) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ep FROM g), m AS (SELECT user_id, count(DISTINCT ep) AS n_episodes FROM n GROUP BY 1), s AS (SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 8.64e10 AS days FROM events GROUP BY 1) SELECT user_id, n_episodes, round(n_episodes / (days / 30.4375::DOUBLE), 5) AS per_month FROM m JOIN s USING (user_id)")
 def a34(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d, "user_id", "ts", "event_type")

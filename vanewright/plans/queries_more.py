@@ -64,12 +64,6 @@ def a20(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d, "user_id", "event_type", "value").groupBy("user_id").agg(F.count_if(k == "error").alias("n_error"), r(F.avg(F.when(k == "error", v))).alias("mean_error"), r(F.max(F.when(k == "view", v))).alias("max_view"), r(F.count_if(v >= 50) / F.count("*")).alias("high_share"))
 
 
-@query("a22_model_dataset", "WITH a AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS e, (epoch_us(max(ts)) - epoch_us(min(ts))) / 8.64e10 AS days FROM events GROUP BY 1) SELECT user_id, round(n / days, 6) AS per_day, round(e / n, 6) AS error_share, round(ln(1 + e), 6) AS log_errors FROM a")
-def a22(spark: SparkSession, d: str) -> DataFrame:
-    a = events(spark, d, "user_id", "event_type", "ts").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 8.64e10).alias("days"))
-    return a.select("user_id", r(scalars.divide(F.col("n"), F.col("days"))).alias("per_day"), r(F.col("e") / F.col("n")).alias("error_share"), r(F.log1p("e")).alias("log_errors"))
-
-
 @query("a23_series_summary", f"WITH {HOURLY}, i AS (SELECT *, sum(CASE WHEN (value >= 50) IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER ({W}) AS k FROM (SELECT *, lag(value >= 50) OVER ({W}) AS p FROM h)), c AS (SELECT base, value, CASE WHEN value >= 50 THEN row_number() OVER (PARTITION BY base, k ORDER BY t) ELSE 0 END AS run FROM i) SELECT base, round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(quantile_cont(value, 0.95), 9) AS p95, round(avg(CAST(value >= 50 AS INTEGER)), 6) AS coverage, CAST(max(run) AS BIGINT) AS longest FROM c GROUP BY 1")
 def a23(spark: SparkSession, d: str) -> DataFrame:
     h = frames.run_length(hourly(spark, d).withColumn("flag", F.col("value") >= 50), "flag", ["base"], ["t"])
