@@ -219,7 +219,7 @@ def a37t(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("tier").agg(r(F.percentile("recall", 0.5)).alias("recall"), r(F.stddev_samp("recall")).alias("recall_std"), r(F.avg((F.col("fpr") > 0.3).cast("int"))).alias("violations"))
 
 
-@query("a43_early_warning_report", f"""WITH {SW}, j AS (SELECT w_id, w_label, w_s, greatest(w_s - INTERVAL 30 DAY, s) AS a, least(w_s, e) AS b FROM win LEFT JOIN spans ON win.user_id = spans.user_id AND event_type = 'error' AND e >= w_s - INTERVAL 30 DAY AND s <= w_s),
+@query("a43_early_warning_report", f"""WITH {SW}, j AS (SELECT w_id, w_label, w_s, CASE WHEN s IS NOT NULL THEN greatest(w_s - INTERVAL 30 DAY, s) END AS a, CASE WHEN s IS NOT NULL THEN least(w_s, e) END AS b FROM win LEFT JOIN spans ON win.user_id = spans.user_id AND event_type = 'error' AND e >= w_s - INTERVAL 30 DAY AND s <= w_s),
 f AS (SELECT w_id, w_label, coalesce(bool_or(b >= w_s - INTERVAL 7 DAY), false) AS d7, coalesce(bool_or(b >= w_s - INTERVAL 14 DAY), false) AS d14, coalesce(bool_or(b >= w_s - INTERVAL 30 DAY), false) AS d30, max((epoch_us(w_s) - epoch_us(a)) / 3.6e9) / 24 AS lead FROM j GROUP BY 1, 2),
 n AS (SELECT count(*) FILTER (WHERE w_label = 1) AS a, count(*) FILTER (WHERE w_label = 0) AS b FROM f)
 SELECT round(count(*) FILTER (WHERE w_label = 1 AND d7) / any_value(a), 6) AS recall_7, round(count(*) FILTER (WHERE w_label = 1 AND d14) / any_value(a), 6) AS recall_14, round(count(*) FILTER (WHERE w_label = 1 AND d30) / any_value(a), 6) AS recall_30, round(count(*) FILTER (WHERE w_label = 0 AND NOT d30) / any_value(b), 6) AS specificity, round(count(*) FILTER (WHERE w_label = 0 AND d30) / any_value(b), 6) AS false_alert_rate, round(median(lead) FILTER (WHERE w_label = 1 AND d30), 6) AS median_lead FROM f, n""")
@@ -403,14 +403,14 @@ SCALED = ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c})
 PARTS = " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, '{n}' AS feature, {n} * {w}::DOUBLE AS c FROM sc" for n, w in WEIGHTS.items())
 
 
-@query("d22_local_contributions", f"WITH sc AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, {SCALED} FROM lineitem), p AS ({PARTS}), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate ORDER BY round(abs(c), 9) DESC, feature) AS rank FROM p) SELECT l_orderkey, l_linenumber, feature, round(c, 5) AS contribution, rank FROM k WHERE rank <= 2")
+@query("d22_local_contributions", f"WITH sc AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, {SCALED} FROM lineitem), p AS ({PARTS}), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate ORDER BY abs(c) DESC, feature) AS rank FROM p) SELECT l_orderkey, l_linenumber, feature, round(c, 4) AS contribution, rank FROM k WHERE rank <= 2")
 def d22(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(F.col(c).cast("double").alias(n) for n, c in COLUMNS.items()))
     s = li.agg(*(F.avg(n).alias(f"m_{n}") for n in COLUMNS), *(F.stddev_pop(n).alias(f"s_{n}") for n in COLUMNS))
     # one row of means and deviations
-    x = li.crossJoin(F.broadcast(s)).select(F.struct("l_orderkey", "l_linenumber").alias("id"), *(F.round(F.when(F.col(f"s_{n}") > 0, (F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")).otherwise(0.0), 9).alias(n) for n in COLUMNS))
+    x = li.crossJoin(F.broadcast(s)).select(F.struct("l_orderkey", "l_linenumber").alias("id"), *(F.when(F.col(f"s_{n}") > 0, (F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")).otherwise(0.0).alias(n) for n in COLUMNS))
     c = tables.contributions(x, "id", WEIGHTS, 2)
-    return c.select("id.l_orderkey", "id.l_linenumber", "feature", F.round("contribution", 5).alias("contribution"), F.col("rank").cast("bigint").alias("rank"))
+    return c.select("id.l_orderkey", "id.l_linenumber", "feature", F.round("contribution", 4).alias("contribution"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("d24_reason_texts", f"WITH {PREDICTIONS}, v AS (SELECT doc_id, avg(predicted) AS vf FROM p GROUP BY 1) SELECT doc_id, CAST(CAST(round(vf * 100) AS BIGINT) AS VARCHAR) || ' % of the votes are for an anomaly; the votes are ' || CASE WHEN greatest(vf, 1 - vf) >= 0.9 THEN 'stable' WHEN greatest(vf, 1 - vf) >= 0.7 THEN 'moderate' ELSE 'unstable' END || '.' AS reason FROM v")

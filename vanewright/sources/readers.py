@@ -145,3 +145,85 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 def pending(df: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key isn't among the finished ones: the way to resume."""
     return df.join(done.select(*key).distinct(), list(key), "left_anti")
+
+
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that answer to a pattern in any store, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(x.getPath().toString() for x in found or [])
+
+
+def resolve_one(spark: SparkSession, folder: str, names: Sequence[str], wildcard: str | None = None, required: bool = True) -> str | None:
+    """The first of the standard names that is there, else the one path that answers to the wildcard. Several, or none
+    if it is required, are an error."""
+    for name in names:
+        if found := _glob(spark, f"{folder}/{name}"):
+            return found[0]
+    found = _glob(spark, f"{folder}/{wildcard}") if wildcard else []
+    if len(found) > 1 or (required and not found):
+        raise FileNotFoundError(f"{len(found)} paths for {list(names)} or {wildcard} in {folder}")
+    return found[0] if found else None
+
+
+def event_names(event_id: str) -> list[str]:
+    """Names that an event's file may have."""
+    return [f"{event_id}.csv", f"event_{event_id}.csv", f"Event_{event_id}.csv"]
+
+
+def discover(spark: SparkSession, folder: str, wanted: Sequence[str] | None = None, glob: str = "*.csv") -> dict[str, str]:
+    """Paths by stem without an event prefix, all or those wanted."""
+    found = {p.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower().removeprefix("event_"): p for p in _glob(spark, f"{folder}/{glob}")}
+    return found if wanted is None else {k: v for k, v in found.items() if k in {w.lower().removeprefix("event_") for w in wanted}}
+
+
+def find_raw(spark: SparkSession, root: str, folders: Sequence[str], stem: str) -> str:
+    """A raw file of some spelling of its source's folder: the exact stem if there is one, else the first in order."""
+    found = sorted({p for f in folders for suffix in ("csv", "txt") for p in _glob(spark, f"{root}/{f}/*{stem}*.{suffix}")})
+    if not found:
+        raise FileNotFoundError(f"no file of {stem} below {root}")
+    return next((p for p in found if p.rsplit("/", 1)[-1].rsplit(".", 1)[0] == stem), found[0])
+
+
+def read_row_scores(spark: SparkSession, path: str, time: str, flags: Sequence[str]) -> DataFrame:
+    """Row scores with parsed times, rows without one left out, and flags as booleans."""
+    df = read_delimited(spark, path)
+    return df.withColumns({time: timestamp(F.col(time)), **{f: scalars.truth(F.col(f)) for f in flags if f in df.columns}}).where(F.col(time).isNotNull())
+
+
+def read_segments(spark: SparkSession, path: str, required: Sequence[str], ids: str = "event_id") -> DataFrame:
+    """A table of segments or features: required columns are checked, empty intervals go, of an id the last row stays."""
+    df = read_delimited(spark, path)
+    if missing := [c for c in required if c not in df.columns]:
+        raise ValueError(f"missing columns {missing}")
+    if {"start", "end"} <= set(df.columns):
+        df = df.withColumns({"start": timestamp(F.col("start")), "end": timestamp(F.col("end"))}).where("end > start")
+    return dedup_time(df.withColumn("_all", F.lit(0)), ["_all"], ids, [c for c in ("start", "end") if c in df.columns] or [ids], "last").drop("_all")
+
+
+#: Names that the columns of a warning episode may have (fixed values).
+EPISODE_ALIASES = {"start": ("start_time", "episode_start", "start"), "end": ("end_time", "episode_end", "end"), "score": ("max_score", "peak_score", "score")}
+
+
+def episode_table(df: DataFrame) -> DataFrame:
+    """Adds start, end and score of a warning-episode table by their aliases; a missing end, or one before the start, is
+    the start."""
+    pick = {k: [F.col(c) for c in names if c in df.columns] or [F.lit(None)] for k, names in EPISODE_ALIASES.items()}
+    start = F.coalesce(*pick["start"]).cast("timestamp")
+    end = F.coalesce(*pick["end"]).cast("timestamp")
+    return df.withColumns({"start": start, "end": F.greatest(start, F.coalesce(end, start)), "score": scalars.number(F.coalesce(*pick["score"]))})
+
+
+def numeric_features(df: DataFrame, denied: Sequence[str] = ()) -> list[str]:
+    """Columns that can be read as numbers with two different values or more, without the denied: one aggregation."""
+    names = [c for c in df.columns if c not in denied]
+    value = lambda c: scalars.number(F.col(f"`{c}`").cast("string"))
+    row = df.agg(*(F.min(value(c)).alias(f"a{i}") for i, c in enumerate(names)), *(F.max(value(c)).alias(f"z{i}") for i, c in enumerate(names))).first()
+    return [c for i, c in enumerate(names) if row[f"a{i}"] is not None and row[f"a{i}"] != row[f"z{i}"]]
+
+
+def one_asset(df: DataFrame, asset: str) -> DataFrame:
+    """The table; fails at run time if it holds several assets. The check is a one-row aggregation beside it."""
+    n = df.agg(F.count_distinct(asset).alias("_assets"))
+    sure = F.when(F.col("_assets") > 1, F.raise_error(F.lit("several assets in one event")).cast("boolean")).otherwise(F.lit(True))
+    return df.crossJoin(F.broadcast(n)).where(sure).drop("_assets")
