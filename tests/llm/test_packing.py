@@ -33,6 +33,12 @@ def test_the_added_token_between_words():
     assert np.frombuffer(ENCODER.encode(["hello <|endoftext|> x"])[0], "<u4").tolist() == [31373, 220, 50256, 2124]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\n\n", "\r\n", "ab", "A.", ".", "9", "9,", "'s", "é", "\t", "!?"]), max_size=10).map("".join))
+def test_lines_and_marks_equal_the_tokenizer(text):
+    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab Z\n\t\r  .,'é\U0001f600\x000 s<|>", max_size=60))
 def test_chunks_equal_the_tokenizer(text):

@@ -29,7 +29,7 @@ from .common import Scratch, read
 CAPACITY = 1024
 END_ID = 2
 #: Chunks from which the cache of a worker begins a new generation; the one before is kept beside it.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 #: Marks that are tokens' own pre-tokens when they follow a letter.
 MARKS = ".,;:!?"
 _CUT = re.compile(r"(?= \S)")
@@ -56,6 +56,7 @@ class ChunkEncoder:
         self.entries = entries
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self._newline = self._ids(["\n"])[0]
         self._marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -81,16 +82,25 @@ class ChunkEncoder:
         return keys - old
 
     def _learn(self, new: set[str]) -> None:
-        alone, marked, cache = set(), [], self.cache
+        """Lines within a chunk, and words before a mark, are looked at by themselves: most chunks then need no new ids."""
+        cache, marks = self.cache, self._marks
+        marked = lambda x: x[-1:] in marks and x[-2:-1].isalpha()
+        alone, made = set(), []
         for c in new:
-            if c[-1:] in self._marks and c[-2:-1].isalpha():
-                marked.append(c)
-                c = c[:-1]
-            alone.add(c)
+            lines = [c]
+            if "\n" in c:
+                cut = c.split("\n")
+                if all(x and not x[-1].isspace() for x in cut) and not any(x[0].isspace() for x in cut[1:]):
+                    lines = cut
+            if len(lines) > 1 or marked(c):
+                made.append((c, lines))
+            for x in lines:
+                alone.add(x[:-1] if marked(x) else x)
         items = list(self._missing(alone))
         for at in range(0, len(items), 10_000):
             cache.update(zip(part := items[at : at + 10_000], self._ids(part), strict=True))
-        cache.update((c, cache[c[:-1]] + self._marks[c[-1]]) for c in marked)
+        for c, lines in made:
+            cache[c] = self._newline.join([cache[x[:-1]] + marks[x[-1]] if marked(x) else cache[x] for x in lines])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._chunks(t) for t in texts]
