@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming.replay import replay
+from ..operators import detectors, frames
+from ..streaming import causal
+from ..streaming.replay import in_order, manifest, replay
 from ..streaming.snapshots import snapshots
 from ..streaming.step import StreamConfig
-from .fixtures import HOURLY, STATS, grid, hourly, r, sec
+from .fixtures import BASE_Z, GRID, HOURLY, STATS, events, grid, grid_long, hourly, r, sec
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -25,14 +27,185 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("r01_causal_replay")
-def r01(spark: SparkSession, d: str) -> DataFrame:
+T = "CAST(floor(epoch(t)) AS BIGINT) AS t"
+W = "PARTITION BY base ORDER BY t"
+CFG = StreamConfig(sampling_minutes=60, warmup=72, level=2.5, extreme=3.5, semantic_level=2.0, targeted_level=3.0, rare_share=0.01, stopped=0.85, generating=0.95)
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly grid as one source: (source, ts, status, values)."""
     g = grid(spark, d).unpivot(["t", "base"], list(STATS), "stat", "value")
     wide = g.groupBy("t").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat_ws("_", "base", "stat").alias("k"), "value")))).alias("values"), F.count("*").alias("n"))
-    df = wide.select(F.lit("fleet").alias("source"), F.col("t").alias("ts"), (F.col("n") % 7).cast("string").alias("status"), "values")
+    return wide.select(F.lit("fleet").alias("source"), F.col("t").alias("ts"), (F.col("n") % 7).cast("string").alias("status"), "values")
+
+
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
     signals = [f"{b}_{s}" for b in BASES for s in STATS]
-    cfg = StreamConfig(sampling_minutes=60, warmup=72, level=2.5, extreme=3.5, semantic_level=2.0, targeted_level=3.0, rare_share=0.01)
-    return replay(df, signals, ["purchase_avg", "signup_avg", "view_avg"], {"shop": ["purchase", "signup"], "site": ["click", "view"], "faults": ["error"]}, cfg)
+    return replay(_wide(spark, d), signals, ["purchase_avg", "signup_avg", "view_avg"], {"shop": ["purchase", "signup"], "site": ["click", "view"], "faults": ["error"]}, CFG)
+
+
+@query("r01_causal_replay")
+def r01(spark: SparkSession, d: str) -> DataFrame:
+    return _replayed(spark, d)
+
+
+@query("r02_warm_up", f"WITH {GRID}, n AS (SELECT t, row_number() OVER (ORDER BY t) AS n FROM (SELECT DISTINCT t FROM grid)) SELECT {T}, n > 72 AS warmup_complete, n <= 72 AS quiet FROM n WHERE n <= 200")
+def r02(spark: SparkSession, d: str) -> DataFrame:
+    """The first 72 rows only warm up: they have no score and no phase."""
+    x = _replayed(spark, d).withColumn("n", F.row_number().over(frames.keyed(["source"], ["ts"])))
+    return x.where("n <= 200").select(sec("ts").alias("t"), "warmup_complete", (F.col("state") == "warmup").alias("quiet"))
+
+
+@query("r04_operating_state", f"""WITH {GRID}, p AS (SELECT t, median(avg) FILTER (WHERE base IN ('purchase', 'signup', 'view')) AS p FROM grid GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY t) AS n FROM p), sc AS (SELECT abs(quantile_cont(p, 0.9)) AS s FROM n WHERE n <= 72),
+m AS (SELECT t, n, CASE WHEN p IS NULL THEN 'unknown' WHEN p / s < 0.85::DOUBLE THEN 'stopped' WHEN p / s < 0.95::DOUBLE THEN 'transition' ELSE 'generating' END AS mode FROM n, sc WHERE n > 72),
+i AS (SELECT *, sum(CASE WHEN mode = b THEN 0 ELSE 1 END) OVER (ORDER BY t) AS k FROM (SELECT *, lag(mode) OVER (ORDER BY t) AS b FROM m)),
+a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS nth FROM i)
+SELECT {T}, coalesce(last_value(CASE WHEN nth >= 3 THEN mode END IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 'unknown') AS mode FROM a""")
+def r04(spark: SparkSession, d: str) -> DataFrame:
+    return _replayed(spark, d).where("warmup_complete").select(sec("ts").alias("t"), "mode")
+
+
+TOKENS = "tk AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 41 = 0 THEN 'odd' || CAST(event_id % 3 AS VARCHAR) ELSE event_type END AS token FROM events)"
+
+
+@query("r05_status_rarity", f"WITH {TOKENS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos, coalesce(CAST(token <> lag(token) OVER (PARTITION BY user_id ORDER BY ts) AS INTEGER), 0) AS ch FROM tk), c AS (SELECT *, count(*) OVER (PARTITION BY user_id, token ORDER BY pos RANGE BETWEEN 40 PRECEDING AND 1 PRECEDING) AS seen, least(pos - 1, 40) AS k, sum(ch) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS b FROM n) SELECT event_id, k > 0 AND seen = 0 AS novel, k > 0 AND seen > 0 AND seen <= 0.05 * k AS rare, b >= 2 AS burst FROM c")
+def r05(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    e = events(spark, d, "event_id", "user_id", "event_type", "ts").withColumn("token", F.when(i % 41 == 0, F.concat(F.lit("odd"), (i % 3).cast("string"))).otherwise(F.col("event_type")))
+    return causal.status_rarity(e, ["user_id"], "ts", "token", 40, 0.05, 2).select("event_id", "novel", "rare", "burst")
+
+
+def _z(spark: SparkSession, d: str) -> DataFrame:
+    ref = F.col("t") < F.lit("2024-01-11 00:00:00").cast("timestamp")
+    return detectors.base_z(grid_long(spark, d).withColumn("fleet", F.lit("all")), ref, ["fleet"], "t")
+
+
+GROUPS = {"shop": ("purchase", "signup", "error"), "site": ("click", "view")}
+SEMANTIC = f"""{BASE_Z}, gr AS (SELECT unnest(['shop', 'shop', 'shop', 'site', 'site']) AS name, unnest(['purchase', 'signup', 'error', 'click', 'view']) AS base),
+g AS (SELECT t, name, count(*) AS n, count(*) FILTER (WHERE z >= 1.0) AS n_high FROM z JOIN gr USING (base) GROUP BY 1, 2), b AS (SELECT *, n_high >= least(n, 8, greatest(2, ceil(n * 0.2))) AS busy FROM g),
+h AS (SELECT *, coalesce(avg(CAST(busy AS DOUBLE)) OVER (PARTITION BY name ORDER BY t ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 0) AS burden FROM b)"""
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    g = spark.createDataFrame([(b, n) for n, bs in GROUPS.items() for b in bs], "base string, name string")
+    return causal.semantic_groups(_z(spark, d), g, ["fleet"], "t", 1.0, 24)
+
+
+@query("r06_semantic_groups", f"WITH {SEMANTIC} SELECT {T}, name, n_high, busy, round(burden, 6) AS burden, busy AND burden <= 0.10 AS onset, burden >= 0.20 - 1e-12 AS chronic FROM h")
+def r06(spark: SparkSession, d: str) -> DataFrame:
+    x = _groups(spark, d).withColumn("chronic", F.col("burden") >= 0.20 - 1e-12)
+    return x.select(sec("t").alias("t"), "name", "n_high", "busy", r("burden").alias("burden"), "onset", "chronic")
+
+
+@query("r16_targeted_onset", f"WITH {SEMANTIC}, i AS (SELECT *, sum(CASE WHEN busy THEN 0 ELSE 1 END) OVER (PARTITION BY name ORDER BY t) AS k FROM h), u AS (SELECT *, CASE WHEN busy THEN count(*) FILTER (WHERE busy) OVER (PARTITION BY name, k ORDER BY t) ELSE 0 END AS run FROM i) SELECT {T}, count(*) FILTER (WHERE run = 2) AS n_groups, count(*) FILTER (WHERE run = 2) BETWEEN 1 AND 2 AS targeted FROM u GROUP BY t")
+def r16(spark: SparkSession, d: str) -> DataFrame:
+    return causal.targeted_onset(_groups(spark, d), ["fleet"], "t").select(sec("t").alias("t"), "n_groups", "targeted")
+
+
+POWER = f"{HOURLY}, q AS (SELECT *, CASE WHEN count(value) OVER b >= 3 THEN median(value) OVER b END AS ref FROM h WINDOW b AS ({W} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)), pd AS (SELECT *, coalesce(ref > 0 AND value <= 0.9::DOUBLE * ref, false) AS dip FROM q), pr AS (SELECT *, coalesce(lag(dip) OVER ({W}) AND value >= 0.95::DOUBLE * lag(ref) OVER ({W}), false) AS rec FROM pd)"
+
+
+def _power(spark: SparkSession, d: str) -> DataFrame:
+    return causal.causal_power(hourly(spark, d), ["base"], "t", "value", 0.9, 0.95)
+
+
+@query("r08_causal_power", f"WITH {POWER} SELECT base, {T}, round(ref, 6) AS reference, dip, rec AS recovered FROM pr")
+def r08(spark: SparkSession, d: str) -> DataFrame:
+    return _power(spark, d).select("base", sec("t").alias("t"), r("reference").alias("reference"), "dip", "recovered")
+
+
+@query("r09_pending_stops", f"""WITH RECURSIVE {POWER}, x AS (SELECT base, t, epoch(t) AS s, pos, value, ref, dip, value < 52 AS opens FROM pr),
+f(base, pos, started, open_at, dips, stable, ref, rec, last) AS (SELECT DISTINCT base, 0, false, CAST(NULL AS DOUBLE), 0, 0, CAST(NULL AS DOUBLE), false, -1e18::DOUBLE FROM x UNION ALL
+SELECT base, pos, o IS NOT NULL AND ns >= 2 AND s - last >= 7200, CASE WHEN o IS NULL THEN CASE WHEN dip AND opens THEN s END WHEN ns >= 2 OR nd > 3 OR s - o > 36000 THEN NULL ELSE o END, CASE WHEN o IS NULL THEN 1 ELSE nd END, CASE WHEN o IS NULL THEN 0 ELSE ns END, CASE WHEN o IS NULL THEN xref ELSE fref END, CASE WHEN o IS NULL THEN false ELSE rec OR back END, CASE WHEN o IS NOT NULL AND ns >= 2 AND s - last >= 7200 THEN s ELSE last END
+FROM (SELECT x.base, x.pos, x.s, x.dip, x.opens, x.ref AS xref, f.open_at AS o, f.ref AS fref, f.rec, f.last, coalesce(x.value >= 0.95::DOUBLE * f.ref, false) AS back, CASE WHEN coalesce(x.value >= 0.95::DOUBLE * f.ref, false) THEN f.stable + 1 WHEN f.rec THEN 0 ELSE f.stable END AS ns, CASE WHEN coalesce(x.value >= 0.95::DOUBLE * f.ref, false) OR f.rec THEN f.dips ELSE f.dips + 1 END AS nd FROM f JOIN x ON x.base = f.base AND x.pos = f.pos + 1))
+SELECT x.base, CAST(floor(x.s) AS BIGINT) AS t, f.started FROM f JOIN x ON x.base = f.base AND x.pos = f.pos""")
+def r09(spark: SparkSession, d: str) -> DataFrame:
+    p = _power(spark, d).select("base", "t", F.col("value").alias("power"), "reference", "dip", (F.col("value") < 52).alias("opens"))
+    cfg = StreamConfig(recovery_ratio=0.95, stable_rows=2, max_dip=3, pending_minutes=600, independence_minutes=120)
+    return causal.pending_stops(p, ["base"], "t", cfg).select("base", sec("t").alias("t"), "started")
+
+
+@query("r10_stop_counts", f"WITH {HOURLY}, f AS (SELECT *, value < 45 AS flag FROM h), c AS (SELECT *, sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c2, sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6, sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS c24, coalesce(sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING), 0) / 7 >= 3 AS busy FROM f) SELECT base, {T}, CAST(c2 AS BIGINT) AS count_2, CAST(c6 AS BIGINT) AS count_6, CAST(c24 AS BIGINT) AS count_24, busy, flag AND CASE WHEN busy THEN c2 >= 4 OR c6 >= 3 OR c24 >= 8 ELSE c2 >= 3 OR c6 >= 2 OR c24 >= 6 END AS over FROM c")
+def r10(spark: SparkSession, d: str) -> DataFrame:
+    h = hourly(spark, d).withColumn("flag", F.col("value") < 45)
+    return causal.stop_counts(h, ["base"], "t", "flag", (2, 6, 24), 168).select("base", sec("t").alias("t"), "count_2", "count_6", "count_24", "busy", "over")
+
+
+@query("r12_localized_confirmation", f"WITH {HOURLY}, f AS (SELECT *, value >= 48 AS raw, coalesce(max(CAST(value >= 56 AS INTEGER)) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 1, false) AS near FROM h), i AS (SELECT *, sum(CASE WHEN raw IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER ({W}) AS k FROM (SELECT *, lag(raw) OVER ({W}) AS p FROM f)), n AS (SELECT *, sum(CAST(raw AND near AS INTEGER)) OVER (PARTITION BY base, k ORDER BY t ROWS UNBOUNDED PRECEDING) AS q FROM i) SELECT base, {T}, raw, raw AND near AND q = 1 AS confirmed FROM n")
+def r12(spark: SparkSession, d: str) -> DataFrame:
+    near = F.max((F.col("value") >= 56).cast("int")).over(frames.trailing(frames.keyed(["base"], ["t"]), 3)) == 1
+    h = hourly(spark, d).withColumns({"raw": F.col("value") >= 48, "near": near})
+    return causal.confirmed_once(h, ["base"], "t", "raw", "near").select("base", sec("t").alias("t"), "raw", "confirmed")
+
+
+@query("r13_slow_trend", f"WITH {HOURLY}, s AS (SELECT base, t, pos, (value - 50) / 2 AS z FROM h), w AS (SELECT base, t, count(*) OVER f = 24 AS full_, regr_slope(z, pos) OVER f AS sl, avg(z) OVER (PARTITION BY base ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) - avg(z) OVER (PARTITION BY base ORDER BY t ROWS BETWEEN 23 PRECEDING AND 18 PRECEDING) AS sh FROM s WINDOW f AS (PARTITION BY base ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)), g AS (SELECT t, count(*) FILTER (WHERE full_ AND abs(sl) >= 0.05 AND abs(sh) >= 1.0) AS n FROM w GROUP BY 1), i AS (SELECT *, sum(CASE WHEN n >= 2 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS k FROM g) SELECT {T}, n AS n_rising, n >= 2 AND count(*) FILTER (WHERE n >= 2) OVER (PARTITION BY k ORDER BY t) >= 3 AS trend FROM i")
+def r13(spark: SparkSession, d: str) -> DataFrame:
+    z = hourly(spark, d).select(F.lit("all").alias("fleet"), "base", "t", ((F.col("value") - 50) / 2).alias("z"))
+    return causal.slow_trend(z, ["fleet"], "t", 24, 1.0, 0.05, 1.0, 2, 3).select(sec("t").alias("t"), "n_rising", "trend")
+
+
+@query("r14_cluster_latch", f"WITH {HOURLY}, f AS (SELECT *, value >= 54 AS fire FROM h) SELECT base, {T}, fire, fire AND coalesce(sum(CAST(fire AS INTEGER)) OVER ({W} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) = 0 AS fired FROM f")
+def r14(spark: SparkSession, d: str) -> DataFrame:
+    h = hourly(spark, d).withColumn("fire", F.col("value") >= 54)
+    return causal.edge(h, ["base"], "t", "fire", 6).select("base", sec("t").alias("t"), "fire", "fired")
+
+
+@query("r15_fusion_latch", f"WITH {HOURLY}, f AS (SELECT *, pos % 3 BETWEEN 1 AND 2 AND value >= 47 AS w FROM h), i AS (SELECT *, sum(CASE WHEN w THEN 0 ELSE 1 END) OVER ({W}) AS k FROM f), u AS (SELECT *, w AND count(*) FILTER (WHERE w) OVER (PARTITION BY base, k ORDER BY t) >= 2 AS hit FROM i) SELECT base, {T}, hit AND coalesce(sum(CAST(hit AS INTEGER)) OVER ({W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), 0) = 0 AS fused FROM u")
+def r15(spark: SparkSession, d: str) -> DataFrame:
+    """One or two groups with corroboration, two rows in a row, then quiet for twelve."""
+    h = hourly(spark, d).withColumn("wanted", (F.col("pos") % 3).between(1, 2) & (F.col("value") >= 47))
+    h = frames.run_length(h, "wanted", ["base"], ["t"]).withColumn("hit", F.col("run") >= 2)
+    return causal.edge(h, ["base"], "t", "hit", 12, "fused").select("base", sec("t").alias("t"), "fused")
+
+
+@query("r17_communication_fault", f"WITH {TOKENS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM tk), c AS (SELECT *, count(*) OVER (PARTITION BY user_id, token ORDER BY pos RANGE BETWEEN 40 PRECEDING AND 1 PRECEDING) AS seen, least(pos - 1, 40) AS k FROM n), b AS (SELECT *, event_id % 3 < 2 AND k > 0 AND seen <= 0.3 * k AS bad FROM c), i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM b) SELECT event_id, bad AND count(*) FILTER (WHERE bad) OVER (PARTITION BY user_id, g ORDER BY ts) >= 2 AS fault FROM i")
+def r17(spark: SparkSession, d: str) -> DataFrame:
+    """Bad data and an unusual status together, two rows in a row."""
+    i = F.col("event_id")
+    e = events(spark, d, "event_id", "user_id", "event_type", "ts").withColumn("token", F.when(i % 41 == 0, F.concat(F.lit("odd"), (i % 3).cast("string"))).otherwise(F.col("event_type")))
+    s = causal.status_rarity(e, ["user_id"], "ts", "token", 40, 0.3, 2).withColumn("bad", (i % 3 < 2) & (F.col("novel") | F.col("rare")))
+    return frames.run_length(s, "bad", ["user_id"], ["ts"]).select("event_id", (F.col("run") >= 2).alias("fault"))
+
+
+PHASES = f"""{HOURLY}, x AS (SELECT base, t, pos, value >= 58 AS tr, value >= 54 AS rv, value >= 50 AS su FROM h),
+f(base, pos, phase, rows, closed) AS (SELECT DISTINCT base, 0, 'normal', 0, false FROM x UNION ALL
+SELECT base, pos, nx, CASE WHEN nx = phase THEN rows + 1 ELSE 0 END, phase = 'inactive_pending' AND nx = 'normal' FROM (SELECT x.base, x.pos, f.phase, f.rows, CASE f.phase
+WHEN 'normal' THEN CASE WHEN tr THEN 'active_alert' WHEN rv THEN 'candidate' ELSE 'normal' END
+WHEN 'candidate' THEN CASE WHEN tr THEN 'active_alert' WHEN NOT su AND rows + 1 >= 3 THEN 'normal' ELSE 'candidate' END
+WHEN 'active_alert' THEN CASE WHEN su THEN 'active_alert' ELSE 'recovery_pending' END
+WHEN 'recovery_pending' THEN CASE WHEN su THEN 'active_alert' WHEN rows + 1 >= 3 THEN 'inactive_pending' ELSE 'recovery_pending' END
+ELSE CASE WHEN tr THEN 'active_alert' WHEN rows + 1 >= 6 THEN 'normal' ELSE 'inactive_pending' END END AS nx FROM f JOIN x ON x.base = f.base AND x.pos = f.pos + 1))"""
+
+
+def _phases(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    h = hourly(spark, d).select("base", "t", (v >= 58).alias("trigger"), (v >= 54).alias("review"), (v >= 50).alias("support"), (v / 100).alias("score"))
+    return causal.alert_phases(h, ["base"], "t", StreamConfig(sampling_minutes=60, recovery_rows=3, merge_hours=6))
+
+
+@query("r19_alert_phases", f"WITH RECURSIVE {PHASES} SELECT x.base, CAST(floor(epoch(x.t)) AS BIGINT) AS t, phase, closed FROM f JOIN x ON x.base = f.base AND x.pos = f.pos")
+def r19(spark: SparkSession, d: str) -> DataFrame:
+    return _phases(spark, d).select("base", sec("t").alias("t"), "phase", "closed")
+
+
+@query("r20_right_censored", f"WITH RECURSIVE {PHASES} SELECT base, count(*) FILTER (WHERE closed) AS n_closed, arg_max(phase, pos) IN ('active_alert', 'recovery_pending', 'inactive_pending') AS right_censored FROM f WHERE pos > 0 GROUP BY 1")
+def r20(spark: SparkSession, d: str) -> DataFrame:
+    return causal.open_episodes(_phases(spark, d), ["base"], "t")
+
+
+@query("r21_order_and_repeats", "SELECT CAST(user_id AS VARCHAR) AS source, CAST(floor(epoch(ts)) AS BIGINT) AS t, max(CAST(event_id % 7 AS VARCHAR)) AS status FROM events GROUP BY user_id, ts")
+def r21(spark: SparkSession, d: str) -> DataFrame:
+    """Late and repeated rows: of rows with one time the last counts, whatever order they came in."""
+    e = events(spark, d, "event_id", "user_id", "ts").select(F.col("user_id").cast("string").alias("source"), "ts", (F.col("event_id") % 7).cast("string").alias("status"), F.create_map(F.lit("x"), F.lit(1.0)).alias("values"))
+    return in_order(e.union(e).repartition(3, F.rand(1))).select("source", sec("ts").alias("t"), "status")
+
+
+@query("r22_replay_manifest", f"WITH {GRID}, n AS (SELECT count(DISTINCT t) AS n FROM grid) SELECT source, CASE WHEN source = 'broken' THEN 0 ELSE n END AS n_rows, source = 'broken' AS failed FROM (SELECT unnest(['broken', 'fleet']) AS source), n")
+def r22(spark: SparkSession, d: str) -> DataFrame:
+    """A source that fails is reported and does not stop the other."""
+    w = _wide(spark, d)
+    both = w.union(w.select(F.lit("broken").alias("source"), "ts", "status", F.lit(None).cast("map<string,double>").alias("values")))
+    return manifest(replay(both, [f"{b}_{s}" for b in BASES for s in STATS], ["view_avg"], cfg=CFG)).select("source", "n_rows", "failed")
 
 
 @query(

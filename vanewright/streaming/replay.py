@@ -62,11 +62,21 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """One row for each source and time: of several the last by status, then values. Order is put in by the replay."""
+    return df.groupBy("source", "ts").agg(F.max_by(F.struct("status", "values"), F.struct(F.coalesce("status", F.lit("")), F.to_json("values"))).alias("x")).select("source", "ts", "x.*")
+
+
+def manifest(rows: DataFrame) -> DataFrame:
+    """(source, n_rows, n_episodes, failed, error) of replayed row scores."""
+    return rows.groupBy("source").agg(F.count("ts").alias("n_rows"), F.count("episode").alias("n_episodes"), (F.count("error") > 0).alias("failed"), F.max("error").alias("error"))
+
+
 def replay(df: DataFrame, signals: Sequence[str], power: Sequence[str] = (), groups: dict[str, Sequence[str]] | None = None, cfg: StreamConfig = StreamConfig()) -> DataFrame:
     """Row scores of every source, with an episode's columns in the row that closes it. Of rows with the same time the
     last (by status, then values) counts; the last row closes an open episode as censored."""
     lay = layout(signals, power, groups or {})
-    latest = df.groupBy("source", "ts").agg(F.max_by(F.struct("status", "values"), F.struct(F.coalesce("status", F.lit("")), F.to_json("values"))).alias("x")).select("source", "ts", "x.*")
+    latest = in_order(df)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         source = pdf["source"].iloc[0]

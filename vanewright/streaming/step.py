@@ -100,6 +100,39 @@ class Baseline:
         self.mean = mean
 
 
+@dataclass
+class PendingStop:
+    """A power dip that may turn out to be a short standstill."""
+
+    start: float = math.nan
+    dips: int = 0
+    stable: int = 0
+    reference: float = math.nan
+    recovered: bool = False
+    last: float = -math.inf
+
+    def update(self, now: float, power: float, reference: float, dip: bool, opens: bool, cfg: StreamConfig) -> bool:
+        """Takes a row in; true if it confirms a standstill far enough from the last one."""
+        if math.isnan(self.start):
+            if dip and opens:
+                self.start, self.dips, self.stable, self.reference, self.recovered = now, 1, 0, reference, False
+            return False
+        if power >= cfg.recovery_ratio * self.reference:
+            self.recovered, self.stable = True, self.stable + 1
+        elif self.recovered:
+            self.stable = 0
+        else:
+            self.dips += 1
+        if self.stable >= cfg.stable_rows:
+            self.start = math.nan
+            if now - self.last >= cfg.independence_minutes * 60:
+                self.last = now
+                return True
+        elif self.dips > cfg.max_dip or now - self.start > cfg.pending_minutes * 60:
+            self.start = math.nan
+        return False
+
+
 @dataclass
 class State:
     """What is kept of one source. All histories are bounded by the configuration."""
@@ -119,8 +152,7 @@ class State:
     power: deque = field(default_factory=deque)
     dipped: bool = False
     dip_reference: float = math.nan
-    pending: dict | None = None
-    last_short: float = -math.inf
+    stop: PendingStop = field(default_factory=lambda: PendingStop())
     shorts: deque = field(default_factory=deque)
     fractions: deque = field(default_factory=deque)
     persistent_run: int = 0
@@ -247,24 +279,7 @@ def step(s: State, row: dict[str, Any], cfg: StreamConfig) -> dict[str, Any]:
         s.last_dip = now
 
     # short standstills: a dip opens, a stable recovery confirms, time or length cancels
-    started = False
-    if s.pending is None:
-        if dip and short_fraction >= cfg.short_fraction:
-            s.pending = {"start": now, "dip": 1, "stable": 0, "reference": reference, "recovered": False}
-    else:
-        w = s.pending
-        if p >= cfg.recovery_ratio * w["reference"]:
-            w["recovered"], w["stable"] = True, w["stable"] + 1
-        elif w["recovered"]:
-            w["stable"] = 0
-        else:
-            w["dip"] += 1
-        if w["stable"] >= cfg.stable_rows:
-            if now - s.last_short >= cfg.independence_minutes * 60:
-                started, s.last_short = True, now
-            s.pending = None
-        elif w["dip"] > cfg.max_dip or now - w["start"] > cfg.pending_minutes * 60:
-            s.pending = None
+    started = s.stop.update(now, p, reference, dip, short_fraction >= cfg.short_fraction, cfg)
     s.dipped, s.dip_reference = dip, reference if dip else s.dip_reference
     week = 7 * 86_400
     while s.shorts and now - s.shorts[0] > week:
@@ -339,7 +354,7 @@ def step(s: State, row: dict[str, Any], cfg: StreamConfig) -> dict[str, Any]:
     review = any(v for v, _ in reviews.values())
     support = trigger or persistent or raw or review
 
-    closed = _life_cycle(s, now, trigger, review, support, score, on, cfg)
+    closed = life_cycle(s, now, trigger, review, support, score, on, cfg)
     out |= {"state": s.phase, "mode": s.mode, "score": score, "active": s.phase in ("active_alert", "recovery_pending"), "review": review and not trigger, "families": ";".join(sorted(on)), "short_fraction": short_fraction, "extreme_fraction": extreme_fraction, "closed": closed}
 
     quiet = s.phase in ("normal", "candidate") and s.mode in ("generating", "stopped") and short_fraction < cfg.quiet_fraction and not trigger
@@ -348,7 +363,7 @@ def step(s: State, row: dict[str, Any], cfg: StreamConfig) -> dict[str, Any]:
     return out
 
 
-def _life_cycle(s: State, now: float, trigger: bool, review: bool, support: bool, score: float, on: list[str], cfg: StreamConfig) -> dict | None:
+def life_cycle(s: State, now: float, trigger: bool, review: bool, support: bool, score: float, on: list[str], cfg: StreamConfig) -> dict | None:
     """normal, candidate, active_alert, recovery_pending, inactive_pending; returns an episode that closes now."""
     closed = None
     s.phase_rows += 1
