@@ -3,8 +3,11 @@ globally; long series are one partition of a window each, short ones share tasks
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -148,25 +151,47 @@ def dedup_time(df: DataFrame, key: Sequence[str], time: str, tie: Sequence[str],
 
 
 def ewma(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], n: int, clip: float = 6.0) -> DataFrame:
-    """Adds the mean and variance of a clipped exponential baseline after each row.
+    """Adds the mean and variance of a clipped exponential baseline after each row: (key, order, ewma_mean, ewma_var).
 
     The first value starts the mean, with variance 1. Then mean += a * clip(x - mean, +-clip * sd) and
-    var = (1 - a) * var + a * (x - new mean)^2, with a = 2 / (n + 1). A fold over the sorted values of a key.
+    var = (1 - a) * var + a * (x - new mean)^2, with a = 2 / (n + 1). A recurrence over a key's rows in order: one
+    grouped Arrow pass with two numbers of state.
     """
     a = 2 / (n + 1)
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_rows"))
-
-    def step(state: Column, row: Column) -> Column:
-        x = row["_v"]
-        sd = F.sqrt(state["var"])
-        mean = state["mean"] + a * F.greatest(-clip * sd, F.least(clip * sd, x - state["mean"]))
-        mean = F.when(state["n"] == 0, x).otherwise(mean)
-        var = F.when(state["n"] == 0, F.lit(1.0)).otherwise((1 - a) * state["var"] + a * (x - mean) * (x - mean))
-        return F.struct((state["n"] + 1).alias("n"), mean.alias("mean"), var.alias("var"), F.concat(state["out"], F.array(F.struct(*(row[o].alias(o) for o in order), mean.alias("ewma_mean"), var.alias("ewma_var")))).alias("out"))
-
-    kind = ",".join(f"{o}:{df.schema[o].dataType.simpleString()}" for o in order)
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var"), F.array().cast(f"array<struct<{kind},ewma_mean:double,ewma_var:double>>").alias("out"))
-    return rows.select(*key, F.explode(F.aggregate("_rows", start, step)["out"]).alias("_o")).select(*key, "_o.*")
+    names = [*key, *order]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order))
+        x = pdf["_v"].to_numpy(float)
+        mean, var = np.empty(len(x)), np.empty(len(x))
+        m, v = 0.0, 1.0
+        for k, value_ in enumerate(x):
+            if k == 0:
+                m = value_
+            else:
+                sd = math.sqrt(v)
+                m += a * max(-clip * sd, min(clip * sd, value_ - m))
+                v = (1 - a) * v + a * (value_ - m) ** 2
+            mean[k], var[k] = m, v
+        return pdf[names].assign(ewma_mean=mean, ewma_var=var)
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    return df.select(*names, F.col(value).cast("double").alias("_v")).groupBy(*key).applyInPandas(run, f"{schema}, ewma_mean double, ewma_var double")
+
+
+def hashed_rank(df: DataFrame, key: Sequence[str], ids: str, name: str = "_rank", seed: str = "") -> DataFrame:
+    """Adds each row's rank within a key in the order of a digest of its id (ties by id), from 1.
+
+    Rows are ranked within 256 ranges of the digest and the ranges' counts are added up, so a key with most of the rows
+    is no single task.
+    """
+    digest = F.md5(F.concat(F.lit(seed), F.col(ids).cast("string")).cast("binary"))
+    df = df.withColumns({"_digest": digest, "_part": F.substring(digest, 1, 2)})
+    counts = df.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(keyed(key, ["_part"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).drop("_n")
+    out = df.withColumn("_at", F.row_number().over(keyed([*key, "_part"], ["_digest", ids]))).join(counts, [*key, "_part"])
+    return out.withColumn(name, (F.col("_at") + F.col("_before")).cast("bigint")).drop("_digest", "_part", "_at", "_before")
 
 
 def single_precision(df: DataFrame, columns: Sequence[str]) -> DataFrame:

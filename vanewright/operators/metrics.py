@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -117,3 +117,9 @@ def rank_candidates(df: DataFrame, targets: dict[str, tuple[float, str]], by: Se
         met = met & (F.col(c) >= limit if kind == "least" else F.col(c) <= limit)
     rated = df.withColumns({"feasible": met, "miss": F.round(miss, 9)})
     return rated.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("feasible").cast("int")), "miss", *by)))
+
+
+def candidate_bank(spark: SparkSession, base: dict[str, float], bank: dict[str, dict[str, float]]) -> DataFrame:
+    """(candidate, <settings>, distance): named candidates, each the base settings with some changed, and how many."""
+    rows = [(name, *(float(change.get(k, v)) for k, v in base.items()), sum(change.get(k, v) != v for k, v in base.items())) for name, change in bank.items()]
+    return spark.createDataFrame(rows, "candidate string, " + ", ".join(f"{k} double" for k in base) + ", distance int")

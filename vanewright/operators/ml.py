@@ -11,7 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import percent_rank_average
+from ..sources.shared import shared_folder
+from .frames import hashed_rank, percent_rank_average
+from .metrics import confusion, roc_auc
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again: what many fits read is made once, and survives executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def balanced_weights(df: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -24,12 +33,16 @@ def balanced_weights(df: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def balance_classes(df: DataFrame, label: str, strata: Sequence[str], ids: str, ratio: int) -> DataFrame:
     """All rows of class 1 and at most ``ratio`` times as many of class 0, taken round robin from the strata in a
-    hashed order."""
-    by = F.md5(F.col(ids).cast("string").cast("binary"))
-    x = df.withColumn("_k", F.row_number().over(Window.partitionBy(label, *strata).orderBy(by)))
-    x = x.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_k", *strata)))
+    hashed order. A row's place follows from its rank in its stratum and the strata's sizes: nothing ranks a class."""
+    x = hashed_rank(df, [label, *strata], ids, "_k")
+    sizes = df.groupBy(label, *strata).agg(F.count("*").alias("_size"))
+    # one row for each class, with its strata in order
+    listed = sizes.groupBy(label).agg(F.sort_array(F.collect_list(F.struct(F.struct(*strata).alias("s"), F.col("_size").alias("n")))).alias("_all"))
     most = df.where(F.col(label) == 1).agg((F.count("*") * ratio).alias("_most"))
-    return x.crossJoin(F.broadcast(most)).where((F.col(label) == 1) | (F.col("_n") <= F.col("_most"))).drop("_k", "_n", "_most")
+    x = x.join(F.broadcast(listed), label).crossJoin(F.broadcast(most))
+    here = F.struct(*strata)
+    place = F.aggregate("_all", F.lit(0).cast("bigint"), lambda a, y: a + F.least(y["n"], F.col("_k") - 1) + F.when((y["s"] <= here) & (y["n"] >= F.col("_k")), 1).otherwise(0))
+    return x.where((F.col(label) == 1) | (place <= F.col("_most"))).drop("_k", "_all", "_most")
 
 
 def spearman(df: DataFrame, key: Sequence[str], a: str, b: str) -> DataFrame:
@@ -77,9 +90,88 @@ def reconstruction_scores(df: DataFrame, ids: str, vector: str, k: int) -> DataF
 
 
 def folds(df: DataFrame, ids: str, label: str, splits: int, repeat: int) -> DataFrame:
-    """Adds ``fold``: stratified, in a hashed order that depends on the repeat."""
-    by = F.xxhash64(F.lit(repeat), ids)
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(by, ids)) - 1) % splits).cast("int"))
+    """Adds ``fold`` and ``inner`` (0 or 1): stratified, in a hashed order that depends on the repeat. Whichever fold is
+    left out, the others' rows are halved by ``inner`` class by class."""
+    at = F.col("_rank") - 1
+    return hashed_rank(df, [label], ids, "_rank", f"{repeat}:").withColumns({"fold": (at % splits).cast("int"), "inner": (F.floor(at / splits) % 2).cast("int")}).drop("_rank")
+
+
+def model_specs() -> dict[str, list[tuple]]:
+    """Candidates by name with a small grid each: (regularisation,), (depth,), (depth, trees)."""
+    return {"logistic_regression": [(0.0,), (0.1,)], "decision_tree": [(3,), (5,)], "random_forest": [(4, 20)]}
+
+
+def model_pipeline(name: str, setting: tuple, features: Sequence[str], label: str):
+    """Median imputation, scaling by median and quartiles, and a class-weighted classifier."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import Imputer, RobustScaler, VectorAssembler
+
+    filled = [f"{f}__filled" for f in features]
+    common = {"labelCol": label, "weightCol": "weight", "featuresCol": "scaled"}
+    model = {
+        "logistic_regression": lambda reg: LogisticRegression(regParam=reg, maxIter=30, **common), "decision_tree": lambda depth: DecisionTreeClassifier(maxDepth=depth, seed=7, **common),
+        "random_forest": lambda depth, trees: RandomForestClassifier(maxDepth=depth, numTrees=trees, seed=7, **common),
+    }[name](*setting)
+    return Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), RobustScaler(inputCol="raw", outputCol="scaled", withCentering=True), model])
+
+
+def out_of_fold(df: DataFrame, ids: str, label: str, features: Sequence[str], splits: int = 3, specs: dict[str, list[tuple]] | None = None) -> DataFrame:
+    """(id, fold, model, setting, actual, probability) of every candidate and setting, each row scored by models that
+    didn't see it."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = written(balanced_weights(folds(df.withColumn(label, F.col(label).cast("double")), ids, label, splits, 0), [label]), "folds")
+    out = None
+    for name, grid in (specs or model_specs()).items():
+        for setting in grid:
+            for k in range(splits):
+                p = model_pipeline(name, setting, features, label).fit(x.where(F.col("fold") != k)).transform(x.where(F.col("fold") == k))
+                part = p.select(ids, "fold", F.lit(name).alias("model"), F.lit(str(setting)).alias("setting"), F.col(label).cast("int").alias("actual"), vector_to_array("probability")[1].alias("probability"))
+                out = part if out is None else out.union(part)
+    return out
+
+
+def thresholds(predictions: DataFrame, steps: int = 20, max_fpr: float = 0.2) -> DataFrame:
+    """(model, setting, auc, threshold, recall, fpr, balanced_accuracy): for each candidate the threshold of an even grid
+    with the best balanced accuracy at a bounded false positive rate (1.0, which takes nothing, if none is under it)."""
+    key = ["model", "setting"]
+    auc = roc_auc(predictions, key, "actual", "probability")
+    binned = predictions.groupBy(*key, F.least(F.floor(F.col("probability") * steps + 1e-9), F.lit(steps)).cast("int").alias("_b")).agg(F.sum("actual").alias("_p"), F.sum(1 - F.col("actual")).alias("_n"))
+    grid = predictions.select(*key).distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(steps + 1))))
+    w = Window.partitionBy(*key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*key)
+    cum = grid.join(binned, [*key, "_b"], "left").na.fill(0, ["_p", "_n"]).select(*key, "_b", (F.sum("_p").over(w) / F.sum("_p").over(whole)).alias("recall"), (F.sum("_n").over(w) / F.sum("_n").over(whole)).alias("fpr"))
+    cum = cum.withColumn("balanced_accuracy", (F.col("recall") + 1 - F.col("fpr")) / 2).where(F.col("fpr") <= max_fpr)
+    best = cum.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("balanced_accuracy"), F.desc("_b")))).where("_k = 1")
+    return best.join(auc, key).select(*key, F.col("roc_auc").alias("auc"), (F.col("_b") / steps).alias("threshold"), "recall", "fpr", "balanced_accuracy")
+
+
+def fold_comparison(predictions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(model, setting, mean and std over folds of balanced accuracy, F1 and AUC) at the chosen thresholds."""
+    key = ["model", "setting", "fold"]
+    p = predictions.join(chosen.select("model", "setting", "threshold"), ["model", "setting"]).withColumn("_hit", (F.col("probability") >= F.col("threshold")).cast("int"))
+    m = confusion(p, key, "actual", "_hit").join(roc_auc(p, key, "actual", "probability"), key)
+    return m.groupBy("model", "setting").agg(*(f(c).alias(f"{n}_{c}") for c in ("balanced_accuracy", "f1", "roc_auc") for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+
+
+def final_fit(df: DataFrame, ids: str, label: str, features: Sequence[str], chosen: tuple[str, tuple, float]) -> DataFrame:
+    """(id, probability, decision) of the chosen candidate refitted on all rows, at its out-of-fold threshold."""
+    from pyspark.ml.functions import vector_to_array
+
+    name, setting, threshold = chosen
+    x = balanced_weights(df.withColumn(label, F.col(label).cast("double")), [label])
+    p = model_pipeline(name, setting, features, label).fit(x).transform(x)
+    return p.select(ids, vector_to_array("probability")[1].alias("probability")).withColumn("decision", (F.col("probability") >= threshold).cast("int"))
+
+
+def graph_reconstruction(x: DataFrame, edges: DataFrame, ids: str) -> DataFrame:
+    """(id, node, value, rebuilt, error): each node's value rebuilt from its neighbours by a normalised graph (i, j,
+    weight), without itself; weights of a node add up to one. It stands in for a trained graph autoencoder."""
+    w = edges.where("i <> j")
+    w = w.join(w.groupBy("i").agg(F.sum("weight").alias("_d")), "i").select(F.col("i").alias("node"), F.col("j").alias("_j"), (F.col("weight") / F.col("_d")).alias("_w"))
+    rebuilt = x.select(ids, F.col("node").alias("_j"), F.col("value").alias("_x")).join(F.broadcast(w), "_j").groupBy(ids, "node").agg(F.sum(F.col("_w") * F.col("_x")).alias("rebuilt"))
+    return x.join(rebuilt, [ids, "node"]).withColumn("error", F.abs(F.col("value") - F.col("rebuilt")))
 
 
 def nested_cv(df: DataFrame, ids: str, label: str, features: Sequence[str], splits: int = 5, repeats: int = 5, grid: Sequence[float] = (0.0, 0.1)) -> DataFrame:
@@ -101,11 +193,10 @@ def nested_cv(df: DataFrame, ids: str, label: str, features: Sequence[str], spli
     score = BinaryClassificationEvaluator(labelCol=label)
     parts = []
     for repeat in range(repeats):
-        x = balanced_weights(folds(df.withColumn(label, F.col(label).cast("double")), ids, label, splits, repeat), [label]).persist()
+        x = written(balanced_weights(folds(df.withColumn(label, F.col(label).cast("double")), ids, label, splits, repeat), [label]), "folds")
         for k in range(splits):
             train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
-            inner = folds(train.drop("fold"), ids, label, 2, repeat + 1000)
-            rated = [(score.evaluate(pipeline(g).fit(inner.where("fold = 0")).transform(inner.where("fold = 1"))), -i, g) for i, g in enumerate(grid)]
+            rated = [(sum(score.evaluate(pipeline(g).fit(train.where(F.col("inner") != j)).transform(train.where(F.col("inner") == j))) for j in (0, 1)), -i, g) for i, g in enumerate(grid)]
             best = max(rated)[2]
             p = pipeline(best).fit(train).transform(test)
             parts.append(p.select(ids, F.lit(repeat).alias("repeat"), "fold", F.col(label).cast("int").alias("actual"), vector_to_array("probability")[1].alias("probability"), F.lit(float(best)).alias("regularisation")))

@@ -6,7 +6,7 @@ fold in a grouped Arrow pass; everything else is window functions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -145,3 +145,13 @@ def alert_phases(df: DataFrame, key: Sequence[str], order: str, cfg: StreamConfi
 def open_episodes(phases: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """(key, n_closed, right_censored): episodes that closed, and whether one is open at the source's end."""
     return phases.groupBy(*key).agg(F.count_if("closed").alias("n_closed"), F.max_by("phase", order).isin("active_alert", "recovery_pending", "inactive_pending").alias("right_censored"))
+
+
+def stateful(df: DataFrame, key: Sequence[str], order: str, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
+    """(key, order, <schema>): a new object of ``make`` for each key takes its rows one by one, in order, as dicts."""
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        take = make()
+        return pd.DataFrame([take(row) for row in pdf.to_dict("records")])
+
+    return _fold(df, key, order, schema, rows)
