@@ -11,10 +11,9 @@ def test_matches_oracle(spark, name):
     assert differences(spark, SF, catalog.QUERIES[name], catalog.ORACLE[name])[:3] == []
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
-def test_runs(spark, name):
-    df = catalog.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+def test_queries_without_sql_are_the_known_ones():
+    """Each of these has a test of its own in test_without_sql.py."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"t06_spaced_selection", "d18_offlog_candidates", "r01_causal_replay", "m01_logistic_votes", "m02_out_of_fold_thresholds", "m03_fold_comparison", "m05_final_fit", "m12_reconstruction_scores"}
 
 
 def test_entry(spark):
