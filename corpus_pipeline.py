@@ -30,7 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays. Rows with one doc_id are one
+    document: they stay or go together. Rows without an id stay."""
     gone = Scratch(spark, "neardup-gone").save(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
 

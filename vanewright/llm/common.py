@@ -22,12 +22,14 @@ WORD_GAP = f"[{BLANKS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests only) an own one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (local sessions only) an own one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             path = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         else:
             path = "file://" + tempfile.mkdtemp(prefix="vanewright-")
             spark.sparkContext.setCheckpointDir(path)

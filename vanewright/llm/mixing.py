@@ -20,7 +20,7 @@ from .common import Scratch, read
 SEED = 17
 SHARE = (6, 10)
 MAX_EPOCHS = 3
-#: Integer weights; what isn't listed weighs 1.
+#: Positive integer weights; what isn't listed weighs 1.
 DOMAIN_WEIGHTS = {"domain0": 5, "domain1": 3, "domain2": 2}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
 SOURCE_WEIGHTS: dict[str, int] = {}
@@ -37,6 +37,8 @@ def domain_of(source: Column) -> Column:
 
 
 def _weight(column: str, weights: dict[str, int]) -> Column:
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("weights have to be positive integers; leave a part out of the table instead")
     out = F.lit(1)
     for name, w in weights.items():
         out = F.when(F.col(column) == name, w).otherwise(out)
