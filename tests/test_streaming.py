@@ -53,12 +53,27 @@ def test_missing_values_and_repeated_rows():
     assert out["warmup_complete"] and np.isfinite(out["score"])
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    df = table(spark).repartition(1)
-    df.write.parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = stream(src, SIGNALS, ["power_1_avg"], cfg=CFG).writeStream.format("memory").queryName("rows").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
+def streamed(spark, parts, folder, name):
+    """Row scores of the parts, which come one after another."""
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if k == 0:
+            src = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+            q = stream(src, SIGNALS, ["power_1_avg"], cfg=CFG).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/ck").start()
+        q.processAllAvailable()
     q.stop()
-    key = lambda d: sorted((r["ts"], r["state"], round(r["score"], 9)) for r in d.select("ts", "state", "score").collect())
-    assert key(spark.table("rows")) == key(replay(df, SIGNALS, ["power_1_avg"], cfg=CFG))
+    return spark.table(name)
+
+
+def scores(df):
+    return sorted((r["ts"], r["state"], round(r["score"], 9)) for r in df.select("ts", "state", "score").collect())
+
+
+def test_stream_with_late_rows_equals_batch(spark, tmp_path):
+    df = table(spark)
+    at = lambda i: F.lit(T0 + dt.timedelta(minutes=10 * i))
+    late = F.col("ts").isin(*[T0 + dt.timedelta(minutes=10 * i) for i in (36, 38, 39)])
+    end = df.limit(1).withColumn("ts", at(200))
+    parts = [df.where((F.col("ts") <= at(40)) & ~late), df.where((F.col("ts") > at(40)) & (F.col("ts") <= at(41)) | late), df.where(F.col("ts") > at(41)), end]
+    got = scores(streamed(spark, parts, str(tmp_path), "rows").where(F.col("ts") < at(200)))
+    assert got == scores(replay(df, SIGNALS, ["power_1_avg"], cfg=CFG)) and len(got) == 80

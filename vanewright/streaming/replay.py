@@ -89,23 +89,34 @@ def replay(df: DataFrame, signals: Sequence[str], power: Sequence[str] = (), gro
 
 
 def stream(df: DataFrame, signals: Sequence[str], power: Sequence[str] = (), groups: dict[str, Sequence[str]] | None = None, cfg: StreamConfig = StreamConfig(), lateness: str = "1 hour") -> DataFrame:
-    """The same row scores of a streaming table. Rows behind the watermark are dropped by it; within a batch rows are
-    put in order, and a row that is not newer than the state's last one is skipped."""
+    """The same row scores of a streaming table. A source's rows wait until the watermark has passed them, and are then
+    taken in order, of rows with one time the last by status and values: late rows within ``lateness`` count as in the
+    replay, later ones are dropped by the watermark. What waits is bounded by the lateness."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     lay = layout(signals, power, groups or {})
+    tie = lambda status, values: ("" if status is None else str(status), repr(sorted(dict(values or {}).items())))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state: State = pickle.loads(held.get[0]) if held.exists else State()
-        pdf = pd.concat(list(batches)).sort_values("ts").drop_duplicates("ts", keep="last")
-        if state.last_time == state.last_time:
-            pdf = pdf[[t.timestamp() > state.last_time for t in pdf["ts"]]]
-        rows = _run(key[0], pdf, state, lay, cfg, False)
-        held.update((pickle.dumps(state),))
+        state, waiting = pickle.loads(held.get[0]) if held.exists else (State(), {})
+        for pdf in batches:
+            for ts, status, values in zip(pdf["ts"], pdf["status"], pdf["values"], strict=True):
+                old = waiting.get(ts)
+                if not ts.timestamp() <= state.last_time and (old is None or tie(*old) < tie(status, values)):
+                    waiting[ts] = (status, values)
+        mark = held.getCurrentWatermarkMs()
+        ready = sorted(t for t in waiting if t.timestamp() * 1000 <= mark)
+        rows = []
+        if ready:
+            taken = [waiting.pop(t) for t in ready]
+            rows = _run(key[0], pd.DataFrame({"ts": ready, "status": [x for x, _ in taken], "values": [x for _, x in taken]}), state, lay, cfg, False)
+        held.update((pickle.dumps((state, waiting)),))
+        if waiting:
+            held.setTimeoutTimestamp(max(int(mark) + 1, int(min(waiting).timestamp() * 1000)))
         if rows:
             yield _frame(rows)
 
-    return df.withWatermark("ts", lateness).groupBy("source").applyInPandasWithState(run, ROW_SCHEMA, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return df.withWatermark("ts", lateness).groupBy("source").applyInPandasWithState(run, ROW_SCHEMA, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def episodes(rows: DataFrame) -> DataFrame:
