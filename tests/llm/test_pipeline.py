@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from tests.llm.fixtures import empty, odd
 from tests.llm.test_neardup import brute
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,17 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in unique.collect()} == {i for i, c in want.items() if i == c}
     assert {r["doc_id"] for r in mixed.select("doc_id").collect()} <= {r["doc_id"] for r in unique.select("doc_id").collect()}
     assert packed.where("piece = 0").count() == mixed.count() and packed.agg(F.max("length")).first()[0] <= 1024
+
+
+def test_stages_on_odd_and_empty_rows(spark):
+    rows, none = odd(spark), empty(spark)
+    for name, stage in cp.STAGES[:-1]:
+        out, nothing = stage(spark, rows, SF), stage(spark, none, SF)
+        assert out.columns == rows.columns and nothing.columns == rows.columns and nothing.count() == 0, name
+        got = out.collect()
+        assert {r["component_id"] for r in got} <= {99} and len(got) == {"line_dedup": 16}.get(name, len(got)), name
+        if name == "near_dedup":
+            ids = sorted((r["doc_id"] for r in got), key=str)
+            assert ids.count(7) == 2 and ids.count(None) == 2 and 2 not in ids and 1 in ids and {4, 5, 6} <= set(ids)
+    packed = cp.STAGES[-1][1](spark, rows, SF)
+    assert packed.where("piece = 0").count() == 16 and cp.STAGES[-1][1](spark, none, SF).count() == 0
