@@ -12,6 +12,7 @@ from .oracles import OP1_SQL, OP6_SQL
 from .packing import op10_best_fit_packing
 from .quality import op6_quality_divergence
 from .secrets import op8_secret_scan
+from .simhash import op12_simhash_multi_index
 from .toxicity import op4_toxicity
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_simhash_multi_index": op12_simhash_multi_index,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
