@@ -14,6 +14,7 @@ from .quality import op6_quality_divergence
 from .secrets import op8_secret_scan
 from .simhash import op12_simhash_multi_index
 from .toxicity import op4_toxicity
+from .trie import OP13_SQL, op13_prefix_trie
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_simhash_multi_index": op12_simhash_multi_index,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op6_quality_divergence": OP6_SQL,
     "op5_line_site_spread": OP5_SQL,
     "op7_hierarchical_mix": OP7_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
