@@ -8,6 +8,7 @@ from .lines import OP5_SQL, op5_line_site_spread
 from .lm import op3_kneser_ney
 from .mixing import OP7_SQL, op7_hierarchical_mix
 from .neardup import op1_minhash_near_dedup
+from .negatives import OP11_SQL, op11_norm_bucket_negatives
 from .oracles import OP1_SQL, OP6_SQL
 from .packing import op10_best_fit_packing
 from .quality import op6_quality_divergence
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_norm_bucket_negatives": op11_norm_bucket_negatives,
     "op12_simhash_multi_index": op12_simhash_multi_index,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -35,5 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_divergence": OP6_SQL,
     "op5_line_site_spread": OP5_SQL,
     "op7_hierarchical_mix": OP7_SQL,
+    "op11_norm_bucket_negatives": OP11_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
