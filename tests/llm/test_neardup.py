@@ -128,3 +128,44 @@ def test_forest_by_matrices_equals_pairs():
         return {frozenset(i for i in range(80) if find(i) == find(j)) for j in range(80)}
 
     assert len(x) > 2000 and parts(big) == parts(sum(few, []))
+
+
+def test_nodes_of_one_bucket_without_links_stay_linear(spark):
+    """Single nodes: beyond DEALT pairs of blocks for each, the bucket is refined by half bands instead."""
+    rng = np.random.default_rng(11)
+    made = {}
+    for n in (1000, 4000, 16_000):
+        nodes = spark.createDataFrame([(i, rng.bytes(160)) for i in range(n)], "id long, halves binary")
+        now = nodes.select(F.lit(1).cast("long").alias("key"), F.lit(3).alias("band"), "id", F.lit(True).alias("common"), F.col("id").alias("c"))
+        rows = neardup.open_buckets(now).withColumn("n", F.lit(100).cast("long"))
+        sizes = neardup.block_counts(rows)
+        if n < 4000:
+            made[n] = neardup.deal(rows, sizes).count() / n
+        else:
+            made[n] = neardup.refined(rows, nodes, neardup.BANDS).count() / n
+    assert made[1000] <= neardup.DEALT and max(made.values()) <= neardup.HALVES
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Texts around 0.75 alike, which share bands but no links, with linked pairs hidden among them."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "DEALT", 2)
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(80):
+        w = [f"w{j}" for j in range(240)]
+        for p in rng.choice(240, 9, replace=False):
+            w[p] = f"x{i}_{p}"
+        rows.append((i, " ".join(w)))
+    for i in range(0, 80, 9):
+        rows.append((1000 + i, rows[i][1] + " tail"))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    want = brute(rows, 4)
+    assert got == want and len(set(want.values())) > 30
+
+
+def test_texts_of_a_common_pivot_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PIVOT_ROWS", 10)
+    rows = [(i, " ".join(f"w{j}" for j in range(100)) + f" x{i}") for i in range(200)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert set(got.values()) == {0}

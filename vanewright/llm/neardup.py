@@ -7,12 +7,13 @@
 2. Equal sets become one node, so exact copies cost one aggregated row, however many there are.
 3. Nodes that share a band key are candidates. A bucket's nodes are held against one pivot each (a star, linear in
    the bucket), whatever passes the size and Odd sketch tests is confirmed on the full sets, and linked nodes are
-   contracted; while what is left would be dealt out too often, further pivots take stars of it. Buckets that still
-   hold several components are cut into blocks of bounded size which meet in pairs, except those of the bucket's
-   largest component among themselves: the sketches first tell which nodes have a partner in another component at
-   all, then only these bring their texts, and all their pairs are confirmed at once. A pair of blocks returns a
-   spanning forest of its links. So no link between candidates is lost, and a bucket with very many copies is never
-   expanded into its pairs.
+   contracted. Buckets that still hold several components are cut into blocks of bounded size which meet in pairs,
+   except those of the bucket's largest component among themselves: the sketches first tell which nodes have a partner
+   in another component at all, then only these bring their texts, and all their pairs are confirmed at once. A pair of
+   blocks returns a spanning forest of its links. A bucket whose nodes would be dealt out too often is crowded: further
+   pivots take stars of it, and when they find nothing more it is refined: its nodes are dealt by half bands, other
+   samples of their signatures, so that rows stay linear in the bucket. So a bucket with very many nodes, linked or
+   not, is never expanded into its pairs.
 4. Components come from alternating large-star and small-star steps on the confirmed links.
 """
 
@@ -36,8 +37,15 @@ BITS = 512
 LANES = BITS // 64
 #: Nodes, and shingles, that a block is meant to hold.
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
-#: Rows dealt to pairs of blocks for each row of an open bucket, beyond which another star comes first.
-DEALT = 16
+#: Rows dealt to pairs of blocks for each row of an open bucket, beyond which the bucket is crowded.
+DEALT = 8
+#: Half bands by which a crowded bucket is refined, once. A pair at the threshold misses all of them with probability
+#: 2e-5 (and every other bucket that it shares would have to be crowded too).
+HALVES = 16
+#: Crowded buckets get another star as long as one links at least this share of the nodes it has looked at.
+STAR_SHARE = 0.05
+#: Rows of a star that meet one copy of their pivot's text.
+PIVOT_ROWS = 1024
 #: Node ids up to which they are broadcast to pick out texts; beyond, texts are shuffled to meet them.
 BROADCAST_IDS = 500_000
 #: Odd sketch tests pass estimates down to this far below the threshold (about six standard deviations).
@@ -92,6 +100,16 @@ def band_keys(m: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc
 
 
+def half_keys(m: np.ndarray, rows: int) -> np.ndarray:
+    """16-bit keys of half bands: of the first and of the other samples of each band."""
+    cut = m.astype(np.uint64).reshape(len(m), -1, rows)
+    out = np.zeros((len(m), cut.shape[1], 2), np.uint64)
+    for i in range(rows):
+        side = int(i >= rows // 2)
+        out[:, :, side] = mix(out[:, :, side] * np.uint64(0x9E3779B97F4A7C15) + cut[:, :, i])
+    return (out >> np.uint64(48)).astype("<u2").reshape(len(m), -1)
+
+
 def most_differing(similarity: float, samples: int, bits: int = BITS) -> int:
     """The number of differing bits up to which an estimate is at least ``similarity``."""
     difference = 2 * samples * (1 - similarity)
@@ -99,7 +117,7 @@ def most_differing(similarity: float, samples: int, bits: int = BITS) -> int:
 
 
 def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, digest, odd, bands); the last three are null where there are no words."""
+    """(doc_id, n, digest, odd, bands, halves); the last four are null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _family(bands * rows)
@@ -115,9 +133,10 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 m = np.vstack(sigs)
                 empty = np.array(ns) == 0
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(ns) * x.shape[1] + 1, x.shape[1], dtype=np.int32)), pa.array(signed(x.ravel())), mask=pa.array(empty)) for x in (odd_sketches(m), band_keys(m, bands, rows))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "digest", "odd", "bands"])
+                halves = pa.array([None if e else x.tobytes() for e, x in zip(empty, half_keys(m, rows), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), *lists, halves], ["doc_id", "n", "digest", "odd", "bands", "halves"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n long, digest binary, odd array<long>, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n long, digest binary, odd array<long>, bands array<long>, halves binary")
 
 
 def confirmed(pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -179,15 +198,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     whole = sig.where("digest is not null and doc_id is not null")
     classes = scratch.save(whole.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     nodes = whole.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
-    nodes = scratch.save(nodes.select(F.col("doc_id").alias("id"), "n", "odd", "bands"), "nodes")
+    nodes = scratch.save(nodes.select(F.col("doc_id").alias("id"), "n", "odd", "bands", "halves"), "nodes")
     lanes = nodes.select("id", "n", "odd")
 
     # Buckets with two nodes or more; of buckets with the same nodes, one.
-    keyed = nodes.select(F.explode("bands").alias("key"), "id")
+    keyed = nodes.select(F.posexplode("bands").alias("band", "key"), "id")
     total = nodes.count() * bands
     keys = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("print")).where("pivot <> last")
     keys = keys.groupBy("size", "pivot", "last", "print").agg(F.min("key").alias("key")).select("key", "pivot", is_common(F.col("size"), total).alias("common"))
-    buckets = scratch.save(join_keys(keyed, scratch.save(keys, "keys"), ["key"]).select("key", "id", "pivot", "common"), "buckets")
+    buckets = scratch.save(join_keys(keyed, scratch.save(keys, "keys"), ["key"]).select("key", "band", "id", "pivot", "common"), "buckets")
     ids = scratch.save(buckets.select(F.col("id").alias("doc_id")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     members = scratch.save(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").distinct(), "texts")
@@ -203,31 +222,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     def linked(pairs: DataFrame) -> DataFrame:
         """The confirmed of pairs (a, b)."""
         close = scratch.save(pairs.distinct().join(side("a", lanes), "a").join(side("b", lanes), "b").where(near).select("a", "b").distinct(), "stars")
-        return scratch.save(confirmed(close.join(side("a", members), "a").join(side("b", members), "b"), k, percent).distinct(), "links")
+        found = confirmed(close_texts(scratch, close, side("a", members), side("b", members)), k, percent)
+        return scratch.save(found.distinct(), "links")
 
     links = linked(buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     comp = components(scratch, links)
+    buckets, final, fine = buckets.drop("pivot"), comp, False
+    crowding = F.expr(f"outer * (no + ni) + inner * no > {DEALT} * (outer + inner)")
     while True:
-        open_ = scratch.save(open_buckets(buckets.join(comp, "id", "left").select("key", "id", "common", F.coalesce("component", "id").alias("c"))), "open")
-        rows, dealt = open_.join(lanes.select("id", "n"), "id"), 0
+        now = buckets.join(comp, "id", "left").select("key", "band", "id", "common", F.coalesce("component", "id").alias("c"))
+        open_ = scratch.save(open_buckets(now), "open")
         if open_.isEmpty():
             break
+        rows = open_.join(lanes.select("id", "n"), "id")
         sizes = scratch.save(block_counts(rows), "sizes")
-        held, dealt = sizes.agg(F.sum(F.col("outer") + F.col("inner")), F.sum(F.col("outer") * (F.col("no") + F.col("ni")) + F.col("inner") * F.col("no"))).first()
-        if dealt <= DEALT * held:
+        if fine or sizes.where(crowding).isEmpty():
+            more = scratch.save(across(scratch, deal(rows, sizes), lanes, members, k, percent, most).distinct(), "more")
+            final = components(scratch, links.union(more))
             break
         # a star of each open bucket's nodes outside its largest component, around one of them
         rest = open_.where("c <> low")
         pivots = rest.groupBy("key", "common").agg(F.min(F.struct("id", "c")).alias("p")).select("key", "common", F.col("p.id").alias("b"), F.col("p.c").alias("pc"))
-        new = linked(join_keys(rest.drop("common", "low"), pivots, ["key"]).where("c <> pc").select(F.col("id").alias("a"), "b"))
-        if new.isEmpty():
-            break
-        links = links.union(new)
-        comp = components(scratch, links)
-    final = comp
-    if dealt:
-        more = scratch.save(across(scratch, deal(rows, sizes), lanes, members, k, percent, most).distinct(), "more")
-        final = components(scratch, links.union(more))
+        new = linked(join_keys(rest.drop("common", "low", "band"), pivots, ["key"]).where("c <> pc").select(F.col("id").alias("a"), "b"))
+        n_new = new.count()
+        if n_new:
+            links = links.union(new)
+            final = comp = components(scratch, links)
+        if n_new < STAR_SHARE * rest.select("id").distinct().count():
+            crowded = sizes.where(crowding).select("key", "common")
+            calm = join_keys(open_.drop("common"), sizes.where(~crowding).select("key", "common"), ["key"]).select("key", "band", "id", "common")
+            finer = refined(join_keys(open_.drop("common"), crowded, ["key"]), nodes, bands)
+            buckets, fine = scratch.save(calm.unionByName(finer), "buckets"), True
 
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     rest = sig.where("digest is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -235,8 +260,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def close_texts(scratch: Scratch, close: DataFrame, texts_a: DataFrame, texts_b: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the texts of both. A pivot b that many pairs share has its text copied once for PIVOT_ROWS of
+    them, so that they don't meet it in one task; there are at most COMMON such pivots."""
+    sizes = close.groupBy("b").agg(F.count("*").alias("n"))
+    many = sizes.where(is_common(F.col("n"), close.count()) & (F.col("n") > PIVOT_ROWS))
+    slots = F.broadcast(scratch.save(many.select("b", F.ceil(F.col("n") / PIVOT_ROWS).alias("slots")), "slots"))
+    one = F.coalesce("slots", F.lit(1))
+    dealt = close.join(slots, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), one).alias("slot"))
+    copies = texts_b.join(slots, "b", "left").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("slots")
+    return dealt.join(texts_a, "a").join(copies, ["b", "slot"])
+
+
+def refined(crowded: DataFrame, nodes: DataFrame, bands: int) -> DataFrame:
+    """(key, band, id, common) of the buckets that nodes of a crowded bucket share by HALVES half bands each, none of
+    the bucket's own band."""
+    step = max(1, 2 * bands // HALVES)
+    at = F.array(*(F.when(F.col("band") != i // 2, F.struct(F.lit(i).alias("i"), F.substring("halves", 2 * i + 1, 2).alias("h"))) for i in range(0, 2 * bands, step)))
+    dealt = crowded.select("key", "band", "id").join(nodes.select("id", "halves"), "id").withColumn("at", F.explode(F.array_compact(at)))
+    dealt = dealt.select(F.xxhash64("key", "at.i", "at.h").alias("key"), "band", "id")
+    total = crowded.count() * HALVES
+    keys = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", is_common(F.col("n"), total).alias("common"))
+    return join_keys(dealt, keys, ["key"]).select("key", "band", "id", "common")
+
+
 def open_buckets(now: DataFrame) -> DataFrame:
-    """(key, id, common, c, low) of buckets with several components c; ``low`` is the one with most of its nodes."""
+    """(key, band, id, common, c, low) of buckets with several components c; ``low`` is the one with most of its nodes."""
     parts = now.groupBy("key", "common", "c").agg(F.count("*").alias("n"))
     ends = parts.groupBy("key", "common").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     return join_keys(now.drop("common"), ends.select("key", "common", (-F.col("top.c")).alias("low")), ["key"])
