@@ -65,14 +65,22 @@ def test_toxicity_sample_bounds(spark):
     rows = [(i, long if i % 2 else "fine words here", "en") for i in range(40)] + [(1, long, "en")] * 30 + [(1, "another text of one", "en")] + [(None, long, "en"), (2, None, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (3, None), (None, 1)], "doc_id long, toxic int")
-    scratch = toxicity.Scratch(spark, "t")
-    got = toxicity.labelled_sample(docs, labels, scratch, 1000, 10**9).collect()
+    got = toxicity.labelled_sample(docs, labels, 1000, 10**9).collect()
     assert len(got) == 41 and sorted(r["doc_id"] for r in got).count(1) == 2 and {r["toxic"] for r in got if r["doc_id"] == 1} == {1}
-    assert toxicity.labelled_sample(docs, labels, scratch, 10, 10**9).count() == 10
-    few = toxicity.labelled_sample(docs, labels, scratch, 1000, 12_000).collect()
+    assert toxicity.labelled_sample(docs, labels, 10, 10**9).count() == 10
+    few = toxicity.labelled_sample(docs, labels, 1000, 12_000).collect()
     assert 0 < len(few) < 40 and sum(len(r["text"].split()) for r in few) <= 12_000
 
 
+def test_toxicity_long_text_leaves_the_sample_alone(spark):
+    """One labelled text beyond the bound of words is left out; all others are learned from."""
+    rows = [(i, f"word{i} " * 3, "en") for i in range(133)] + [(i, "long " * 500, "en") for i in range(133, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(140)], "doc_id long, toxic int")
+    got = {r["doc_id"] for r in toxicity.labelled_sample(docs, labels, 1000, 420).collect()}
+    assert got == set(range(133))
+
+
 def test_toxicity_fit_stops_by_the_held_back_loss(monkeypatch):
     losses = iter([0.5, 0.3, 0.2999, 0.2998, 0.1])
     monkeypatch.setattr(toxicity, "log_loss", lambda *a: next(losses))
