@@ -6,11 +6,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .folds import carried
+
 
 def keyed(key: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*key).orderBy(*order)
@@ -154,29 +155,38 @@ def ewma(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], n:
     """Adds the mean and variance of a clipped exponential baseline after each row: (key, order, ewma_mean, ewma_var).
 
     The first value starts the mean, with variance 1. Then mean += a * clip(x - mean, +-clip * sd) and
-    var = (1 - a) * var + a * (x - new mean)^2, with a = 2 / (n + 1). A recurrence over a key's rows in order: one
-    grouped Arrow pass with two numbers of state.
+    var = (1 - a) * var + a * (x - new mean)^2, with a = 2 / (n + 1). A recurrence over a key's rows in order: a carried
+    fold with two numbers of state.
     """
     a = 2 / (n + 1)
-    names = [*key, *order]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        x = pdf["_v"].to_numpy(float)
-        mean, var = np.empty(len(x)), np.empty(len(x))
-        m, v = 0.0, 1.0
-        for k, value_ in enumerate(x):
-            if k == 0:
-                m = value_
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order)
+    rows = df.select(*key, *order, F.col(value).cast("double").alias("_v"))
+    return carried(rows, key, order, lambda: _Ewma(a, clip, list(order)), f"{schema}, ewma_mean double, ewma_var double")
+
+
+class _Ewma:
+    def __init__(self, a: float, clip: float, order: list[str]):
+        self.a, self.clip, self.order = a, clip, order
+        self.mean: float | None = None
+        self.var = 1.0
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        m, v, a, clip = self.mean, self.var, self.a, self.clip
+        means, variances = [], []
+        for x in rows["_v"].to_numpy(float).tolist():
+            if m is None:
+                m = x
             else:
                 sd = math.sqrt(v)
-                m += a * max(-clip * sd, min(clip * sd, value_ - m))
-                v = (1 - a) * v + a * (value_ - m) ** 2
-            mean[k], var[k] = m, v
-        return pdf[names].assign(ewma_mean=mean, ewma_var=var)
-
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.select(*names, F.col(value).cast("double").alias("_v")).groupBy(*key).applyInPandas(run, f"{schema}, ewma_mean double, ewma_var double")
+                m += a * max(-clip * sd, min(clip * sd, x - m))
+                v = (1 - a) * v + a * (x - m) ** 2
+            means.append(m)
+            variances.append(v)
+        self.mean, self.var = m, v
+        return rows[self.order].assign(ewma_mean=means, ewma_var=variances)
+
+    def end(self) -> None:
+        return None
 
 
 def hashed_rank(df: DataFrame, key: Sequence[str], ids: str, name: str = "_rank", seed: str = "") -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import hours_between, overlap_hours
 from .decisions import offlog_priority
+from .folds import carried
 from .intervals import merge, overlap_join
 
 PROHIBITED = ("event_label", "actual_binary", "target", "fold", "label")
@@ -50,22 +52,40 @@ def merge_candidates(episodes: DataFrame, key: Sequence[str], max_gap_hours: flo
     """Folds episodes (key, start, end, score, families array) in the order of start and end into candidates.
 
     An episode joins only the last candidate, if the gap is from 0 to max_gap hours and it shares a family with all
-    families gathered so far. A fold over the key's sorted episodes: (key, start, end, n, score, families).
+    families gathered so far. A carried fold over the key's episodes: (key, start, end, n, score, families).
     """
-    item = F.struct(F.unix_micros("start").alias("s"), F.unix_micros("end").alias("e"), F.col("score").cast("double").alias("v"), F.col("families").alias("f"))
-    rows = episodes.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("_r"))
-    start = F.array().cast("array<struct<s:bigint,e:bigint,n:int,v:double,f:array<string>>>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        gap = x["s"] - last["e"]
-        joins = (F.size(done) > 0) & (gap >= 0) & (gap <= int(max_gap_hours * 3.6e9)) & F.arrays_overlap(last["f"], x["f"])
-        both = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), (last["n"] + 1).alias("n"), F.greatest(last["v"], x["v"]).alias("v"), F.array_sort(F.array_union(last["f"], x["f"])).alias("f"))
-        new = F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(1).alias("n"), x["v"].alias("v"), F.array_sort(F.array_distinct(x["f"])).alias("f"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(new)))
-
-    out = rows.select(*key, F.explode(F.aggregate("_r", start, step)).alias("_c"))
-    return out.select(*key, F.timestamp_micros("_c.s").alias("start"), F.timestamp_micros("_c.e").alias("end"), F.col("_c.n").alias("n"), F.col("_c.v").alias("score"), F.col("_c.f").alias("families"))
+    f = F.array_sort(F.array_distinct(F.coalesce("families", F.array().cast("array<string>"))))
+    rows = episodes.select(*key, F.unix_micros("start").alias("_s"), F.unix_micros("end").alias("_e"), F.col("score").cast("double").alias("_v"), f.alias("_f"))
+    out = carried(rows, key, ["_s", "_e", "_v", "_f"], lambda: _Candidates(int(max_gap_hours * 3.6e9)), "_s bigint, _e bigint, n int, score double, families array<string>")
+    return out.select(*key, F.timestamp_micros("_s").alias("start"), F.timestamp_micros("_e").alias("end"), "n", "score", "families")
+
+
+class _Candidates:
+    """Keeps the last candidate open and lets go of it when an episode doesn't join it."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+        self.last: list | None = None
+
+    @staticmethod
+    def rows(done: list[list]) -> pd.DataFrame:
+        return pd.DataFrame([(*c[:4], sorted(c[4])) for c in done], columns=["_s", "_e", "n", "score", "families"])
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        done = []
+        for s, e, v, f in zip(*(rows[c].tolist() for c in ("_s", "_e", "_v", "_f")), strict=True):
+            if self.last is not None and 0 <= s - self.last[1] <= self.gap and self.last[4] & set(f):
+                last = self.last
+                last[1], last[2], last[3] = max(last[1], e), last[2] + 1, max(last[3], v)
+                last[4] |= set(f)
+            else:
+                if self.last is not None:
+                    done.append(self.last)
+                self.last = [s, e, 1, v, set(f)]
+        return self.rows(done)
+
+    def end(self) -> pd.DataFrame | None:
+        return self.rows([self.last]) if self.last is not None else None
 
 
 def offlog_candidates(episodes: DataFrame, logged: DataFrame, key: Sequence[str], buffer_hours: float = 24.0, least_minutes: float = 20.0, least_score: float = 0.9, least_priority: float = 0.7, top: int = 5) -> DataFrame:

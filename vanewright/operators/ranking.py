@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import carried
+
 
 def top_n(df: DataFrame, key: Sequence[str], by: Sequence[Column | str], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key with their rank; of the table, without a key, by a bounded sort."""
@@ -26,18 +29,29 @@ def by_priority(names: Column, order: Sequence[str]) -> Column:
 def spaced(df: DataFrame, key: Sequence[str], score: str, time: str, ids: str, hours: float, limit: int) -> DataFrame:
     """Greedy selection by falling score: a row within ``hours`` of a chosen one is skipped, at most ``limit`` stay.
 
-    An order-dependent fold over the sorted rows of a key, whose accumulator is at most ``limit`` entries.
+    A carried fold over the rows of a key by falling score (ties by id) whose state is at most ``limit`` times.
     """
-    item = F.struct((-F.col(score)).alias("s"), F.col(ids).alias("id"), (F.unix_micros(time) / 3.6e9).alias("t"))
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
-    kind = df.schema[ids].dataType.simpleString()
-    start = F.array().cast(f"array<struct<s:double,id:{kind},t:double>>")
-
-    def step(chosen: Column, x: Column) -> Column:
-        near = F.exists(chosen, lambda c: F.abs(c["t"] - x["t"]) < hours)
-        return F.when((F.size(chosen) >= limit) | near, chosen).otherwise(F.concat(chosen, F.array(F.struct(x["s"].cast("double").alias("s"), x["id"].alias("id"), x["t"].alias("t")))))
-
-    return rows.select(*key, F.posexplode(F.aggregate("_rows", start, step)).alias("_at", "_x")).select(*key, F.col("_x.id").alias(ids), (F.col("_at") + 1).alias("rank"))
+    rows = df.select(*key, (-F.col(score)).alias("_s"), F.col(ids).alias("_id"), (F.unix_micros(time) / 3.6e9).alias("_t"))
+    return carried(rows, key, ["_s", "_id"], lambda: _Spaced(hours, limit), f"_id {df.schema[ids].dataType.simpleString()}, rank int").withColumnRenamed("_id", ids)
+
+
+class _Spaced:
+    def __init__(self, hours: float, limit: int):
+        self.hours, self.limit = hours, limit
+        self.times: list[float] = []
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        chosen = []
+        for i, t in enumerate(rows["_t"].tolist()):
+            if len(self.times) >= self.limit:
+                break
+            if all(abs(t - c) >= self.hours for c in self.times):
+                self.times.append(t)
+                chosen.append((i, len(self.times)))
+        return rows.iloc[[i for i, _ in chosen]][["_id"]].assign(rank=[n for _, n in chosen])
+
+    def end(self) -> None:
+        return None
 
 
 def prune_correlated(order: Sequence[str], corr: dict[tuple[str, str], float], limit: float, closed: bool = False) -> list[str]:

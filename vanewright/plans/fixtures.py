@@ -37,6 +37,12 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("pos", F.row_number().over(keyed(["base"], ["t"])))
 
 
+def source_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, base, t, value): hourly means by a third of the users and event type."""
+    e = events(spark, sf_dir, "user_id", "ts", "event_type", "value")
+    return e.groupBy((F.col("user_id") % 3).cast("string").alias("source"), F.col("event_type").alias("base"), F.date_trunc("hour", "ts").alias("t")).agg(F.avg("value").alias("value"))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, event_id, event_type, start, end): an interval of 0 to 11 hours after each event."""
     e = events(spark, sf_dir, "event_id", "user_id", "event_type", "ts")
@@ -70,6 +76,7 @@ def r(c: Column | str) -> Column:
 GRID = "grid AS (SELECT date_trunc('hour', ts) AS t, event_type AS base, avg(value) AS avg, max(value) AS max, min(value) AS min, coalesce(stddev_samp(value), 0) AS std, count(*) AS n FROM events GROUP BY 1, 2)"
 LONG = GRID + ", long AS (SELECT t, base, 'avg' AS stat, avg AS value FROM grid UNION ALL SELECT t, base, 'max', max FROM grid UNION ALL SELECT t, base, 'min', min FROM grid UNION ALL SELECT t, base, 'std', std FROM grid)"
 HOURLY = GRID + ", h AS (SELECT base, t, avg AS value, row_number() OVER (PARTITION BY base ORDER BY t) AS pos FROM grid)"
+SOURCES = "sh AS (SELECT CAST(user_id % 3 AS VARCHAR) AS source, event_type AS base, date_trunc('hour', ts) AS t, avg(value) AS value FROM events GROUP BY 1, 2, 3)"
 SPANS = "spans AS (SELECT user_id, event_id, event_type, ts AS s, ts + to_hours(CAST(event_id % 12 AS INTEGER)) AS e FROM events)"
 WINDOWS = "win AS (SELECT user_id, event_id AS w_id, CAST((event_id // 97) % 2 AS INTEGER) AS w_label, ts AS w_s, ts + INTERVAL 24 HOUR AS w_e FROM events WHERE event_id % 97 = 0)"
 PREDICTIONS = """x AS (SELECT doc_id, CAST(toxic AS INTEGER) AS actual, unnest([1,2,3,4,5]) AS repeat FROM labels),

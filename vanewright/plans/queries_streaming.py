@@ -10,7 +10,7 @@ from ..streaming import causal
 from ..streaming.replay import in_order, manifest, replay
 from ..streaming.snapshots import snapshots
 from ..streaming.step import StreamConfig
-from .fixtures import BASE_Z, GRID, HOURLY, STATS, events, grid, grid_long, hourly, r, sec
+from .fixtures import BASE_Z, GRID, HOURLY, SOURCES, STATS, events, grid, grid_long, hourly, r, sec, source_hourly
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -49,11 +49,11 @@ def r01(spark: SparkSession, d: str) -> DataFrame:
     return _replayed(spark, d)
 
 
-@query("r02_warm_up", f"WITH {GRID}, n AS (SELECT t, row_number() OVER (ORDER BY t) AS n FROM (SELECT DISTINCT t FROM grid)) SELECT {T}, n > 72 AS warmup_complete, n <= 72 AS quiet FROM n WHERE n <= 200")
+@query("r02_warm_up", f"WITH {GRID}, n AS (SELECT t, row_number() OVER (ORDER BY t) AS n FROM (SELECT DISTINCT t FROM grid)) SELECT {T}, n > 72 AS warmup_complete, n <= 72 AS quiet FROM n")
 def r02(spark: SparkSession, d: str) -> DataFrame:
     """The first 72 rows only warm up: they have no score and no phase."""
     x = _replayed(spark, d).withColumn("n", F.row_number().over(frames.keyed(["source"], ["ts"])))
-    return x.where("n <= 200").select(sec("ts").alias("t"), "warmup_complete", (F.col("state") == "warmup").alias("quiet"))
+    return x.select(sec("ts").alias("t"), "warmup_complete", (F.col("state") == "warmup").alias("quiet"))
 
 
 @query("r04_operating_state", f"""WITH {GRID}, p AS (SELECT t, median(avg) FILTER (WHERE base IN ('purchase', 'signup', 'view')) AS p FROM grid GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY t) AS n FROM p), sc AS (SELECT abs(quantile_cont(p, 0.9)) AS s FROM n WHERE n <= 72),
@@ -68,11 +68,20 @@ def r04(spark: SparkSession, d: str) -> DataFrame:
 TOKENS = "tk AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 41 = 0 THEN 'odd' || CAST(event_id % 3 AS VARCHAR) ELSE event_type END AS token FROM events)"
 
 
-@query("r05_status_rarity", f"WITH {TOKENS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos, coalesce(CAST(token <> lag(token) OVER (PARTITION BY user_id ORDER BY ts) AS INTEGER), 0) AS ch FROM tk), c AS (SELECT *, count(*) OVER (PARTITION BY user_id, token ORDER BY pos RANGE BETWEEN 40 PRECEDING AND 1 PRECEDING) AS seen, least(pos - 1, 40) AS k, sum(ch) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS b FROM n) SELECT event_id, k > 0 AND seen = 0 AS novel, k > 0 AND seen > 0 AND seen <= 0.05 * k AS rare, b >= 2 AS burst FROM c")
+@query("r05_status_rarity", f"""WITH {TOKENS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos, coalesce(CAST(token <> lag(token) OVER (PARTITION BY user_id ORDER BY ts) AS INTEGER), 0) AS ch FROM tk),
+c AS (SELECT *, count(*) OVER (PARTITION BY user_id, token ORDER BY pos RANGE BETWEEN 40 PRECEDING AND 1 PRECEDING) AS seen, least(pos - 1, 40) AS k, sum(ch) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS b FROM n),
+f AS (SELECT *, k >= 12 AND seen = 0 AS novel, k >= 12 AND seen > 0 AND seen <= 0.1::DOUBLE * k AS rare FROM c),
+l AS (SELECT *, lag(novel, 1, false) OVER w AS n1, lag(rare, 1, false) OVER w AS r1, lag(rare, 2, false) OVER w AS r2 FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT event_id, novel, rare, b >= 2 AS burst, (novel AND n1) OR (rare AND r1 AND r2) AS confirmed FROM l""")
 def r05(spark: SparkSession, d: str) -> DataFrame:
+    """A token is novel or rare only after enough history, and confirmed after two or three such rows in a row."""
+    return _tokens(spark, d, 0.1).select("event_id", "novel", "rare", "burst", "confirmed")
+
+
+def _tokens(spark: SparkSession, d: str, rare: float) -> DataFrame:
     i = F.col("event_id")
     e = events(spark, d, "event_id", "user_id", "event_type", "ts").withColumn("token", F.when(i % 41 == 0, F.concat(F.lit("odd"), (i % 3).cast("string"))).otherwise(F.col("event_type")))
-    return causal.status_rarity(e, ["user_id"], "ts", "token", 40, 0.05, 2).select("event_id", "novel", "rare", "burst")
+    return causal.status_rarity(e, ["user_id"], "ts", "token", 40, rare, 2, 12)
 
 
 def _z(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +91,7 @@ def _z(spark: SparkSession, d: str) -> DataFrame:
 
 GROUPS = {"shop": ("purchase", "signup", "error"), "site": ("click", "view")}
 SEMANTIC = f"""{BASE_Z}, gr AS (SELECT unnest(['shop', 'shop', 'shop', 'site', 'site']) AS name, unnest(['purchase', 'signup', 'error', 'click', 'view']) AS base),
-g AS (SELECT t, name, count(*) AS n, count(*) FILTER (WHERE z >= 1.0) AS n_high FROM z JOIN gr USING (base) GROUP BY 1, 2), b AS (SELECT *, n_high >= least(n, 8, greatest(2, ceil(n * 0.2))) AS busy FROM g),
+g AS (SELECT t, name, count(*) AS n, count(*) FILTER (WHERE z >= 1.0) AS n_high, max(z) AS max_z FROM z JOIN gr USING (base) GROUP BY 1, 2), b AS (SELECT *, n_high >= least(n, 8, greatest(2, ceil(n * 0.2))) AS busy FROM g),
 h AS (SELECT *, coalesce(avg(CAST(busy AS DOUBLE)) OVER (PARTITION BY name ORDER BY t ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 0) AS burden FROM b)"""
 
 
@@ -97,9 +106,17 @@ def r06(spark: SparkSession, d: str) -> DataFrame:
     return x.select(sec("t").alias("t"), "name", "n_high", "busy", r("burden").alias("burden"), "onset", "chronic")
 
 
-@query("r16_targeted_onset", f"WITH {SEMANTIC}, i AS (SELECT *, sum(CASE WHEN busy THEN 0 ELSE 1 END) OVER (PARTITION BY name ORDER BY t) AS k FROM h), u AS (SELECT *, CASE WHEN busy THEN count(*) FILTER (WHERE busy) OVER (PARTITION BY name, k ORDER BY t) ELSE 0 END AS run FROM i) SELECT {T}, count(*) FILTER (WHERE run = 2) AS n_groups, count(*) FILTER (WHERE run = 2) BETWEEN 1 AND 2 AS targeted FROM u GROUP BY t")
+def _latch(rows: str, key: str, confirm: int, quiet: int) -> str:
+    """SQL of a latch over ``rows`` (key, pos, want, calm), as lat(key, pos, fired)."""
+    return f"""lat({key}, pos, run, quiet, latched, fired) AS (SELECT DISTINCT {key}, 0::BIGINT, 0, 0, false, false FROM {rows} UNION ALL
+SELECT {key}, pos, nr, CASE WHEN arm THEN 0 ELSE nq END, (latched AND NOT arm) OR nr >= {confirm}, nr >= {confirm} AND NOT (latched AND NOT arm) FROM (SELECT *, latched AND nq >= {quiet} AS arm FROM (
+SELECT x.{key}, x.pos, l.latched, CASE WHEN want THEN l.run + 1 ELSE 0 END AS nr, CASE WHEN calm THEN l.quiet + 1 ELSE 0 END AS nq FROM lat l JOIN {rows} x ON x.{key} = l.{key} AND x.pos = l.pos + 1)))"""
+
+
+@query("r16_targeted_onset", f"WITH RECURSIVE {SEMANTIC}, o AS (SELECT name, t, row_number() OVER (PARTITION BY name ORDER BY t) AS pos, name IN ('shop', 'site') AND busy AND burden <= 0.10 AND burden < 0.20 AND max_z >= 1.2::DOUBLE AS want FROM h), oc AS (SELECT *, NOT want AS calm FROM o), {_latch('oc', 'name', 1, 12)} SELECT {T}, count(*) FILTER (WHERE fired) AS n_groups, count(*) FILTER (WHERE fired) BETWEEN 1 AND 2 AS targeted FROM lat JOIN o USING (name, pos) GROUP BY t")
 def r16(spark: SparkSession, d: str) -> DataFrame:
-    return causal.targeted_onset(_groups(spark, d), ["fleet"], "t").select(sec("t").alias("t"), "n_groups", "targeted")
+    """Listed groups with a new onset at a high level, armed again after twelve rows without."""
+    return causal.targeted_onset(_groups(spark, d), ["fleet"], "t", ["shop", "site"], 1.2, 1, 12).select(sec("t").alias("t"), "n_groups", "targeted")
 
 
 POWER = f"{HOURLY}, q AS (SELECT *, CASE WHEN count(value) OVER b >= 3 THEN median(value) OVER b END AS ref FROM h WINDOW b AS ({W} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)), pd AS (SELECT *, coalesce(ref > 0 AND value <= 0.9::DOUBLE * ref, false) AS dip FROM q), pr AS (SELECT *, coalesce(lag(dip) OVER ({W}) AND value >= 0.95::DOUBLE * lag(ref) OVER ({W}), false) AS rec FROM pd)"
@@ -125,61 +142,89 @@ def r09(spark: SparkSession, d: str) -> DataFrame:
     return causal.pending_stops(p, ["base"], "t", cfg).select("base", sec("t").alias("t"), "started")
 
 
-@query("r10_stop_counts", f"WITH {HOURLY}, f AS (SELECT *, value < 45 AS flag FROM h), c AS (SELECT *, sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c2, sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6, sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS c24, coalesce(sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING), 0) / 7 >= 3 AS busy FROM f) SELECT base, {T}, CAST(c2 AS BIGINT) AS count_2, CAST(c6 AS BIGINT) AS count_6, CAST(c24 AS BIGINT) AS count_24, busy, flag AND CASE WHEN busy THEN c2 >= 4 OR c6 >= 3 OR c24 >= 8 ELSE c2 >= 3 OR c6 >= 2 OR c24 >= 6 END AS over FROM c")
+@query("r10_stop_counts", f"""WITH {HOURLY}, f AS (SELECT *, value < 45 AS flag, value < 47 AS act FROM h),
+c AS (SELECT *, sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c2, sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6, sum(CAST(flag AS INTEGER)) OVER ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS c24,
+count(*) OVER b AS nb, coalesce(avg(CAST(act AS DOUBLE)) OVER b, 0) AS share, coalesce(sum(CAST(flag AS INTEGER)) OVER b, 0) AS stops FROM f WINDOW b AS ({W} ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)),
+y AS (SELECT *, nb >= 48 AND (share >= 0.3::DOUBLE OR stops >= 40) AS busy FROM c)
+SELECT base, {T}, CAST(c2 AS BIGINT) AS count_2, CAST(c6 AS BIGINT) AS count_6, CAST(c24 AS BIGINT) AS count_24, busy, flag AND CASE WHEN busy THEN c2 >= 4 OR (c6 >= 3 AND c24 >= 8) ELSE c2 >= 3 OR (c6 >= 2 AND c24 >= 6) END AS over FROM y""")
 def r10(spark: SparkSession, d: str) -> DataFrame:
-    h = hourly(spark, d).withColumn("flag", F.col("value") < 45)
-    return causal.stop_counts(h, ["base"], "t", "flag", (2, 6, 24), 168).select("base", sec("t").alias("t"), "count_2", "count_6", "count_24", "busy", "over")
+    """Two hours, or six and 24 together; more is needed where the week before was busy."""
+    h = hourly(spark, d).withColumns({"flag": F.col("value") < 45, "act": F.col("value") < 47})
+    x = causal.stop_counts(h, ["base"], "t", "flag", "act", (2, 6, 24), 168, 48, active_share=0.3, week_count=40)
+    return x.select("base", sec("t").alias("t"), "count_2", "count_6", "count_24", "busy", "over")
 
 
-@query("r12_localized_confirmation", f"WITH {HOURLY}, f AS (SELECT *, value >= 48 AS raw, coalesce(max(CAST(value >= 56 AS INTEGER)) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 1, false) AS near FROM h), i AS (SELECT *, sum(CASE WHEN raw IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER ({W}) AS k FROM (SELECT *, lag(raw) OVER ({W}) AS p FROM f)), n AS (SELECT *, sum(CAST(raw AND near AS INTEGER)) OVER (PARTITION BY base, k ORDER BY t ROWS UNBOUNDED PRECEDING) AS q FROM i) SELECT base, {T}, raw, raw AND near AND q = 1 AS confirmed FROM n")
+@query("r12_localized_confirmation", f"""WITH {HOURLY}, f AS (SELECT *, value >= 47 AS raw, value >= 55 AS support, value < 62 AS allowed FROM h),
+i AS (SELECT *, sum(CASE WHEN raw IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER ({W}) AS k FROM (SELECT *, lag(raw) OVER ({W}) AS p FROM f)),
+u AS (SELECT *, row_number() OVER v AS run, min(t) OVER v AS began, bool_or(support) OVER v AS seen FROM i WINDOW v AS (PARTITION BY base, k ORDER BY t)),
+q AS (SELECT *, min(CASE WHEN raw AND allowed AND seen AND run >= 2 AND epoch(t) - epoch(began) <= 7200 THEN t END) OVER (PARTITION BY base, k ORDER BY t) AS hit FROM u)
+SELECT base, {T}, raw, coalesce(hit = t, false) AS fires, coalesce(raw AND run >= 2 AND hit IS NOT NULL AND (epoch(t) - epoch(hit)) / 3600 <= 6, false) AS confirmed FROM q""")
 def r12(spark: SparkSession, d: str) -> DataFrame:
-    near = F.max((F.col("value") >= 56).cast("int")).over(frames.trailing(frames.keyed(["base"], ["t"]), 3)) == 1
-    h = hourly(spark, d).withColumns({"raw": F.col("value") >= 48, "near": near})
-    return causal.confirmed_once(h, ["base"], "t", "raw", "near").select("base", sec("t").alias("t"), "raw", "confirmed")
+    """Confirmed within two hours of the stretch's start, once it has lasted two rows, and for six hours."""
+    v = F.col("value")
+    h = hourly(spark, d).withColumns({"raw": v >= 47, "support": v >= 55, "allowed": v < 62})
+    out = causal.confirmed_once(h, ["base"], "t", StreamConfig(sampling_minutes=60, localized_points=2, localized_minutes=120, localized_hours=6))
+    return h.select("base", "t", "raw").join(out, ["base", "t"]).select("base", sec("t").alias("t"), "raw", "fires", "confirmed")
 
 
-@query("r13_slow_trend", f"WITH {HOURLY}, s AS (SELECT base, t, pos, (value - 50) / 2 AS z FROM h), w AS (SELECT base, t, count(*) OVER f = 24 AS full_, regr_slope(z, pos) OVER f AS sl, avg(z) OVER (PARTITION BY base ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) - avg(z) OVER (PARTITION BY base ORDER BY t ROWS BETWEEN 23 PRECEDING AND 18 PRECEDING) AS sh FROM s WINDOW f AS (PARTITION BY base ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)), g AS (SELECT t, count(*) FILTER (WHERE full_ AND abs(sl) >= 0.05 AND abs(sh) >= 1.0) AS n FROM w GROUP BY 1), i AS (SELECT *, sum(CASE WHEN n >= 2 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS k FROM g) SELECT {T}, n AS n_rising, n >= 2 AND count(*) FILTER (WHERE n >= 2) OVER (PARTITION BY k ORDER BY t) >= 3 AS trend FROM i")
+@query("r13_slow_trend", f"""WITH {SOURCES}, s AS (SELECT source, base, t, row_number() OVER (PARTITION BY source, base ORDER BY t) AS pos, (value - 50) / 2 AS z, value < 56 AS ok FROM sh),
+w AS (SELECT *, regr_slope(z, pos) OVER f AS sl, median(z) OVER f - CASE WHEN pos >= 24 THEN median(z) OVER (PARTITION BY source, base ORDER BY t ROWS BETWEEN 23 PRECEDING AND 6 PRECEDING) ELSE 0 END AS sf FROM s WINDOW f AS (PARTITION BY source, base ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+g AS (SELECT source, t, count(*) FILTER (WHERE ok AND pos >= 6 AND abs(sl) >= 0.2::DOUBLE AND abs(sf) >= 0.6::DOUBLE) AS n FROM w GROUP BY 1, 2),
+i AS (SELECT *, sum(CASE WHEN n >= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY t) AS k FROM g)
+SELECT source, {T}, n AS n_rising, n >= 2 AND count(*) FILTER (WHERE n >= 2) OVER (PARTITION BY source, k ORDER BY t) >= 2 AS trend FROM i""")
 def r13(spark: SparkSession, d: str) -> DataFrame:
-    z = hourly(spark, d).select(F.lit("all").alias("fleet"), "base", "t", ((F.col("value") - 50) / 2).alias("z"))
-    return causal.slow_trend(z, ["fleet"], "t", 24, 1.0, 0.05, 1.0, 2, 3).select(sec("t").alias("t"), "n_rising", "trend")
+    """Slope over six rows, shift of their median from the rows before, 24 in all, and only in allowed rows."""
+    v = F.col("value")
+    z = source_hourly(spark, d).select("source", "base", "t", ((v - 50) / 2).alias("z"), (v < 56).alias("ok"))
+    return causal.slow_trend(z, ["source"], "t", 6, 24, 1.0, "ok", 0.2, 0.6, 2, 2).select("source", sec("t").alias("t"), "n_rising", "trend")
 
 
-@query("r14_cluster_latch", f"WITH {HOURLY}, f AS (SELECT *, value >= 54 AS fire FROM h) SELECT base, {T}, fire, fire AND coalesce(sum(CAST(fire AS INTEGER)) OVER ({W} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) = 0 AS fired FROM f")
+@query("r14_cluster_latch", f"WITH RECURSIVE {HOURLY}, f AS (SELECT *, value >= 54 AS started FROM h), c AS (SELECT *, sum(CAST(started AS INTEGER)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6 FROM f), x AS (SELECT base, t, pos, started AND c6 >= 2 AS want, c6 <= 1 AND NOT started AS calm FROM c), {_latch('x', 'base', 1, 4)} SELECT base, {T}, want AS qualified, fired FROM lat JOIN x USING (base, pos)")
 def r14(spark: SparkSession, d: str) -> DataFrame:
-    h = hourly(spark, d).withColumn("fire", F.col("value") >= 54)
-    return causal.edge(h, ["base"], "t", "fire", 6).select("base", sec("t").alias("t"), "fire", "fired")
+    """A cluster of stops fires once; it is armed again after rows without a stop and at most one in six hours."""
+    h = hourly(spark, d).withColumn("started", F.col("value") >= 54)
+    h = h.withColumn("c6", F.sum(F.col("started").cast("int")).over(frames.trailing(frames.keyed(["base"], ["t"]), 6))).withColumn("qualified", F.col("started") & (F.col("c6") >= 2))
+    out = causal.latched(h, ["base"], "t", "qualified", (F.col("c6") <= 1) & ~F.col("started"), 1, 4)
+    return h.select("base", "t", "qualified").join(out, ["base", "t"]).select("base", sec("t").alias("t"), "qualified", "fired")
 
 
-@query("r15_fusion_latch", f"WITH {HOURLY}, f AS (SELECT *, pos % 3 BETWEEN 1 AND 2 AND value >= 47 AS w FROM h), i AS (SELECT *, sum(CASE WHEN w THEN 0 ELSE 1 END) OVER ({W}) AS k FROM f), u AS (SELECT *, w AND count(*) FILTER (WHERE w) OVER (PARTITION BY base, k ORDER BY t) >= 2 AS hit FROM i) SELECT base, {T}, hit AND coalesce(sum(CAST(hit AS INTEGER)) OVER ({W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), 0) = 0 AS fused FROM u")
+@query("r15_fusion_latch", f"""WITH RECURSIVE {POWER}, {SEMANTIC.removeprefix(GRID + ', ')}, o AS (SELECT t, count(*) FILTER (WHERE busy AND burden <= 0.30::DOUBLE) AS n FROM h2 GROUP BY 1), dp AS (SELECT t, bool_or(dip) AS dip FROM pd GROUP BY 1),
+y AS (SELECT 'all' AS fleet, t, row_number() OVER (ORDER BY t) AS pos, coalesce(n BETWEEN 1 AND 2 AND dip, false) AS want FROM o LEFT JOIN dp USING (t)), x AS (SELECT *, NOT want AS calm FROM y), {_latch('x', 'fleet', 1, 12)} SELECT {T}, want AS wanted, fired AS fused FROM lat JOIN x USING (fleet, pos)""".replace("\nh AS (SELECT *, coalesce(avg(CAST(busy", "\nh2 AS (SELECT *, coalesce(avg(CAST(busy"))
 def r15(spark: SparkSession, d: str) -> DataFrame:
-    """One or two groups with corroboration, two rows in a row, then quiet for twelve."""
-    h = hourly(spark, d).withColumn("wanted", (F.col("pos") % 3).between(1, 2) & (F.col("value") >= 47))
-    h = frames.run_length(h, "wanted", ["base"], ["t"]).withColumn("hit", F.col("run") >= 2)
-    return causal.edge(h, ["base"], "t", "hit", 12, "fused").select("base", sec("t").alias("t"), "fused")
-
-
-@query("r17_communication_fault", f"WITH {TOKENS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM tk), c AS (SELECT *, count(*) OVER (PARTITION BY user_id, token ORDER BY pos RANGE BETWEEN 40 PRECEDING AND 1 PRECEDING) AS seen, least(pos - 1, 40) AS k FROM n), b AS (SELECT *, event_id % 3 < 2 AND k > 0 AND seen <= 0.3 * k AS bad FROM c), i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM b) SELECT event_id, bad AND count(*) FILTER (WHERE bad) OVER (PARTITION BY user_id, g ORDER BY ts) >= 2 AS fault FROM i")
+    """One or two groups with an onset while a power signal dips, once, and again after twelve rows without."""
+    onset = _groups(spark, d).groupBy("fleet", "t").agg(F.count_if(F.col("busy") & (F.col("burden") <= 0.30)).alias("n"))
+    dips = _power(spark, d).groupBy("t").agg(F.bool_or("dip").alias("dip"))
+    x = onset.join(dips, "t", "left").withColumn("wanted", F.coalesce(F.col("n").between(1, 2) & F.col("dip"), F.lit(False)))
+    out = causal.latched(x, ["fleet"], "t", "wanted", ~F.col("wanted"), 1, 12)
+    return x.select("t", "wanted").join(out, "t").select(sec("t").alias("t"), "wanted", F.col("fired").alias("fused"))
+
+
+@query("r17_communication_fault", f"""WITH {TOKENS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos, coalesce(CAST(token <> lag(token) OVER (PARTITION BY user_id ORDER BY ts) AS INTEGER), 0) AS ch, event_id % 3 < 2 AS poor FROM tk),
+c AS (SELECT *, count(*) OVER (PARTITION BY user_id, token ORDER BY pos RANGE BETWEEN 40 PRECEDING AND 1 PRECEDING) AS seen, least(pos - 1, 40) AS k, sum(ch) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS b, poor AND lag(poor, 1, false) OVER (PARTITION BY user_id ORDER BY ts) AS sure FROM n),
+y AS (SELECT *, sure AND ((k >= 12 AND seen <= 0.3::DOUBLE * k) OR b >= 2) AS bad FROM c), i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM y)
+SELECT event_id, bad AND count(*) FILTER (WHERE bad) OVER (PARTITION BY user_id, g ORDER BY ts) >= 2 AS fault FROM i""")
 def r17(spark: SparkSession, d: str) -> DataFrame:
-    """Bad data and an unusual status together, two rows in a row."""
-    i = F.col("event_id")
-    e = events(spark, d, "event_id", "user_id", "event_type", "ts").withColumn("token", F.when(i % 41 == 0, F.concat(F.lit("odd"), (i % 3).cast("string"))).otherwise(F.col("event_type")))
-    s = causal.status_rarity(e, ["user_id"], "ts", "token", 40, 0.3, 2).withColumn("bad", (i % 3 < 2) & (F.col("novel") | F.col("rare")))
-    return frames.run_length(s, "bad", ["user_id"], ["ts"]).select("event_id", (F.col("run") >= 2).alias("fault"))
+    """Confirmed bad data (two rows in a row) and an unusual status or a burst of changes together, two rows in a row."""
+    s = _tokens(spark, d, 0.3).withColumn("poor", F.col("event_id") % 3 < 2)
+    s = frames.run_length(s, "poor", ["user_id"], ["ts"]).withColumn("sure", F.col("run") >= 2)
+    return causal.communication_fault(s, ["user_id"], "ts", "sure").select("event_id", "fault")
 
 
 PHASES = f"""{HOURLY}, x AS (SELECT base, t, pos, value >= 58 AS tr, value >= 54 AS rv, value >= 50 AS su FROM h),
-f(base, pos, phase, rows, closed) AS (SELECT DISTINCT base, 0, 'normal', 0, false FROM x UNION ALL
-SELECT base, pos, nx, CASE WHEN nx = phase THEN rows + 1 ELSE 0 END, phase = 'inactive_pending' AND nx = 'normal' FROM (SELECT x.base, x.pos, f.phase, f.rows, CASE f.phase
-WHEN 'normal' THEN CASE WHEN tr THEN 'active_alert' WHEN rv THEN 'candidate' ELSE 'normal' END
-WHEN 'candidate' THEN CASE WHEN tr THEN 'active_alert' WHEN NOT su AND rows + 1 >= 3 THEN 'normal' ELSE 'candidate' END
-WHEN 'active_alert' THEN CASE WHEN su THEN 'active_alert' ELSE 'recovery_pending' END
-WHEN 'recovery_pending' THEN CASE WHEN su THEN 'active_alert' WHEN rows + 1 >= 3 THEN 'inactive_pending' ELSE 'recovery_pending' END
-ELSE CASE WHEN tr THEN 'active_alert' WHEN rows + 1 >= 6 THEN 'normal' ELSE 'inactive_pending' END END AS nx FROM f JOIN x ON x.base = f.base AND x.pos = f.pos + 1))"""
+f(base, pos, phase, run, closed) AS (SELECT DISTINCT base, 0, 'normal', 0, false FROM x UNION ALL
+SELECT base, pos, CASE WHEN phase IN ('normal', 'candidate') THEN CASE WHEN tr THEN 'active_alert' WHEN rv THEN 'candidate' ELSE 'normal' END
+WHEN phase = 'active_alert' THEN CASE WHEN su THEN phase ELSE 'recovery_pending' END
+WHEN phase = 'recovery_pending' THEN CASE WHEN su THEN 'active_alert' WHEN run + 1 >= 3 THEN 'inactive_pending' ELSE phase END
+ELSE CASE WHEN tr THEN 'active_alert' WHEN run + 1 >= 6 THEN 'normal' ELSE phase END END,
+CASE WHEN phase IN ('normal', 'candidate') THEN 0 WHEN phase = 'active_alert' THEN CASE WHEN su THEN 0 ELSE 1 END
+WHEN phase = 'recovery_pending' THEN CASE WHEN su OR run + 1 >= 3 THEN 0 ELSE run + 1 END ELSE CASE WHEN tr OR run + 1 >= 6 THEN 0 ELSE run + 1 END END,
+phase = 'inactive_pending' AND NOT tr AND run + 1 >= 6
+FROM (SELECT x.base, x.pos, tr, rv, su, f.phase, f.run FROM f JOIN x ON x.base = f.base AND x.pos = f.pos + 1))"""
 
 
 def _phases(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    h = hourly(spark, d).select("base", "t", (v >= 58).alias("trigger"), (v >= 54).alias("review"), (v >= 50).alias("support"), (v / 100).alias("score"))
+    h = hourly(spark, d).select("base", "t", (v >= 58).alias("trigger"), (v >= 54).alias("review"), (v >= 50).alias("support"))
     return causal.alert_phases(h, ["base"], "t", StreamConfig(sampling_minutes=60, recovery_rows=3, merge_hours=6))
 
 

@@ -14,6 +14,9 @@ from typing import Any
 
 import numpy as np
 
+from .latches import Confirmation, Latch, LifeCycle
+from .quality import QualityLimits
+
 
 @dataclass(frozen=True)
 class StreamConfig:
@@ -44,24 +47,44 @@ class StreamConfig:
     windows_hours: tuple[float, float, float] = (2.0, 6.0, 24.0)
     cluster_counts: tuple[int, int, int] = (3, 2, 6)
     busy_counts: tuple[int, int, int] = (4, 3, 8)
-    busy_per_day: float = 3.0
+    week_hours: float = 168.0
+    history_hours: float = 48.0
+    busy_share: float = 0.2
+    busy_week: int = 20
     rearm_hours: float = 6.0
+    rearm_count: int = 1
     status_hours: float = 720.0
+    novel_rows: int = 2
+    rare_rows: int = 3
     rare_share: float = 0.0005
     burst: int = 4
     semantic_level: float = 6.0
     semantic_onset: float = 0.10
+    semantic_chronic: float = 0.20
+    fusion_rows: int = 2
+    fusion_quiet_hours: float = 12.0
     targeted_level: float = 10.0
+    targeted_rows: int = 2
+    targeted_quiet_hours: float = 12.0
+    targeted_groups: tuple[str, ...] = ()
     localized_least: int = 3
     localized_coverage: float = 0.6
     localized_overlap: float = 0.4
-    trend_hours: float = 24.0
+    localized_points: int = 6
+    localized_minutes: float = 120.0
+    localized_hours: float = 6.0
+    trend_hours: float = 6.0
+    trend_shift_hours: float = 24.0
     trend_slope: float = 0.25
     trend_shift: float = 2.5
     trend_signals: int = 2
     trend_run: int = 6
-    missing_share: float = 0.3
-    frozen_share: float = 0.8
+    quality: QualityLimits = QualityLimits()
+    communication_rows: int = 2
+    strong_fraction: float = 0.10
+    localized_strength: float = 8.0
+    smoothing: int = 3
+    support_hours: float = 1.0
     recovery_rows: int = 6
     merge_hours: float = 6.0
 
@@ -154,35 +177,42 @@ class State:
     dip_reference: float = math.nan
     stop: PendingStop = field(default_factory=lambda: PendingStop())
     shorts: deque = field(default_factory=deque)
+    background: deque = field(default_factory=deque)
+    background_sums: list = field(default_factory=lambda: [0, 0])
     fractions: deque = field(default_factory=deque)
     persistent_run: int = 0
     active_sets: deque = field(default_factory=deque)
     last_active: frozenset = frozenset()
-    latched: bool = False
-    last_dip: float = -math.inf
+    overlaps: deque = field(default_factory=deque)
+    strengths: deque = field(default_factory=deque)
+    confirmation: Confirmation = field(default_factory=Confirmation)
     signed: deque = field(default_factory=deque)
     trend_run: int = 0
-    cluster_latched: bool = False
-    cluster_quiet: int = 0
+    cluster: Latch = field(default_factory=Latch)
+    fusion: Latch = field(default_factory=Latch)
+    groups: dict = field(default_factory=dict)
     group_history: dict = field(default_factory=dict)
-    group_latched: dict = field(default_factory=dict)
-    group_run: dict = field(default_factory=dict)
-    fusion_run: int = 0
-    fusion_latched: bool = False
-    fusion_quiet: int = 0
+    missing_run: int = 0
+    frozen_run: int = 0
     comm_run: int = 0
-    status_run: int = 0
-    phase: str = "normal"
-    phase_rows: int = 0
+    novel_run: int = 0
+    rare_run: int = 0
+    last_trigger: float = -math.inf
+    cycle: LifeCycle = field(default_factory=LifeCycle)
     episode: dict | None = None
     episodes: int = 0
 
+    @property
+    def phase(self) -> str:
+        return self.cycle.phase
+
 
 def _status(s: State, token: str, now: float, cfg: StreamConfig) -> tuple[bool, bool, bool]:
     """(novel, rare, burst) against the history before this row, which then takes the row in."""
     n = len(s.statuses)
     seen = s.status_counts.get(token, 0)
-    novel, rare = n > 0 and seen == 0, n > 0 and 0 < seen <= cfg.rare_share * n
+    ready = n >= cfg.rows(cfg.history_hours)
+    novel, rare = ready and seen == 0, ready and 0 < seen <= cfg.rare_share * n
     if s.last_status is not None and token != s.last_status:
         s.transitions.append(now)
     while s.transitions and now - s.transitions[0] > 3600:
@@ -243,8 +273,8 @@ def step(s: State, row: dict[str, Any], cfg: StreamConfig) -> dict[str, Any]:
     short_fraction, extreme_fraction = (float((base >= v).mean()) if n else 0.0 for v in (cfg.level, cfg.extreme))
 
     novel, rare, burst = _status(s, token, now, cfg)
-    s.status_run = s.status_run + 1 if novel or rare or burst else 0
-    status_hit = s.status_run >= 2
+    s.novel_run, s.rare_run = s.novel_run + 1 if novel else 0, s.rare_run + 1 if rare else 0
+    status_hit = s.novel_run >= cfg.novel_rows or s.rare_run >= cfg.rare_rows
 
     # subsystems: candidates against the share of earlier rows in which the group was busy
     onset, targeted = [], []
@@ -253,18 +283,19 @@ def step(s: State, row: dict[str, Any], cfg: StreamConfig) -> dict[str, Any]:
         history = s.group_history.setdefault(name, deque(maxlen=cfg.rows(24)))
         busy = int((v >= cfg.semantic_level).sum()) >= _need(len(members)) and s.mode != "transition"
         burden = sum(history) / len(history) if history else 0.0
-        if busy and burden <= cfg.semantic_onset:
+        new = busy and burden <= cfg.semantic_onset
+        if new:
             onset.append(name)
-        hot = int((v >= cfg.targeted_level).sum()) >= _need(len(members))
-        run = s.group_run[name] = s.group_run.get(name, 0) + 1 if hot else 0
-        if run >= 2 and not s.group_latched.get(name):
-            s.group_latched[name] = True
+        listed = not cfg.targeted_groups or name in cfg.targeted_groups
+        wanted = bool(listed and new and burden < cfg.semantic_chronic and len(v) and v.max() >= cfg.targeted_level)
+        if s.groups.setdefault(name, Latch()).take(wanted, not wanted, cfg.targeted_rows, cfg.rows(cfg.targeted_quiet_hours)):
             targeted.append(name)
-        if not hot and run == 0 and burden == 0:
-            s.group_latched[name] = False
         history.append(int(busy))
 
-    bad_data = missing >= cfg.missing_share or frozen >= cfg.frozen_share or gap > 1.5 * cfg.sampling_minutes
+    q = cfg.quality
+    s.missing_run = s.missing_run + 1 if missing >= q.missing_candidate else 0
+    s.frozen_run = s.frozen_run + 1 if frozen >= q.frozen_candidate and s.mode != "stopped" else 0
+    bad_data = (s.missing_run >= q.rows and missing >= q.missing_confirmed) or (s.frozen_run >= q.rows and frozen >= q.frozen_confirmed) or gap >= q.gap_confirmed_minutes
     s.comm_run = s.comm_run + 1 if bad_data and (novel or rare or burst) else 0
 
     # power: a dip is judged against the median of earlier finite values, its recovery by the next row
@@ -275,135 +306,115 @@ def step(s: State, row: dict[str, Any], cfg: StreamConfig) -> dict[str, Any]:
         s.power.append(p)
         if len(s.power) > cfg.dip_window:
             s.power.popleft()
-    if dip:
-        s.last_dip = now
 
     # short standstills: a dip opens, a stable recovery confirms, time or length cancels
     started = s.stop.update(now, p, reference, dip, short_fraction >= cfg.short_fraction, cfg)
     s.dipped, s.dip_reference = dip, reference if dip else s.dip_reference
-    week = 7 * 86_400
-    while s.shorts and now - s.shorts[0] > week:
+    while s.shorts and now - s.shorts[0] > max(cfg.windows_hours) * 3600:
         s.shorts.popleft()
-    busy_background = len(s.shorts) / 7 >= cfg.busy_per_day
+    n_before = len(s.background)
+    busy_background = n_before >= cfg.rows(cfg.history_hours) and (s.background_sums[1] >= cfg.busy_share * n_before or s.background_sums[0] >= cfg.busy_week)
     if started:
         s.shorts.append(now)
     counts = [sum(now - t <= h * 3600 for t in s.shorts) for h in cfg.windows_hours]
     needs = cfg.busy_counts if busy_background else cfg.cluster_counts
-    over = started and any(c >= k for c, k in zip(counts, needs, strict=True))
+    over = started and (counts[0] >= needs[0] or (counts[1] >= needs[1] and counts[2] >= needs[2]))
 
     s.fractions.append(extreme_fraction)
     if len(s.fractions) > cfg.persistent_window:
         s.fractions.popleft()
-    full = len(s.fractions) == cfg.persistent_window
-    s.persistent_run = s.persistent_run + 1 if full and sum(s.fractions) / len(s.fractions) >= cfg.persistent_mean else 0
+    high = len(s.fractions) == cfg.persistent_window and sum(s.fractions) / len(s.fractions) >= cfg.persistent_mean
+    s.persistent_run = s.persistent_run + 1 if high else 0
     persistent = s.persistent_run >= cfg.persistent_run
 
-    # localized: the same few signals stay active, with a power dip near
+    # localized: the same few signals stay active and strong, confirmed by a power dip near the start
     active = frozenset(np.flatnonzero(base >= cfg.level).tolist())
     s.active_sets.append(active)
     if len(s.active_sets) > cfg.persistent_window:
         s.active_sets.popleft()
     union = active | s.last_active
-    overlap = len(active & s.last_active) / len(union) if union else 1.0
-    stable = [i for i in active if sum(i in a for a in s.active_sets) >= cfg.localized_coverage * len(s.active_sets)]
-    raw = len(active) >= cfg.localized_least and len(stable) >= cfg.localized_least and overlap >= cfg.localized_overlap and short_fraction < cfg.persistent_mean
+    strongest = np.sort(base)[-cfg.localized_least :]
+    for kept, value in ((s.overlaps, len(active & s.last_active) / len(union) if union else 1.0), (s.strengths, float(strongest.mean()) if len(strongest) else 0.0)):
+        kept.append(value)
+        if len(kept) > cfg.smoothing:
+            kept.popleft()
+    seen = frozenset().union(*s.active_sets)
+    stable = sum(sum(i in a for a in s.active_sets) >= cfg.localized_coverage * len(s.active_sets) for i in seen)
+    raw = len(s.active_sets) == cfg.persistent_window and stable >= cfg.localized_least and sum(s.overlaps) / len(s.overlaps) >= cfg.localized_overlap and sum(s.strengths) / len(s.strengths) >= cfg.localized_strength
     s.last_active = active
-    localized = raw and not s.latched and now - s.last_dip <= 7200
-    s.latched = raw and (s.latched or localized)
+    _, localized = s.confirmation.take(now, raw, dip, s.mode == "generating", cfg.localized_points, cfg.localized_minutes, cfg.rows(cfg.localized_hours), cfg.sampling_minutes)
+    candidate = s.confirmation.run >= cfg.localized_points
 
+    rows, all_rows = max(4, cfg.rows(cfg.trend_hours)), cfg.rows(cfg.trend_shift_hours)
     s.signed.append(np.where(np.isfinite(z), z, 0.0))
-    if len(s.signed) > cfg.rows(cfg.trend_hours):
+    if len(s.signed) > max(all_rows, rows + 1):
         s.signed.popleft()
     rising = 0
-    if len(s.signed) == cfg.rows(cfg.trend_hours):
+    if s.mode == "generating" and len(s.signed) >= rows:
         m = np.vstack(s.signed)
-        t = (np.arange(len(m)) - (len(m) - 1) / 2) * cfg.sampling_minutes / 60
-        slope = t @ m / (t @ t)
-        k = max(1, len(m) // 4)
-        shift = m[-k:].mean(axis=0) - m[:k].mean(axis=0)
+        t = (np.arange(rows) - (rows - 1) / 2) * cfg.sampling_minutes / 60
+        slope = t @ m[-rows:] / (t @ t)
+        shift = np.median(m[-rows:], axis=0) - (np.median(m[:-rows], axis=0) if len(m) >= max(all_rows, rows + 1) else 0.0)
         rising = int(((np.abs(slope) >= cfg.trend_slope) & (np.abs(shift) >= cfg.trend_shift)).sum())
     s.trend_run = s.trend_run + 1 if rising >= cfg.trend_signals else 0
     trend = s.trend_run >= cfg.trend_run
 
     # latches fire once and are armed again after a quiet time
-    s.cluster_quiet = 0 if started else s.cluster_quiet + 1
-    if s.cluster_latched and s.cluster_quiet >= cfg.rows(cfg.rearm_hours) and counts[1] <= 1:
-        s.cluster_latched = False
-    cluster = over and not s.cluster_latched
-    s.cluster_latched = s.cluster_latched or cluster
-    corroborated = status_hit or dip or started or trend
+    qualified = over and (high or candidate or short_fraction >= cfg.strong_fraction)
+    cluster = s.cluster.take(qualified, counts[1] <= cfg.rearm_count and not started, 1, cfg.rows(cfg.rearm_hours))
+    corroborated = localized or cluster or (status_hit and (novel or rare))
     wanted = 1 <= len(onset) <= 2 and corroborated
-    s.fusion_run = s.fusion_run + 1 if wanted else 0
-    s.fusion_quiet = 0 if wanted else s.fusion_quiet + 1
-    if s.fusion_latched and s.fusion_quiet >= cfg.rows(12):
-        s.fusion_latched = False
-    fused = s.fusion_run >= 2 and not s.fusion_latched
-    s.fusion_latched = s.fusion_latched or fused
+    fused = s.fusion.take(wanted, not wanted, cfg.fusion_rows, cfg.rows(cfg.fusion_quiet_hours))
     onset_hit = 1 <= len(targeted) <= 2
-    comm = s.comm_run >= 2
+    comm = s.comm_run >= cfg.communication_rows
 
     # evidence: triggers may open an episode, reviews only mark it
-    evidence = {"cluster": (cluster, 0.9), "persistent": (persistent, 0.95), "localized": (localized, 0.85), "fusion": (fused, 0.8), "targeted": (onset_hit, 0.8), "communication": (comm, 0.75)}
-    reviews = {"short": (started, 0.45), "status": (status_hit, 0.4), "trend": (trend, 0.5), "semantic": (bool(onset), 0.35)}
+    evidence = {"cluster": (cluster, 0.9), "localized": (localized, 0.95), "fusion": (fused, 0.96), "targeted": (onset_hit, 0.97), "communication": (comm, 0.98)}
+    reviews = {"persistent": (persistent, 0.95), "short": (started, 0.6), "status": (status_hit, 0.65), "trend": (trend, 0.58), "semantic": (bool(onset), 0.55), "candidate": (candidate, 0.55)}
     on = [k for k, (v, _) in evidence.items() if v]
     score = max([w for v, w in [*evidence.values(), *reviews.values()] if v], default=0.0)
-    k = len([f for f in on if f != "persistent"])
-    if k >= 2:
-        score = max(score, min(1.0, 0.55 + 0.2 * k))
+    if len(on) >= 2:
+        score = max(score, min(1.0, 0.55 + 0.2 * len(on)))
     trigger = bool(on)
     review = any(v for v, _ in reviews.values())
-    support = trigger or persistent or raw or review
+    s.last_trigger = now if trigger else s.last_trigger
+    support = trigger or now - s.last_trigger <= cfg.support_hours * 3600
 
-    closed = life_cycle(s, now, trigger, review, support, score, on, cfg)
-    out |= {"state": s.phase, "mode": s.mode, "score": score, "active": s.phase in ("active_alert", "recovery_pending"), "review": review and not trigger, "families": ";".join(sorted(on)), "short_fraction": short_fraction, "extreme_fraction": extreme_fraction, "closed": closed}
+    closed = advance(s, now, trigger, review, support, score, on, cfg)
+    is_active = s.phase in ("active_alert", "recovery_pending")
+    out |= {"state": s.phase, "mode": s.mode, "score": score, "active": is_active, "review": review and not trigger, "families": ";".join(sorted(on)), "short_fraction": short_fraction, "extreme_fraction": extreme_fraction, "closed": closed}
 
+    s.background.append((int(started), int(is_active)))
+    s.background_sums = [a + b for a, b in zip(s.background_sums, s.background[-1], strict=True)]
+    if len(s.background) > cfg.rows(cfg.week_hours):
+        s.background_sums = [a - b for a, b in zip(s.background_sums, s.background.popleft(), strict=True)]
     quiet = s.phase in ("normal", "candidate") and s.mode in ("generating", "stopped") and short_fraction < cfg.quiet_fraction and not trigger
     if quiet:
         s.baseline.update(x, 2 / (cfg.ewma_points + 1), cfg.clip)
     return out
 
 
-def life_cycle(s: State, now: float, trigger: bool, review: bool, support: bool, score: float, on: list[str], cfg: StreamConfig) -> dict | None:
-    """normal, candidate, active_alert, recovery_pending, inactive_pending; returns an episode that closes now."""
-    closed = None
-    s.phase_rows += 1
-
-    def go(phase: str) -> None:
-        s.phase, s.phase_rows = phase, 0
-
+def advance(s: State, now: float, trigger: bool, review: bool, support: bool, score: float, on: list[str], cfg: StreamConfig) -> dict | None:
+    """Takes a row into the life cycle and its episode; returns an episode that closes now."""
+    before = s.phase
+    closes = s.cycle.take(trigger, review, support, cfg.recovery_rows, cfg.rows(cfg.merge_hours))
+    if closes:
+        return finish(s, False)
     if s.phase == "normal":
-        if trigger or review:
-            s.episode = {"start": now, "first_active": now if trigger else None, "end": now, "max_score": 0.0, "rows": 0, "families": set()}
-            go("active_alert" if trigger else "candidate")
-    elif s.phase == "candidate":
-        if trigger:
-            s.episode["first_active"] = now
-            go("active_alert")
-        elif not support and s.phase_rows >= cfg.recovery_rows:
-            s.episode = None
-            go("normal")
-    elif s.phase == "active_alert":
-        if not support:
-            go("recovery_pending")
-    elif s.phase == "recovery_pending":
-        if support:
-            go("active_alert")
-        elif s.phase_rows >= cfg.recovery_rows:
-            go("inactive_pending")
-    elif s.phase == "inactive_pending":
-        if trigger:
-            go("active_alert")
-        elif s.phase_rows >= cfg.rows(cfg.merge_hours):
-            closed = finish(s, False)
-            go("normal")
-    if s.episode is not None and s.phase in ("candidate", "active_alert"):
-        e = s.episode
+        s.episode = None
+        return None
+    if before == "normal":
+        s.episode = {"start": now, "first_active": None, "end": now, "max_score": 0.0, "rows": 0, "families": set()}
+    e = s.episode
+    if s.phase == "active_alert" and e["first_active"] is None:
+        e["first_active"] = now
+    if s.phase in ("candidate", "active_alert"):
         e["max_score"] = max(e["max_score"], score)
         e["families"] |= set(on)
         e["rows"] += 1
-        if support:
+        if trigger or support or (review and s.phase == "candidate"):
             e["end"] = now
-    return closed
+    return None
 
 
 def finish(s: State, censored: bool) -> dict | None:
