@@ -4,14 +4,77 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import attach
+
 MAD = 1.4826
 IQR = 1.349
 LEAST = 1e-9
 
 
+#: Accuracy of the sketch that brackets a quantile: it is off by at most one rank in so many.
+ACCURACY = 10_000
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def bracketed_quantiles(df: DataFrame, key: Sequence[str], value: str, qs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+    """(key, n, q): interpolated quantiles, equal to ``percentile``'s, of groups of any size; null values don't count.
+
+    A quantile sketch brackets each quantile. A second pass counts the values below the bracket and the distinct values
+    inside, about 4 n / accuracy of a group's n, and running counts tell which of them stand at the wanted ranks. So no
+    buffer holds a group's values.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
+    slack = 2.0 / accuracy
+    ends = [min(1.0, max(0.0, q + s)) for q in qs for s in (-slack, slack)]
+    marks = known.groupBy(*key).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_m"))
+    marked = attach(known, marks, key)
+    low, high = ([F.col("_m")[2 * i + j] for i in range(len(qs))] for j in (0, 1))
+    v = F.col("_v")
+    outside = marked.groupBy(*key, "_n").agg(
+        *(F.count_if(v < low[i]).alias(f"_below{i}") for i in range(len(qs))), *(F.max(F.when(v < low[i], v)).alias(f"_last{i}") for i in range(len(qs))), *(F.min(F.when(v > high[i], v)).alias(f"_next{i}") for i in range(len(qs)))
+    )
+    per = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.col(f"_below{i}").alias("below"), F.col(f"_last{i}").alias("last"), F.col(f"_next{i}").alias("next")) for i, q in enumerate(qs)))
+    outside = outside.select(*key, "_n", F.explode(per).alias("_x")).select(*key, "_n", "_x.*")
+    inside = marked.select(*key, "_v", F.explode(F.array_compact(F.array(*(F.when((v >= low[i]) & (v <= high[i]), F.lit(i)) for i in range(len(qs)))))).alias("i"))
+    inside = inside.groupBy(*key, "i", "_v").agg(F.count("*").alias("_c"))
+    inside = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*key, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.col("q") * (F.col("_n") - 1)
+    rows = attach(inside, outside, [*key, "i"]).withColumns({"_a": F.floor(at), "_b": F.ceil(at), "_end": F.col("below") + F.col("_upto")})
+    picked = rows.groupBy(*key, "i", "_n", "q", "below", "last", "next", "_a", "_b").agg(F.max("_end").alias("_end"), *(F.min(F.when(F.col("_end") > F.col(c), F.col("_v"))).alias(f"{c}v") for c in ("_a", "_b")))
+    missed = (F.col("_a") < F.col("below") - 1) | (F.col("_b") > F.col("_end"))
+    value_at = lambda c: F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).when(F.col(c) < F.col("below"), F.col("last")).otherwise(F.coalesce(F.col(f"{c}v"), F.col("next")))
+    part = at - F.col("_a")
+    q = (1 - part) * value_at("_a") + part * value_at("_b")
+    return picked.groupBy(*key, F.col("_n").alias("n")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", q.alias("q")))), lambda x: x["q"]).alias("q"))
+
+
+def bracketed_scale(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """robust_scale of groups of any size: the quantiles are bracketed ones."""
+    first = attach(bracketed_quantiles(df, key, value, QUARTILES), df.groupBy(*key).agg(F.stddev_samp(value).alias("_std")), key)
+    centred = attach(df.where(F.col(value).isNotNull()), first.select(*key, F.col("q")[1].alias("_centre")), key).select(*key, F.abs(F.col(value) - F.col("_centre")).alias("_d"))
+    out = attach(first, bracketed_quantiles(centred, key, "_d", (0.5,)).select(*key, (MAD * F.col("q")[0]).alias("_mad")), key)
+    usable = lambda c: F.when(c.isNotNull() & ~F.isnan(c) & (c > LEAST), c)
+    return out.select(*key, "n", F.col("q")[1].alias("centre"), F.coalesce(usable(F.col("_mad")), usable((F.col("q")[2] - F.col("q")[0]) / IQR), usable(F.col("_std"))).alias("scale"))
+
+
+def bracketed_threshold(df: DataFrame, key: Sequence[str], value: str, q: float, floor: float, reference: Column) -> DataFrame:
+    """adaptive_threshold of groups of any size."""
+    found = bracketed_quantiles(df.where(reference), key, value, (q,)).select(*key, F.col("q")[0].alias("_q"))
+    return attach(df.select(*key).distinct(), found, key, "left").select(*key, F.greatest(F.lit(floor), "_q").alias("threshold"))
+
+
+def bracketed_reference(df: DataFrame, reference: Column, key: Sequence[str], value: str) -> DataFrame:
+    """(key, mean, std, median, min, max, mad) of the reference rows, for groups of any size."""
+    ref = df.where(reference)
+    plain = ref.groupBy(*key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    median = bracketed_quantiles(ref, key, value, (0.5,)).select(*key, F.col("q")[0].alias("median"))
+    away = attach(ref.where(F.col(value).isNotNull()), median, key).select(*key, F.abs(F.col(value) - F.col("median")).alias("_d"))
+    return attach(attach(plain, median, key), bracketed_quantiles(away, key, "_d", (0.5,)).select(*key, F.col("q")[0].alias("mad")), key)
+
+
 def robust_scale(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """(key, n, centre, scale): median and 1.4826 MAD, else IQR / 1.349, else the standard deviation; each has to be
     over 1e-9, else the scale is null. Two aggregations; the second joins the first's medians back."""
