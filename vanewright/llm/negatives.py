@@ -6,8 +6,8 @@ anchor's windows of scores (one for each positive) each ask for the first few ca
 passed over where that bound lies below every window's limit: the larger of its lower end and the score of the last one
 found so far, if the window is full. As norms only fall, so does everything behind it.
 
-Rounds take one bucket, then eight more, then 72: what earlier rounds have found raises the limits of the next. In a
-round, groups of anchors meet spans of buckets; a task reads its span's slices one by one, scores them by a product of
+A first round takes buckets of BUCKET_ROWS rows, each later one eight times the rows of all before: what earlier rounds
+have found raises the limits of the next. In a round, groups of anchors meet spans of buckets; a task reads its span's slices one by one, scores them by a product of
 integer matrices and keeps the best of each window. Positives come from the same search, by one window without ends
 over candidates of the anchor's label.
 
@@ -20,8 +20,10 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -213,7 +215,9 @@ def best_of_windows(scratch: Scratch, anchors: DataFrame, buckets: list[Bucket],
     best = anchors.sparkSession.createDataFrame([], HITS)
     done, window = 0, Window.partitionBy("id", "row", "window").orderBy(F.desc("score"), "other")
     while done < len(buckets):
-        now = buckets[done : 9 * done + 1]
+        rows = list(accumulate(b.rows for b in buckets))
+        least = max(BUCKET_ROWS, 9 * rows[done - 1] if done else 0)
+        now = buckets[done : bisect_left(rows, least) + 1]
         spans = [now[i : i + -(-len(now) // SPANS)] for i in range(0, len(now), -(-len(now) // SPANS))]
         live = anchors
         if done:
