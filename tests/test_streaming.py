@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 from vanewright.streaming.replay import episodes, replay, stream
 from vanewright.streaming.step import Baseline, State, StreamConfig, step
 
-CFG = StreamConfig(warmup=24, persistent_run=3, recovery_rows=2, merge_hours=0.5, trend_hours=2)
+CFG = StreamConfig(warmup=24, persistent_run=3, recovery_rows=2, merge_hours=0.5, trend_hours=2, localized_points=3, level=6, extreme=40, persistent_mean=2)
 T0 = dt.datetime(2024, 1, 1)
-SIGNALS = ["power_1_avg", "sensor_1_avg", "sensor_1_std", "sensor_2_avg"]
+SIGNALS = ["power_1_avg", "sensor_1_avg", "sensor_2_avg", "sensor_2_std", "sensor_3_avg"]
 
 
-def table(spark, n=80, shift=(40, 55)):
+def table(spark, n=80, shift=(40, 55), dips=(44,)):
+    """A shift of the sensors, and dips of power in it: what the localized detector confirms."""
     rng = np.random.default_rng(1)
     rows = []
     for i in range(n):
-        x = rng.normal(100, 1, 4) + (np.array([0, 60, 60, 60]) if shift[0] <= i < shift[1] else 0)
+        x = rng.normal(100, 1, 5) + (np.array([0, 60, 60, 60, 60]) if shift[0] <= i < shift[1] else 0)
+        x[0] = 20 if i in dips else x[0]
         rows.append(("s1", T0 + dt.timedelta(minutes=10 * i), "0", dict(zip(SIGNALS, map(float, x), strict=True))))
     return spark.createDataFrame(rows, "source string, ts timestamp, status string, values map<string,double>")
 
@@ -34,8 +36,16 @@ def test_shift_opens_and_closes_one_episode(spark):
     assert len(e) >= 1 and T0 + dt.timedelta(minutes=400) <= e[0]["start"] <= T0 + dt.timedelta(minutes=550)
 
 
+def test_broad_deviation_alone_never_opens_an_alert(spark):
+    """Persistent deviation is review evidence: it marks candidates, whatever its size."""
+    cfg = StreamConfig(warmup=24, persistent_run=3, recovery_rows=2, merge_hours=0.5)
+    rows = replay(table(spark, dips=()), SIGNALS, ["power_1_avg"], cfg=cfg).cache()
+    assert rows.where("active").count() == 0 and rows.where("state = 'candidate' and review and extreme_fraction > 0.5").count() > 5
+    assert rows.where("ts > timestamp '2024-01-01 09:20:00' and state <> 'normal'").count() == 0
+
+
 def test_open_episode_is_censored(spark):
-    e = episodes(replay(table(spark, 60, (40, 60)), SIGNALS, ["power_1_avg"], cfg=CFG)).collect()
+    e = episodes(replay(table(spark, 48, (40, 60)), SIGNALS, ["power_1_avg"], cfg=CFG)).collect()
     assert e and e[-1]["right_censored"]
 
 
