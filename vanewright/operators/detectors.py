@@ -32,6 +32,8 @@ class DetectorConfig:
     coverage_least: float = 0.6
     localized_least: int = 3
     overlap_least: float = 0.4
+    overlap_points: int = 3
+    strength_points: int = 3
     strength_floor: float = 8.0
 
 
@@ -136,11 +138,11 @@ def localized(z: DataFrame, key: Sequence[str], order: str, reference: Column, i
     union = F.size(F.array_union("_set", before))
     overlap = F.coalesce(F.when(union > 0, F.size(F.array_intersect("_set", before)) / union), F.lit(0.0))
     rows = rows.withColumns({"_overlap": overlap, "_strength": F.aggregate("_top", F.lit(0.0), lambda s, x: s + x) / F.size("_top")})
-    smooth = lambda c: F.avg(c).over(centred(t, cfg.coverage_points))
+    smooth = lambda c, n: F.avg(c).over(centred(t, n))
     core = rows.where(reference).groupBy(*key).agg(F.ceil(F.percentile("n_stable", cfg.quantile)).alias("_core"))
-    ref = rows.where(reference).withColumn("_s", smooth("_strength"))
+    ref = rows.where(reference).withColumn("_s", smooth("_strength", cfg.strength_points))
     strength = adaptive_threshold(ref, key, "_s", cfg.quantile, cfg.strength_floor, F.lit(True)).withColumnRenamed("threshold", "strength_threshold")
-    out = rows.withColumns({"overlap": smooth("_overlap"), "strength": smooth("_strength")}).join(core, list(key), "left").join(strength, list(key), "left")
+    out = rows.withColumns({"overlap": smooth("_overlap", cfg.overlap_points), "strength": smooth("_strength", cfg.strength_points)}).join(core, list(key), "left").join(strength, list(key), "left")
     out = out.withColumn("core_threshold", F.greatest(F.lit(cfg.localized_least), F.coalesce("_core", F.lit(0))).cast("int"))
     raw = (F.col("n_active") >= cfg.localized_least) & (F.col("n_stable") >= F.col("core_threshold")) & (F.col("overlap") >= cfg.overlap_least) & (F.col("strength") >= F.coalesce("strength_threshold", F.lit(cfg.strength_floor)))
     return out.withColumns({"raw": raw, "localized": raw & in_event}).drop("_set", "_top", "_overlap", "_strength", "_core")

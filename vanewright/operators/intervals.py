@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hours_between
+from .folds import carried
 from .frames import keyed
 
 
@@ -97,35 +99,42 @@ def contained_parent(children: DataFrame, parents: DataFrame, key: Sequence[str]
     return j.withColumn("_n", F.row_number().over(Window.partitionBy(*key, child_id).orderBy(*(F.col(o).asc_nulls_last() for o in order)))).where("_n = 1").drop("_n")
 
 
-#: Names up to which a timeline counts each name by itself; with more, intervals join the atoms.
-TIMELINE_NAMES = 64
-
-
 def timeline(df: DataFrame, key: Sequence[str], start: str, end: str, name: str) -> DataFrame:
-    """Atomic intervals with the set of active names, adjacent equal sets joined: (key, start, end, active, n_active).
+    """Atomic intervals with the set of active names, adjacent equal sets joined: (key, active, n_active, start, end).
 
-    Starts count a name up and ends count it down; running sums tell which names are active after each boundary, so
-    nothing is joined. Names are detectors or kinds, of which there are few; very many take a range join instead.
+    Starts count a name up and ends count it down. What changes at each time of a key is one row; a carried fold keeps the
+    counts of the active names and lets go of an interval when the set changes. So nothing is joined, and names may be
+    many. Intervals with a null name, a null bound or no length are left out.
     """
-    w = keyed(key, ["_s"])
-    real = df.where(F.col(end) > F.col(start))
-    names = sorted(r[0] for r in df.select(name).where(F.col(name).isNotNull()).distinct().limit(TIMELINE_NAMES + 1).collect())
-    if len(names) <= TIMELINE_NAMES:
-        steps = real.select(*key, F.col(start).alias("_s"), F.col(name).alias("_name"), F.lit(1).alias("_d")).union(real.select(*key, end, name, F.lit(-1)))
-        counts = steps.groupBy(*key, "_s").agg(*(F.sum(F.when(F.col("_name") == n, F.col("_d")).otherwise(0)).alias(f"_{i}") for i, n in enumerate(names)))
-        running = w.rowsBetween(Window.unboundedPreceding, 0)
-        sets = counts.select(*key, "_s", F.lead("_s").over(w).alias("_e"), F.array_compact(F.array(*(F.when(F.sum(f"_{i}").over(running) > 0, n) for i, n in enumerate(names)))).alias("_set")) if names else None
-        if sets is None:
-            return df.sparkSession.createDataFrame([], df.select(*key, F.col(start).alias("start"), F.col(end).alias("end"), F.col(name).alias("active"), F.lit(1).cast("bigint").alias("n_active")).schema).select(*key, "active", "n_active", "start", "end")
-        sets = sets.where((F.size("_set") > 0) & F.col("_e").isNotNull()).select(*key, "_s", "_e", F.array_join("_set", ";").alias("active"), F.size("_set").cast("bigint").alias("n_active"))
-    else:
-        bounds = df.select(*key, F.col(start).alias("_s")).union(df.select(*key, F.col(end).alias("_s"))).distinct()
-        atoms = bounds.withColumn("_e", F.lead("_s").over(w)).where("_e is not null")
-        j = overlap_join(atoms, df.select(*key, F.col(start).alias("_a"), F.col(end).alias("_b"), F.col(name).alias("_name")), key, ("_s", "_e"), ("_a", "_b"), closed=False)
-        sets = j.groupBy(*key, "_s", "_e").agg(F.array_join(F.array_sort(F.collect_set("_name")), ";").alias("active"), F.count_distinct("_name").alias("n_active"))
-    joins = (F.lag("active").over(w) == F.col("active")) & (F.lag("_e").over(w) == F.col("_s"))
-    groups = sets.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return groups.groupBy(*key, "_g", "active", "n_active").agg(F.min("_s").alias("start"), F.max("_e").alias("end")).drop("_g")
+    real = df.where((F.col(end) > F.col(start)) & F.col(name).isNotNull()).select(*key, start, end, F.col(name).cast("string").alias("_name"))
+    steps = real.select(*key, F.unix_micros(start).alias("_t"), "_name", F.lit(1).alias("_d")).union(real.select(*key, F.unix_micros(end), "_name", F.lit(-1)))
+    changes = steps.groupBy(*key, "_t", "_name").agg(F.sum("_d").cast("int").alias("_d")).where("_d <> 0")
+    rows = changes.groupBy(*key, "_t").agg(F.collect_list("_name").alias("_names"), F.collect_list("_d").alias("_ds"))
+    out = carried(rows, key, ["_t"], _Timeline, "active string, n_active bigint, _s bigint, _e bigint")
+    return out.select(*key, "active", "n_active", F.timestamp_micros("_s").alias("start"), F.timestamp_micros("_e").alias("end"))
+
+
+class _Timeline:
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+        self.since = 0
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        done = []
+        for t, names, ds in zip(rows["_t"].tolist(), rows["_names"].tolist(), rows["_ds"].tolist(), strict=True):
+            before = set(self.counts)
+            for name, d in zip(names, ds, strict=True):
+                self.counts[name] = self.counts.get(name, 0) + int(d)
+                if not self.counts[name]:
+                    del self.counts[name]
+            if before != self.counts.keys():
+                if before:
+                    done.append((";".join(sorted(before)), len(before), self.since, t))
+                self.since = t
+        return pd.DataFrame(done, columns=["active", "n_active", "_s", "_e"])
+
+    def end(self) -> None:
+        return None
 
 
 def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:

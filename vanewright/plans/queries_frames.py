@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, scalars
 from ..operators import frames, intervals, ranking
-from .fixtures import GRID, HOURLY, SPANS, WINDOWS, events, grid, hourly, r, sec, spans, table, windows
+from .fixtures import HOURLY, SOURCES, SPANS, WINDOWS, events, hourly, r, sec, source_hourly, spans, table, windows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -122,17 +122,17 @@ def w17(spark: SparkSession, d: str) -> DataFrame:
     return hourly(spark, d).select("base", sec("t").alias("t"), r(frames.neighbour_median(F.col("value"), _w(), 3)).alias("m"))
 
 
-ACTIVE = f"{GRID}, s AS (SELECT t, list_sort(list(base) FILTER (WHERE avg >= 50)) AS a FROM grid GROUP BY 1), p AS (SELECT t, coalesce(a, []) AS a, coalesce(lag(a) OVER (ORDER BY t), []) AS b, row_number() OVER (ORDER BY t) AS n FROM s)"
+ACTIVE = f"{SOURCES}, s AS (SELECT source, t, coalesce(list_sort(list(base) FILTER (WHERE value >= 50)), []) AS a FROM sh GROUP BY 1, 2), p AS (SELECT source, t, a, coalesce(lag(a) OVER w, []) AS b, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY source ORDER BY t))"
 
 
-@query("w20_active_set_jaccard", f"WITH {ACTIVE}, j AS (SELECT *, len(list_distinct(list_concat(a, b))) AS u, len(list_intersect(a, b)) AS i FROM p) SELECT {T}, round(CASE WHEN n = 1 OR u = 0 THEN 0 ELSE i / u END, 6) AS offline, round(CASE WHEN n = 1 OR u = 0 THEN 1 ELSE i / u END, 6) AS streaming FROM j")
+@query("w20_active_set_jaccard", f"WITH {ACTIVE}, j AS (SELECT *, len(list_distinct(list_concat(a, b))) AS u, len(list_intersect(a, b)) AS i FROM p) SELECT source, {T}, round(CASE WHEN n = 1 OR u = 0 THEN 0 ELSE i / u END, 6) AS offline, round(CASE WHEN n = 1 OR u = 0 THEN 1 ELSE i / u END, 6) AS streaming FROM j")
 def w20(spark: SparkSession, d: str) -> DataFrame:
-    s = grid(spark, d).groupBy("t").agg(F.array_sort(F.collect_list(F.when(F.col("avg") >= 50, F.col("base")))).alias("a")).withColumn("fleet", F.lit("all"))
-    w = frames.keyed(["fleet"], ["t"])  # one fleet here; a key in general
+    s = source_hourly(spark, d).groupBy("source", "t").agg(F.array_sort(F.collect_list(F.when(F.col("value") >= 50, F.col("base")))).alias("a"))
+    w = frames.keyed(["source"], ["t"])
     none = F.array().cast("array<string>")
     s = s.withColumns({"b": F.coalesce(F.lag("a").over(w), none), "n": F.row_number().over(w)})
     both = [F.when(F.col("n") == 1, F.lit(e)).otherwise(arrays.jaccard(F.col("a"), F.col("b"), e)) for e in (0.0, 1.0)]
-    return s.select(sec("t").alias("t"), r(both[0]).alias("offline"), r(both[1]).alias("streaming"))
+    return s.select("source", sec("t").alias("t"), r(both[0]).alias("offline"), r(both[1]).alias("streaming"))
 
 
 @query("w22_segments", "SELECT event_id, user_id, CAST(sum(CASE WHEN g > 1.5 * 600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 6e7 AS g FROM events)")
@@ -298,3 +298,19 @@ def r24(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d, "ts", "event_type", "value")
     g = e.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"))
     return g.select(sec(F.col("w.start")).alias("start"), "event_type", "n", "mean")
+
+
+@query("r24_sliding_windows", "WITH b AS (SELECT unnest(generate_series(0, 2)) AS k), w AS (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '2024-01-01') - k * INTERVAL 2 HOUR AS s, event_type, value FROM events, b) SELECT CAST(floor(epoch(s)) AS BIGINT) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM w GROUP BY 1, 2")
+def r24_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of six hours, every two hours."""
+    e = events(spark, d, "ts", "event_type", "value").withWatermark("ts", "1 hour")
+    g = e.groupBy(F.window("ts", "6 hours", "2 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"))
+    return g.select(sec(F.col("w.start")).alias("start"), "event_type", "n", "mean")
+
+
+@query("r24_session_windows", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 4 * 3600000000 THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 4 HOUR)) AS BIGINT) AS end, count(*) AS n FROM s GROUP BY user_id, k")
+def r24_session(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of a user: rows less than four hours apart."""
+    e = events(spark, d, "user_id", "ts").withWatermark("ts", "1 hour")
+    g = e.groupBy("user_id", F.session_window("ts", "4 hours").alias("w")).agg(F.count("*").alias("n"))
+    return g.select("user_id", sec(F.col("w.start")).alias("start"), sec(F.col("w.end")).alias("end"), "n")

@@ -112,9 +112,12 @@ def _bank(spark: SparkSession) -> DataFrame:
     return metrics.candidate_bank(spark, {"cut": 0.5, "least": 3}, BANK)
 
 
-@query("m19_candidate_bank", f"WITH {BANK_SQL} SELECT candidate, CAST(cut AS DOUBLE) AS cut, CAST(least AS DOUBLE) AS least, distance FROM bank")
+@query("m19_candidate_bank", f"WITH {PREDICTIONS}, {BANK_SQL}, v AS (SELECT doc_id, candidate, cut, least, distance, count(*) FILTER (WHERE probability >= cut) >= least AS hit FROM p, bank GROUP BY doc_id, candidate, cut, least, distance) SELECT candidate, CAST(cut AS DOUBLE) AS cut, CAST(least AS DOUBLE) AS least, distance, count(*) AS n, count(*) FILTER (WHERE hit) AS n_hits FROM v GROUP BY candidate, cut, least, distance")
 def m19(spark: SparkSession, d: str) -> DataFrame:
-    return _bank(spark)
+    """Each candidate of the bank with the number of documents that it flags."""
+    v = predictions(spark, d).crossJoin(F.broadcast(_bank(spark)))  # a few candidates
+    v = v.groupBy("doc_id", "candidate", "cut", "least", "distance").agg((F.count_if(F.col("probability") >= F.col("cut")) >= F.col("least")).alias("hit"))
+    return v.groupBy("candidate", "cut", "least", "distance").agg(F.count("*").alias("n"), F.count_if("hit").alias("n_hits"))
 
 
 RUN = f"""{PREDICTIONS}, {BANK_SQL}, v AS (SELECT doc_id, any_value(actual) AS actual, candidate, any_value(distance) AS distance, CAST(count(*) FILTER (WHERE probability >= cut) >= any_value(least) AS INTEGER) AS hit FROM p, bank GROUP BY doc_id, candidate),

@@ -193,8 +193,8 @@ LOCAL = detectors.DetectorConfig(active_level=1.0, localized_least=2, coverage_p
 g AS (SELECT t, count(*) FILTER (WHERE a) AS n_active, count(*) FILTER (WHERE cv >= 0.5) AS n_stable, coalesce(list(base) FILTER (WHERE a), []) AS st, list_avg(list_slice(list_reverse_sort(list(z)), 1, 2)) AS str FROM c GROUP BY 1),
 o AS (SELECT *, lag(st) OVER (ORDER BY t) AS b FROM g),
 j AS (SELECT *, CASE WHEN b IS NULL OR len(list_distinct(list_concat(st, b))) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(st, b)) / len(list_distinct(list_concat(st, b))) END AS ov FROM o),
-m AS (SELECT *, avg(ov) OVER w AS so, avg(str) OVER w AS ss FROM j WINDOW w AS (ORDER BY t ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)),
-rs AS (SELECT avg(str) OVER (ORDER BY t ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS x FROM j WHERE t < {REFERENCE}),
+m AS (SELECT *, avg(ov) OVER w AS so, avg(str) OVER w AS ss FROM j WINDOW w AS (ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+rs AS (SELECT avg(str) OVER (ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM j WHERE t < {REFERENCE}),
 th AS (SELECT greatest(2, ceil((SELECT quantile_cont(n_stable, 0.6) FROM m WHERE t < {REFERENCE}))) AS ct, greatest(0.5, (SELECT quantile_cont(x, 0.6) FROM rs)) AS st0)
 SELECT {T}, n_active, n_stable, round(so, 6) AS overlap, round(ss, 6) AS strength, CAST(ct AS INTEGER) AS core_threshold, round(st0, 6) AS strength_threshold, n_active >= 2 AND n_stable >= ct AND so >= 0.3 - 1e-12 AND ss >= st0 - 1e-12 AS raw, n_active >= 2 AND n_stable >= ct AND so >= 0.3 - 1e-12 AND ss >= st0 - 1e-12 AND t >= {REFERENCE} AS localized FROM m, th""")
 def d04(spark: SparkSession, d: str) -> DataFrame:

@@ -141,11 +141,11 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_feature_descriptions(spark, at).select("name", "description", "is_angle")
 
 
-@query("s12_episode_parts", f"WITH {SPANS} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind FROM spans WHERE event_id % 3 < 2")
+@query("s12_episode_parts", f"WITH {SPANS} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind FROM spans")
 def s12(spark: SparkSession, d: str) -> DataFrame:
     """Parts whose columns differ, one of them empty; there is no combined table."""
     at = shared_folder(spark, "s12")
-    s = spans(spark, d).where("event_id % 3 < 2")
+    s = spans(spark, d)
     writers.write_json_lines(s.where("event_id % 2 = 0").select("event_id", F.col("event_type").alias("kind")), f"{at}/part_a")
     writers.write_json_lines(s.where("event_id % 2 = 1").select("event_id"), f"{at}/part_b")
     writers.write_json_lines(s.where("false").select("event_id"), f"{at}/part_c")
@@ -260,12 +260,12 @@ def k02(spark: SparkSession, d: str) -> DataFrame:
     return m.unpivot([], ["n_parts", "worst", "first", "names"], "key", "value")
 
 
-@query("k03_json_lines_append", "SELECT event_id, event_type FROM events WHERE event_id % 4 < 2")
+@query("k03_json_lines_append", "SELECT event_id, event_type FROM events")
 def k03(spark: SparkSession, d: str) -> DataFrame:
     at = shared_folder(spark, "k03")
     e = events(spark, d, "event_id", "event_type")
     for k in (0, 1):
-        writers.write_json_lines(e.where(F.col("event_id") % 4 == k), at)
+        writers.write_json_lines(e.where(F.col("event_id") % 2 == k), at)
     return readers.read_json_lines(spark, at, "event_id long, event_type string")
 
 
@@ -306,12 +306,15 @@ def k07(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_delimited(spark, f"{at}/edges").select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("weight").cast("double").alias("weight"))
 
 
-@query("k08_file_manifest", "SELECT unnest(['aggregate', 'event', 'event']) AS scope, unnest(['figures', 'event_1', 'event_2']) AS folder")
+@query("k08_file_manifest", "SELECT 'event' AS scope, 'event_type=' || event_type AS folder FROM events GROUP BY event_type UNION ALL SELECT 'aggregate', 'figures'")
 def k08(spark: SparkSession, d: str) -> DataFrame:
+    """The files of an aggregate table and of a table for each event type."""
     at = shared_folder(spark, "k08")
-    for folder in ("figures", "event_1", "event_2"):
-        writers.write_report(spark, ["x"], f"{at}/{folder}/plot")
-    return writers.file_manifest(spark, at, "part-*").select("scope", F.substring_index("name", "/", 1).alias("folder"))
+    e = events(spark, d, "event_type", "ts", "value")
+    daily = e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("mean"))
+    daily.repartition("event_type").write.partitionBy("event_type").parquet(at)
+    daily.groupBy("day").agg(F.avg("mean").alias("mean")).coalesce(1).write.parquet(f"{at}/figures")
+    return writers.file_manifest(spark, at, "part-*").select("scope", F.substring_index("name", "/", 1).alias("folder")).distinct()
 
 
 @query("k09_event_bundle", f"WITH {SPANS} SELECT user_id, 'spans' AS part, count(*) AS n FROM spans GROUP BY 1 UNION ALL SELECT user_id, 'decision', 1 FROM (SELECT DISTINCT user_id FROM events)")

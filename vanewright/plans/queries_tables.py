@@ -71,7 +71,7 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return tables.scoped(j, "farm", "source", F.col("wu").cast("string"), (F.col("wu") % 4).cast("string"), ["w_id"]).select("w_id", "event_id")
 
 
-DRAWS = """u AS (SELECT *, (CAST('0x' || substr(md5('0:' || resample || ':' || doc_id), 1, 10) AS BIGINT) + 0.5::DOUBLE) / 1099511627776.0::DOUBLE AS u FROM wide, (SELECT unnest(generate_series(1, 200)) AS resample)),
+DRAWS = """u AS (SELECT *, (CAST('0x' || substr(md5('0:' || resample || ':' || doc_id), 1, 10) AS BIGINT) + 0.5::DOUBLE) / 1099511627776.0::DOUBLE AS u FROM wide, (SELECT unnest(generate_series(1, 1000)) AS resample)),
 cdf AS (SELECT k, sum(exp(-1.0::DOUBLE) / factorial(CAST(k AS INTEGER))) OVER (ORDER BY k) AS c FROM (SELECT unnest(generate_series(0, 8)) AS k)),
 d AS (SELECT resample, a - b AS d, (SELECT count(*) FROM cdf WHERE u.u > cdf.c) AS w FROM u)"""
 WIDE = f"WITH {PREDICTIONS}, wide AS (SELECT doc_id, max(CASE WHEN repeat = 1 THEN CAST(actual = predicted AS INTEGER) END) AS a, max(CASE WHEN repeat = 2 THEN CAST(actual = predicted AS INTEGER) END) AS b FROM p GROUP BY 1)"
@@ -85,13 +85,13 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j14_resample_cross", f"{WIDE}, {DRAWS} SELECT resample, CAST(sum(w) AS BIGINT) AS drawn, round(sum(w * d) / nullif(sum(w), 0), 6) AS difference FROM d GROUP BY 1")
 def j14(spark: SparkSession, d: str) -> DataFrame:
-    m = metrics.resampled(_wide(spark, d), "a", "b", "doc_id", 200)
+    m = metrics.resampled(_wide(spark, d), "a", "b", "doc_id", 1000)
     return m.select("resample", F.col("drawn").cast("bigint").alias("drawn"), r("m").alias("difference"))
 
 
 @query("a39_bootstrap_difference", f"{WIDE}, {DRAWS}, m AS (SELECT resample, sum(w * d) / nullif(sum(w), 0) AS m FROM d GROUP BY 1) SELECT round(avg(m), 6) AS mean_difference, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CAST(m > 0 AS INTEGER)), 6) AS support FROM m")
 def a39(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.bootstrap_difference(_wide(spark, d), "a", "b", "doc_id", 200)
+    out = metrics.bootstrap_difference(_wide(spark, d), "a", "b", "doc_id", 1000)
     return out.select(*(r(c).alias(c) for c in out.columns))
 
 
