@@ -6,23 +6,18 @@ and by MLlib classifiers behind the same tables (window scores, fold predictions
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import stored
 from .frames import hashed_rank, percent_rank_average
 from .metrics import confusion, roc_auc
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again: what many fits read is made once, and survives executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def balanced_weights(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """Adds ``weight``: one over the group's size, with mean 1. As the raw weights add up to the number of groups, the
     mean needs only two counts and no window over all rows."""
@@ -121,7 +116,7 @@ def out_of_fold(df: DataFrame, ids: str, label: str, features: Sequence[str], sp
     didn't see it."""
     from pyspark.ml.functions import vector_to_array
 
-    x = written(balanced_weights(folds(df.withColumn(label, F.col(label).cast("double")), ids, label, splits, 0), [label]), "folds")
+    x = stored(balanced_weights(folds(df.withColumn(label, F.col(label).cast("double")), ids, label, splits, 0), [label]), "folds")
     out = None
     for name, grid in (specs or model_specs()).items():
         for setting in grid:
@@ -193,7 +188,7 @@ def nested_cv(df: DataFrame, ids: str, label: str, features: Sequence[str], spli
     score = BinaryClassificationEvaluator(labelCol=label)
     parts = []
     for repeat in range(repeats):
-        x = written(balanced_weights(folds(df.withColumn(label, F.col(label).cast("double")), ids, label, splits, repeat), [label]), "folds")
+        x = stored(balanced_weights(folds(df.withColumn(label, F.col(label).cast("double")), ids, label, splits, repeat), [label]), "folds")
         for k in range(splits):
             train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
             rated = [(sum(score.evaluate(pipeline(g).fit(train.where(F.col("inner") != j)).transform(train.where(F.col("inner") == j))) for j in (0, 1)), -i, g) for i, g in enumerate(grid)]
@@ -204,3 +199,49 @@ def nested_cv(df: DataFrame, ids: str, label: str, features: Sequence[str], spli
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def neighbour_information(rows: DataFrame, signals: Sequence[str], ids: str, neighbours: int = 3, most: int = 5000) -> DataFrame:
+    """(i, j, mi, weight) of each pair of signals: mutual information by nearest neighbours, and its share of the 0.95
+    quantile of the positive ones (of the largest, if that is 0), at most 1.
+
+    A row counts its neighbours in each signal that are nearer than its k-th nearest in both, by the larger of the two
+    scaled distances. Both directions give the same estimate, as no noise is added. Rows with a null or NaN are left out;
+    of more than ``most`` rows a sample in the order of a hash of ``ids`` counts (bounded: most x signals numbers, which
+    every task holds). Pairs are spread over tasks, and a pair's distances are made in blocks of rows.
+    """
+    ok = F.lit(True)
+    for s in signals:
+        ok = ok & F.col(s).isNotNull() & ~F.isnan(F.col(s).cast("double"))
+    sample = rows.where(ok).orderBy(F.xxhash64(ids), ids).limit(most).select(*(F.col(s).cast("double").alias(s) for s in signals)).toPandas().to_numpy(float)
+    spark = rows.sparkSession
+    names = list(signals)
+    with np.errstate(all="ignore"):
+        spread = sample.std(axis=0) if len(sample) else np.ones(len(names))
+        scaled = sample / np.where(spread > 0, spread, 1.0)
+    pairs = spark.createDataFrame([(a, b) for a in range(len(names)) for b in range(a + 1, len(names))], "a int, b int")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(names[a], names[b], nearest_information(scaled[:, a], scaled[:, b], neighbours)) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
+            yield pd.DataFrame(got, columns=["i", "j", "mi"])
+
+    found = pairs.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "i string, j string, mi double")
+    scale = found.where("mi > 0").agg(F.percentile("mi", 0.95).alias("_q"), F.max("mi").alias("_m")).select(F.when(F.col("_q") > 0, F.col("_q")).otherwise(F.col("_m")).alias("_scale"))
+    return found.crossJoin(F.broadcast(scale)).select("i", "j", "mi", F.when(F.col("_scale") > 0, F.least(F.lit(1.0), F.col("mi") / F.col("_scale"))).otherwise(0.0).alias("weight"))  # one row
+
+
+def nearest_information(x: np.ndarray, y: np.ndarray, k: int, block: int = 512) -> float:
+    """Nearest-neighbour estimate of the mutual information of two series, 0 at least; 0 with k rows or fewer."""
+    n = len(x)
+    if n <= k:
+        return 0.0
+    harmonic = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, n + 1))]) - np.euler_gamma  # digamma of 1, 2, ...
+    total = 0.0
+    for at in range(0, n, block):
+        apart = [np.abs(v[at : at + block, None] - v[None, :]) for v in (x, y)]
+        reach = np.partition(np.maximum(*apart), k, axis=1)[:, k]  # place 0 is the row itself
+        for one in apart:
+            inside = (one < reach[:, None]).sum(axis=1)
+            total += harmonic[np.maximum(inside, 1) - 1].sum()
+    return max(0.0, float(harmonic[n - 1] + harmonic[k - 1] - total / n))

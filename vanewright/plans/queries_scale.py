@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames, ranges, stats
+from ..operators.ml import neighbour_information
 from ..sources.shared import shared_folder
 from ..streaming.step import StreamConfig
 from ..streaming.typed import run_available
@@ -89,6 +90,17 @@ def j11_swept(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("span_id").alias("event_id"), F.col("event_id").alias("w_id"), "position", F.round("distance_hours", 5).alias("distance_hours"))
 
 
+PAIRS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("m16_neighbour_information")
+def m16_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Of each pair of event types' hourly means, over the hours that have all of them. No SQL: means of few values make
+    ties that rounding breaks either way; a test holds it against brute force."""
+    wide = hourly(spark, d).groupBy("t").pivot("base", list(PAIRS)).agg(F.first("value")).withColumn("s", sec("t"))
+    return neighbour_information(wide, PAIRS, "s").select("i", "j", r("mi").alias("mi"), r("weight").alias("weight"))
+
+
 @query("r19_typed_stream", f"WITH RECURSIVE {PHASES}, c AS (SELECT *, sum(CAST(value >= 54 AS INTEGER)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6 FROM h), xl AS (SELECT base, t, pos, value >= 54 AND c6 >= 2 AS want, c6 <= 1 AND value < 54 AS calm FROM c), {_latch('xl', 'base', 1, 6)} SELECT x.base, CAST(floor(epoch(x.t)) AS BIGINT) AS t, phase, closed, lat.fired AS cluster FROM f JOIN x ON x.base = f.base AND x.pos = f.pos JOIN lat ON lat.base = f.base AND lat.pos = f.pos")
 def r19_typed(spark: SparkSession, d: str) -> DataFrame:
     """Phases and cluster latch of a stream of files; a row a year on lets the watermark pass the last ones."""
