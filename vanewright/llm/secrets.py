@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,6 +104,19 @@ def carried(low: str, hits: set[int]) -> list[int]:
     return sorted(lines)
 
 
+def disjoint(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans, sorted by start, cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, ratio: float, window: int) -> list[tuple[int, int, int]]:
     """Strings of 16 or more characters in a sensitive context, outside base spans, that cost at least ``ratio`` bytes
     a character beyond what the ``window`` characters on both sides and the dictionary explain. The context is a line
@@ -118,12 +132,13 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, r
             end = low.find("\n", at)
             at = low.find(w, end) if end >= 0 else -1
     out = []
+    starts, ends = disjoint(base)
     for start in carried(low, hits):
         end = low.find("\n", start)
         end = len(low) if end < 0 else end
         for m in _CANDIDATE.finditer(text, start, end):
             a, b = m.span()
-            if any(x < b and a < y for x, y, _ in base):
+            if (i := bisect_left(ends, a + 1)) < len(ends) and starts[i] < b:
                 continue
             s = m[0]
             around = text[max(0, a - window) : a] + text[b : b + window]
