@@ -3,11 +3,13 @@ ranks over ranges, and the life cycle as a streaming query."""
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames, ranges, stats
 from ..operators.ml import neighbour_information
+from ..sources import writers
 from ..sources.shared import shared_folder
 from ..streaming.step import StreamConfig
 from ..streaming.typed import run_available
@@ -115,3 +117,31 @@ def r19_typed(spark: SparkSession, d: str) -> DataFrame:
     last.select(F.lit("end").alias("source"), "ts", *(no.alias(c) for c in ("trigger", "review", "support", "qualified", "low", "fusion")), F.lit("").alias("groups")).write.mode("append").parquet(f"{root}/in")
     out = run_available(spark, x, root, StreamConfig(sampling_minutes=60, recovery_rows=3, merge_hours=6, rearm_hours=6), "1 hour", 1000)
     return out.where("source <> 'end'").select(F.col("source").alias("base"), sec(F.timestamp_micros("at")).alias("t"), "phase", "closed", "cluster")
+
+
+@query("k09_streamed_bundle", "SELECT event_type, count(*) AS n, count(*) AS n_rows, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def k09_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """A bundle of rows and of counts by batch, streamed from files. The first run breaks off after the rows of its second
+    batch; the next goes on from the checkpoint. No row is there twice, none is missing."""
+    root = shared_folder(spark, "streamed-bundle")
+    events(spark, d, "event_id", "event_type", "value").repartition(6, "event_id").write.parquet(f"{root}/in")
+    schema = "event_id bigint, event_type string, value double"
+    tables = {"rows": lambda b: b, "counts": lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))}
+    sink = writers.bundle_sink(f"{root}/out", tables)
+
+    def broken(batch: DataFrame, number: int) -> None:
+        if number == 1:
+            batch.write.mode("overwrite").parquet(f"{root}/out/rows/batch=1")
+            raise RuntimeError("broken off")
+        sink(batch, number)
+
+    for take in (broken, sink):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        q = source.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            pass
+    counts = writers.read_bundle(spark, f"{root}/out", "counts").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    rows = writers.read_bundle(spark, f"{root}/out", "rows").groupBy("event_type").agg(F.count("*").alias("n_rows"))
+    return counts.join(rows, "event_type")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -100,3 +100,37 @@ def file_manifest(spark: SparkSession, path: str, glob: str, aggregate: str = "f
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path")
     name = F.substring_index("path", f"{root}/", -1)
     return files.select(F.when(name.startswith(f"{aggregate}/"), "aggregate").otherwise("event").alias("scope"), name.alias("name"))
+
+
+def bundle_sink(path: str, tables: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch`` that writes several tables of each batch exactly once.
+
+    A batch's tables lie in folders of its number, which a repeated batch replaces; its commit is written last, and
+    readers see committed batches only. So a run that ends between two tables, or between the commit and the stream's own
+    note of it, leaves no row out and none twice when it goes on.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if _exists(spark, f"{path}/commits/batch={number}/_SUCCESS"):
+            return
+        batch.persist()
+        try:
+            for name, make in tables.items():
+                make(batch).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+        spark.range(1).select(F.lit(1).alias("committed")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch={number}")
+
+    return write
+
+
+def read_bundle(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of one table of a bundle, of its committed batches, with their batch number in ``batch``."""
+    commits = spark.read.parquet(f"{path}/commits").select("batch")
+    return spark.read.parquet(f"{path}/{name}").join(F.broadcast(commits), "batch", "left_semi")  # one row a batch
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
