@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
@@ -245,3 +245,43 @@ def nearest_information(x: np.ndarray, y: np.ndarray, k: int, block: int = 512)
             inside = (one < reach[:, None]).sum(axis=1)
             total += harmonic[np.maximum(inside, 1) - 1].sum()
     return max(0.0, float(harmonic[n - 1] + harmonic[k - 1] - total / n))
+
+
+def graph_components(x: DataFrame, edges: DataFrame, ids: str, k: int, train: Column) -> DataFrame:
+    """(id, node, value, rebuilt, error): values rebuilt from k components of the graph-smoothed rows, fitted on the
+    ``train`` rows. It stands in for a trained graph autoencoder: smoothing, a narrow code, and a linear decoder.
+
+    ``edges`` is a normalised graph (i, j, weight) with loops, bounded by the nodes; ``x`` is (id, node, value), a missing
+    node counts as 0. A partition adds up its rows' products of smoothed by smoothed and smoothed by plain values, so what
+    comes to the driver are two matrices of nodes by nodes. Their leading components and the decoder's normal equations
+    give one more such matrix, with which all rows are rebuilt by a join.
+    """
+    spark = x.sparkSession
+    links = edges.select("i", "j", "weight").toPandas()
+    names = sorted(set(links["i"]) | set(links["j"]))
+    place = {n: a for a, n in enumerate(names)}
+    graph = np.zeros((len(names), len(names)))
+    for i, j, w in links.itertuples(index=False):
+        graph[place[i], place[j]] += w
+    rows = x.where(train).groupBy(ids).agg(F.map_from_entries(F.collect_list(F.struct("node", F.col("value").cast("double")))).alias("v"))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, cross = np.zeros_like(graph), np.zeros_like(graph)
+        for pdf in batches:
+            m = np.array([[(dict(v).get(n) or 0.0) for n in names] for v in pdf["v"]], float).reshape(-1, len(names))
+            y = m @ graph.T
+            own += y.T @ y
+            cross += y.T @ m
+        a, b = np.indices(graph.shape)
+        yield pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "own": own.ravel(), "crossed": cross.ravel()})
+
+    sums = rows.select("v").mapInPandas(products, "a int, b int, own double, crossed double").groupBy("a", "b").agg(F.sum("own").alias("own"), F.sum("crossed").alias("crossed")).toPandas()
+    own, cross = np.zeros_like(graph), np.zeros_like(graph)
+    own[sums["a"], sums["b"]], cross[sums["a"], sums["b"]] = sums["own"], sums["crossed"]
+    _, vectors = np.linalg.eigh(own)
+    code = vectors[:, ::-1][:, :k]
+    decoder = np.linalg.pinv(code.T @ own @ code) @ (code.T @ cross)
+    whole = graph.T @ code @ decoder
+    w = spark.createDataFrame([(names[j], names[i], float(whole[j, i])) for j in range(len(names)) for i in range(len(names))], "_j string, node string, _w double")
+    rebuilt = x.select(ids, F.col("node").alias("_j"), F.col("value").alias("_x")).join(F.broadcast(w), "_j").groupBy(ids, "node").agg(F.sum(F.col("_w") * F.col("_x")).alias("rebuilt"))
+    return x.join(rebuilt, [ids, "node"]).withColumn("error", F.abs(F.col("value") - F.col("rebuilt")))

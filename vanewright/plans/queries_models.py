@@ -62,14 +62,18 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY weight
 w AS (SELECT i, j, weight / sum(weight) OVER (PARTITION BY i) AS w FROM s), e AS (SELECT z.t, z.node, z.value, sum(w.w * y.value) AS rebuilt FROM z JOIN w ON w.i = z.node JOIN z y ON y.t = z.t AND y.node = w.j GROUP BY 1, 2, 3)"""
 
 
-def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
+def _standard_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     g = grid(spark, d).select("t", F.col("base").alias("node"), F.col("avg").alias("value"))
     s = g.where(_ref()).groupBy("node").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     z = g.join(s, "node").select("t", "node", ((F.col("value") - F.col("m")) / F.col("s")).alias("value"))
     h = z.where(_ref())
     pairs = h.select("t", F.col("node").alias("i"), F.col("value").alias("a")).join(h.select("t", F.col("node").alias("j"), F.col("value").alias("b")), "t").where("i <> j")
     edges = ranking.sparsify(pairs.groupBy("i", "j").agg(F.abs(F.corr("a", "b")).alias("weight")), 2, 0.0)
-    return ml.graph_reconstruction(z, edges, "t")
+    return z, edges
+
+
+def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    return ml.graph_reconstruction(*_standard_graph(spark, d), "t")
 
 
 @query("m13_graph_reconstruction", f"WITH {GRAPH} SELECT {T}, node, round(value, 5) AS value, round(rebuilt, 5) AS rebuilt FROM e")
@@ -77,6 +81,14 @@ def m13(spark: SparkSession, d: str) -> DataFrame:
     return _rebuilt(spark, d).select(sec("t").alias("t"), "node", F.round("value", 5).alias("value"), F.round("rebuilt", 5).alias("rebuilt"))
 
 
+@query("m13_graph_components")
+def m13_components(spark: SparkSession, d: str) -> DataFrame:
+    """Values rebuilt from three components of the smoothed rows, fitted on the reference days."""
+    z, edges = _standard_graph(spark, d)
+    x = ml.graph_components(z, ranking.normalised(edges), "t", 3, _ref())
+    return x.select(sec("t").alias("t"), "node", F.round("value", 5).alias("value"), F.round("rebuilt", 5).alias("rebuilt"))
+
+
 @query("m14_reconstruction_by_time_and_signal", f"WITH {GRAPH} SELECT 'time' AS by, CAST(CAST(floor(epoch(t)) AS BIGINT) AS VARCHAR) AS key, round(avg(abs(value - rebuilt)), 5) AS error FROM e GROUP BY t UNION ALL SELECT 'signal', node, round(avg(abs(value - rebuilt)), 5) FROM e GROUP BY node UNION ALL SELECT 'all', '', round(avg(abs(value - rebuilt)), 5) FROM e")
 def m14(spark: SparkSession, d: str) -> DataFrame:
     e = _rebuilt(spark, d)
