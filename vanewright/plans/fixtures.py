@@ -43,6 +43,13 @@ def source_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy((F.col("user_id") % 3).cast("string").alias("source"), F.col("event_type").alias("base"), F.date_trunc("hour", "ts").alias("t")).agg(F.avg("value").alias("value"))
 
 
+def source_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, t, base, avg, max, min, std): the hourly grid by a third of the users."""
+    e = events(spark, sf_dir, "user_id", "ts", "event_type", "value")
+    g = e.groupBy((F.col("user_id") % 3).cast("string").alias("source"), F.date_trunc("hour", "ts").alias("t"), F.col("event_type").alias("base"))
+    return g.agg(F.avg("value").alias("avg"), F.max("value").alias("max"), F.min("value").alias("min"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, event_id, event_type, start, end): an interval of 0 to 11 hours after each event."""
     e = events(spark, sf_dir, "event_id", "user_id", "event_type", "ts")

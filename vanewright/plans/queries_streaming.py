@@ -10,7 +10,7 @@ from ..streaming import causal
 from ..streaming.replay import in_order, manifest, replay
 from ..streaming.snapshots import snapshots
 from ..streaming.step import StreamConfig
-from .fixtures import BASE_Z, GRID, HOURLY, SOURCES, STATS, events, grid, grid_long, hourly, r, sec, source_hourly
+from .fixtures import BASE_Z, GRID, HOURLY, SOURCES, STATS, events, grid_long, hourly, r, sec, source_grid, source_hourly
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,10 +33,11 @@ CFG = StreamConfig(sampling_minutes=60, warmup=72, level=2.5, extreme=3.5, seman
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    """The hourly grid as one source: (source, ts, status, values)."""
-    g = grid(spark, d).unpivot(["t", "base"], list(STATS), "stat", "value")
-    wide = g.groupBy("t").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat_ws("_", "base", "stat").alias("k"), "value")))).alias("values"), F.count("*").alias("n"))
-    return wide.select(F.lit("fleet").alias("source"), F.col("t").alias("ts"), (F.col("n") % 7).cast("string").alias("status"), "values")
+    """The hourly grid of three sources: (source, ts, status, values). Where a source has no event of a type in an hour its
+    signals are missing."""
+    g = source_grid(spark, d).unpivot(["source", "t", "base"], list(STATS), "stat", "value")
+    wide = g.groupBy("source", "t").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat_ws("_", "base", "stat").alias("k"), "value")))).alias("values"), F.count("*").alias("n"))
+    return wide.select("source", F.col("t").alias("ts"), (F.col("n") % 7).cast("string").alias("status"), "values")
 
 
 def _replayed(spark: SparkSession, d: str) -> DataFrame:
@@ -49,20 +50,19 @@ def r01(spark: SparkSession, d: str) -> DataFrame:
     return _replayed(spark, d)
 
 
-@query("r02_warm_up", f"WITH {GRID}, n AS (SELECT t, row_number() OVER (ORDER BY t) AS n FROM (SELECT DISTINCT t FROM grid)) SELECT {T}, n > 72 AS warmup_complete, n <= 72 AS quiet FROM n")
+@query("r02_warm_up", f"WITH {SOURCES}, n AS (SELECT source, t, row_number() OVER (PARTITION BY source ORDER BY t) AS n FROM (SELECT DISTINCT source, t FROM sh)) SELECT source, {T}, n > 72 AS warmup_complete, n <= 72 AS quiet FROM n")
 def r02(spark: SparkSession, d: str) -> DataFrame:
-    """The first 72 rows only warm up: they have no score and no phase."""
-    x = _replayed(spark, d).withColumn("n", F.row_number().over(frames.keyed(["source"], ["ts"])))
-    return x.select(sec("ts").alias("t"), "warmup_complete", (F.col("state") == "warmup").alias("quiet"))
+    """The first 72 rows of a source only warm up: they have no score and no phase."""
+    return _replayed(spark, d).select("source", sec("ts").alias("t"), "warmup_complete", (F.col("state") == "warmup").alias("quiet"))
 
 
-@query("r04_operating_state", f"""WITH {GRID}, p AS (SELECT t, median(avg) FILTER (WHERE base IN ('purchase', 'signup', 'view')) AS p FROM grid GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY t) AS n FROM p), sc AS (SELECT abs(quantile_cont(p, 0.9)) AS s FROM n WHERE n <= 72),
-m AS (SELECT t, n, CASE WHEN p IS NULL THEN 'unknown' WHEN p / s < 0.85::DOUBLE THEN 'stopped' WHEN p / s < 0.95::DOUBLE THEN 'transition' ELSE 'generating' END AS mode FROM n, sc WHERE n > 72),
-i AS (SELECT *, sum(CASE WHEN mode = b THEN 0 ELSE 1 END) OVER (ORDER BY t) AS k FROM (SELECT *, lag(mode) OVER (ORDER BY t) AS b FROM m)),
-a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS nth FROM i)
-SELECT {T}, coalesce(last_value(CASE WHEN nth >= 3 THEN mode END IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 'unknown') AS mode FROM a""")
+@query("r04_operating_state", f"""WITH {SOURCES}, p AS (SELECT source, t, median(value) FILTER (WHERE base IN ('purchase', 'signup', 'view')) AS p FROM sh GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t) AS n FROM p), sc AS (SELECT source, abs(quantile_cont(p, 0.9)) AS s FROM n WHERE n <= 72 GROUP BY 1),
+m AS (SELECT source, t, n, CASE WHEN p IS NULL THEN 'unknown' WHEN p / s < 0.85::DOUBLE THEN 'stopped' WHEN p / s < 0.95::DOUBLE THEN 'transition' ELSE 'generating' END AS mode FROM n JOIN sc USING (source) WHERE n > 72),
+i AS (SELECT *, sum(CASE WHEN mode = b THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY t) AS k FROM (SELECT *, lag(mode) OVER (PARTITION BY source ORDER BY t) AS b FROM m)),
+a AS (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY t) AS nth FROM i)
+SELECT source, {T}, coalesce(last_value(CASE WHEN nth >= 3 THEN mode END IGNORE NULLS) OVER (PARTITION BY source ORDER BY t ROWS UNBOUNDED PRECEDING), 'unknown') AS mode FROM a""")
 def r04(spark: SparkSession, d: str) -> DataFrame:
-    return _replayed(spark, d).where("warmup_complete").select(sec("ts").alias("t"), "mode")
+    return _replayed(spark, d).where("warmup_complete").select("source", sec("ts").alias("t"), "mode")
 
 
 TOKENS = "tk AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 41 = 0 THEN 'odd' || CAST(event_id % 3 AS VARCHAR) ELSE event_type END AS token FROM events)"
@@ -245,11 +245,11 @@ def r21(spark: SparkSession, d: str) -> DataFrame:
     return in_order(e.union(e).repartition(3, F.rand(1))).select("source", sec("ts").alias("t"), "status")
 
 
-@query("r22_replay_manifest", f"WITH {GRID}, n AS (SELECT count(DISTINCT t) AS n FROM grid) SELECT source, CASE WHEN source = 'broken' THEN 0 ELSE n END AS n_rows, source = 'broken' AS failed FROM (SELECT unnest(['broken', 'fleet']) AS source), n")
+@query("r22_replay_manifest", f"WITH {SOURCES} SELECT source, count(DISTINCT t) AS n_rows, false AS failed FROM sh GROUP BY 1 UNION ALL SELECT 'broken ' || source, 0, true FROM sh GROUP BY 1")
 def r22(spark: SparkSession, d: str) -> DataFrame:
-    """A source that fails is reported and does not stop the other."""
+    """Sources that fail are reported and don't stop the others."""
     w = _wide(spark, d)
-    both = w.union(w.select(F.lit("broken").alias("source"), "ts", "status", F.lit(None).cast("map<string,double>").alias("values")))
+    both = w.union(w.select(F.concat(F.lit("broken "), "source").alias("source"), "ts", "status", F.lit(None).cast("map<string,double>").alias("values")))
     return manifest(replay(both, [f"{b}_{s}" for b in BASES for s in STATS], ["view_avg"], cfg=CFG)).select("source", "n_rows", "failed")
 
 
