@@ -6,6 +6,7 @@ and by MLlib classifiers behind the same tables (window scores, fold predictions
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import stored
 from .frames import hashed_rank, percent_rank_average
 from .metrics import confusion, roc_auc
+from .ranges import nth
 
 
 def balanced_weights(df: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -60,12 +62,34 @@ def scale_channels(df: DataFrame, key: Sequence[str], value: str, clip: float =
     return df.join(s, list(key)).withColumn("scaled", F.greatest(F.lit(-clip), F.least(F.lit(clip), z))).drop("_m", "_s", "_q")
 
 
-def chronological_holdout(df: DataFrame, group: str, time: str, fraction: float) -> DataFrame:
-    """(group, part): the last groups by first time are the test part. One row for each group is ordered."""
-    g = df.groupBy(group).agg(F.min(time).alias("_s"))
-    whole = Window.partitionBy(F.lit(0))
-    n = g.withColumns({"_k": F.row_number().over(whole.orderBy("_s", group)), "_c": F.count("*").over(whole)})
-    return n.select(group, F.when(F.col("_k") > F.col("_c") - F.ceil(fraction * F.col("_c")), "test").otherwise("train").alias("part"))
+def chronological_holdout(df: DataFrame, group: str, time: str, label: str, fraction: float) -> DataFrame:
+    """(group, part): the last groups by first time (ties by group) are the test part: the fraction rounded up, one at
+    least, and two groups at least stay to train on. If there are labelled groups but none among these, the latest of them
+    takes the place of the last. There have to be four groups."""
+    g = df.groupBy(group).agg(F.min(time).alias("_s"), F.coalesce(F.bool_or(F.col(label) == 1), F.lit(False)).alias("_hit"))
+    g = stored(g, "groups")
+    n = g.count()
+    if n < 4:
+        raise ValueError("at least four groups are needed")
+    latest = [F.desc("_s"), F.desc(group)]
+    size = min(max(1, math.ceil(n * fraction)), n - 2)
+    test = g.orderBy(*latest).limit(size)
+    forced = g.where("_hit").orderBy(*latest).limit(1)
+    if not forced.isEmpty() and test.where("_hit").isEmpty():
+        test = g.join(g.orderBy(*latest).limit(1), group, "left_anti").orderBy(*latest).limit(size - 1).union(forced)
+    return g.join(test.select(group, F.lit(True).alias("_test")), group, "left").select(group, F.when(F.col("_test"), "test").otherwise("train").alias("part"))
+
+
+def purged_holdout(df: DataFrame, time: str, fraction: float, purge_hours: float) -> DataFrame:
+    """Adds ``part``: rows from the time on at which the last fraction of the rows begins are the test part, rows at
+    least ``purge_hours`` before it the training part, those between are purged. Null times are purged."""
+    known = df.where(F.col(time).isNotNull()).withColumn("_us", F.unix_micros(time))
+    n = known.count()
+    start = nth(known, "_us", min(max(1, math.floor(n * (1 - fraction))), n - 1)) if n else None
+    at = F.unix_micros(time)
+    if start is None:
+        return df.withColumn("part", F.lit("purged"))
+    return df.withColumn("part", F.when(at >= start, "test").when(at < start - int(purge_hours * 3.6e9), "train").otherwise("purged"))
 
 
 def reconstruction_scores(df: DataFrame, ids: str, vector: str, k: int) -> DataFrame:

@@ -52,6 +52,18 @@ def percent_rank(df: DataFrame, key: Sequence[str], value: str, name: str, rows:
     return attach(df, ranks, [*key, value], "left")
 
 
+def nth(df: DataFrame, value: str, n: int, rows: int | None = None):
+    """The n-th smallest value, from 0, null values left out: ranges are counted first, and only the one that holds it is
+    ranked. None if there are fewer values."""
+    counts = ranged(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")), [], [value], rows)
+    for r in counts.groupBy("_range").agg(F.sum("_c").alias("c")).orderBy("_range").collect():  # one row a range
+        if n < r["c"]:
+            upto = F.sum("_c").over(Window.partitionBy("_range").orderBy(value).rowsBetween(ALL_BEFORE, 0))
+            return counts.where(F.col("_range") == r["_range"]).withColumn("_upto", upto).where(F.col("_upto") > n).agg(F.min(value)).first()[0]
+        n -= r["c"]
+    return None
+
+
 def spearman(df: DataFrame, key: Sequence[str], x: str, y: str, rows: int | None = None) -> DataFrame:
     """(key, n, rho) of the rows in which both values are known."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, x, y)

@@ -248,11 +248,24 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
     return scale_channels(events(spark, d, "event_id", "event_type", "value"), ["event_type"], "value").select("event_id", r("scaled").alias("z"))
 
 
-@query("m04_chronological_holdout", "WITH g AS (SELECT user_id, min(ts) AS s FROM events GROUP BY 1), n AS (SELECT user_id, row_number() OVER (ORDER BY s, user_id) AS k, count(*) OVER () AS c FROM g) SELECT user_id, CASE WHEN k > c - ceil(0.2 * c) THEN 'test' ELSE 'train' END AS part FROM n")
+@query("m04_chronological_holdout", """WITH g AS (SELECT user_id, min(ts) AS s, max(CAST(user_id % 29 = 3 AS INTEGER)) AS hit FROM events GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY s DESC, user_id DESC) AS k, greatest(1, least(ceil(0.05::DOUBLE * count(*) OVER ()), count(*) OVER () - 2)) AS size FROM g),
+f AS (SELECT *, max(CASE WHEN k <= size THEN hit ELSE 0 END) OVER () AS has, min(CASE WHEN hit = 1 THEN k END) OVER () AS best FROM n)
+SELECT user_id, CASE WHEN CASE WHEN has = 1 OR best IS NULL THEN k <= size ELSE (k > 1 AND k <= size) OR k = best END THEN 'test' ELSE 'train' END AS part FROM f""")
 def m04(spark: SparkSession, d: str) -> DataFrame:
+    """The last users by first event; the latest labelled one takes the last one's place if there is none among them."""
     from ..operators.ml import chronological_holdout
 
-    return chronological_holdout(events(spark, d, "user_id", "ts"), "user_id", "ts", 0.2).select("user_id", "part")
+    e = events(spark, d, "user_id", "ts").withColumn("label", (F.col("user_id") % 29 == 3).cast("int"))
+    return chronological_holdout(e, "user_id", "ts", "label", 0.05).select("user_id", "part")
+
+
+@query("m04_purged_holdout", """WITH n AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS c FROM events), s AS (SELECT min(ts) AS s FROM n WHERE k = greatest(1, least(floor(c * 0.8::DOUBLE), c - 1)))
+SELECT event_id, CASE WHEN ts >= s THEN 'test' WHEN ts < s - INTERVAL 24 HOUR THEN 'train' ELSE 'purged' END AS part FROM events, s""")
+def m04_purged(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in order of time, with a day left out between the parts."""
+    from ..operators.ml import purged_holdout
+
+    return purged_holdout(events(spark, d, "event_id", "ts"), "ts", 0.2, 24).select("event_id", "part")
 
 
 @query("m12_reconstruction_scores")
