@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import centred, keyed, rolling, trailing
+from .frames import centred, episodes, k_of_n, keyed, rolling, trailing
+from .ranges import attach
 from .stats import robust_scale
 
 
@@ -98,3 +99,27 @@ def annotate(rows: DataFrame, meta: DataFrame, key: Sequence[str], time: str, st
     j = rows.join(m, on, "left").drop(*(f"_{k}" for k in key))
     group = [c for c in rows.columns]
     return j.groupBy(*group).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*group, *(F.col("_v")[v].alias(v) for v in values))
+
+
+def calibrated_threshold(df: DataFrame, key: Sequence[str], time: str, score: str, local: str, grid: Sequence[float], target: float, episodes_30d: float, smooth: int = 3, least_local: int = 2, lookback: int = 6, positive: int = 3, gap_seconds: float = 3600.0) -> DataFrame:
+    """(key, q, threshold, far, episodes_30d, met): the least strict quantile of the scores whose warnings stay within both
+    false-alarm limits, else the strictest.
+
+    A warning is decided as online: the trailing median of the scores is over the threshold, at least ``least_local``
+    signals are over their own (``local`` counts them), and ``positive`` of the last ``lookback`` rows are so. Its share of
+    the rows and its episodes in 30 days (rows up to ``gap_seconds`` apart are one) are limited. The grid is extended by
+    1 - target and clipped to [0.5, 0.9999].
+    """
+    qs = sorted({min(max(q, 0.5), 0.9999) for q in (*grid, 1.0 - target)})
+    smoothed = df.withColumn("_s", rolling(F.col(score), trailing(keyed(key, [time]), smooth), "median"))
+    cuts = df.groupBy(*key).agg(F.percentile(score, F.array(*map(F.lit, qs))).alias("_c"), F.greatest(F.lit(1e-9), (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 8.64e10).alias("_days"))
+    cuts = cuts.select(*key, "_days", F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("_c").alias("threshold"))).alias("_z")).select(*key, "_days", "_z.q", "_z.threshold")
+    rows = attach(smoothed.select(*key, time, "_s", local), cuts, key)
+    rows = rows.withColumn("_hit", F.coalesce((F.col("_s") > F.col("threshold")) & (F.col(local) >= least_local), F.lit(False)))
+    rows = rows.withColumn("_on", k_of_n(F.col("_hit"), keyed([*key, "q"], [time]), lookback, positive))
+    far = rows.groupBy(*key, "q", "threshold", "_days").agg(F.avg(F.col("_on").cast("double")).alias("far"))
+    warned = episodes(rows.where("_on"), [*key, "q"], time, gap_seconds).groupBy(*key, "q").agg(F.count("*").alias("_n"))
+    out = attach(far, warned, [*key, "q"], "left").withColumn("episodes_30d", F.coalesce("_n", F.lit(0)) * 30.0 / F.col("_days"))
+    out = out.withColumn("met", (F.col("far") <= target) & (F.col("episodes_30d") <= episodes_30d))
+    order = Window.partitionBy(*key).orderBy(F.when(F.col("met"), F.col("q")).otherwise(F.lit(3.0) - F.col("q")))
+    return out.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*key, "q", "threshold", "far", "episodes_30d", "met")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames, ranges, stats
+from ..operators.baselines import calibrated_threshold
 from ..operators.ml import neighbour_information
 from ..sources import writers
 from ..sources.shared import shared_folder
 from ..streaming.step import StreamConfig
 from ..streaming.typed import run_available
-from .fixtures import SPANS, WINDOWS, events, hourly, r, sec, spans, table, windows
+from .fixtures import HOURLY, SPANS, WINDOWS, events, hourly, r, sec, spans, table, windows
 from .queries_streaming import PHASES, W, _latch
 
 QUERIES: dict = {}
@@ -103,6 +104,27 @@ def m16_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_information(wide, PAIRS, "s").select("i", "j", r("mi").alias("mi"), r("weight").alias("weight"))
 
 
+QS = (0.5, 0.6, 0.7, 0.8, 0.9, 0.97)
+
+
+@query(
+    "m17_calibrated_warnings",
+    f"""WITH {HOURLY}, l AS (SELECT t, count(*) FILTER (WHERE value >= 51) AS loc FROM h GROUP BY 1), v AS (SELECT base, t, pos, value, loc, median(value) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM h JOIN l USING (t)),
+c AS (SELECT base, quantile_cont(value, [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.97]) AS a, (epoch_us(max(t)) - epoch_us(min(t))) / 8.64e10 AS days FROM v GROUP BY 1), th AS (SELECT base, days, unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.97]) AS q, unnest(a) AS th FROM c),
+x AS (SELECT v.base, t, q, th, days, s > th AND loc >= 2 AS hit FROM v JOIN th USING (base)), y AS (SELECT *, count(*) OVER w = 4 AND sum(CAST(hit AS INTEGER)) OVER w >= 2 AS warned FROM x WINDOW w AS (PARTITION BY base, q ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+e AS (SELECT base, q, sum(CASE WHEN epoch(t) - epoch(b) <= 10800 THEN 0 ELSE 1 END) AS n FROM (SELECT *, lag(t) OVER (PARTITION BY base, q ORDER BY t) AS b FROM y WHERE warned) GROUP BY 1, 2),
+f AS (SELECT y.base, y.q, y.th, any_value(days) AS days, avg(CAST(warned AS INTEGER)) AS far FROM y GROUP BY 1, 2, 3), g AS (SELECT f.*, coalesce(e.n, 0) * 30 / days AS per, far <= 0.05 AND coalesce(e.n, 0) * 30 / days <= 9 AS met FROM f LEFT JOIN e USING (base, q)),
+k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY CASE WHEN met THEN q ELSE 3 - q END) AS k FROM g)
+SELECT base, round(q, 3) AS q, round(th, 6) AS threshold, round(far, 6) AS far, round(per, 5) AS episodes_30d, met FROM k WHERE k = 1""",
+)
+def m17_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """The least strict threshold whose warnings, decided as online, keep within a share and a number of episodes."""
+    h = hourly(spark, d)
+    h = h.join(h.groupBy("t").agg(F.count_if(F.col("value") >= 51).alias("local")), "t")
+    x = calibrated_threshold(h, ["base"], "t", "value", "local", QS, 0.05, 9.0, 3, 2, 4, 2, 10_800.0)
+    return x.select("base", F.round("q", 3).alias("q"), r("threshold").alias("threshold"), r("far").alias("far"), F.round("episodes_30d", 5).alias("episodes_30d"), "met")
+
+
 @query("r19_typed_stream", f"WITH RECURSIVE {PHASES}, c AS (SELECT *, sum(CAST(value >= 54 AS INTEGER)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6 FROM h), xl AS (SELECT base, t, pos, value >= 54 AND c6 >= 2 AS want, c6 <= 1 AND value < 54 AS calm FROM c), {_latch('xl', 'base', 1, 6)} SELECT x.base, CAST(floor(epoch(x.t)) AS BIGINT) AS t, phase, closed, lat.fired AS cluster FROM f JOIN x ON x.base = f.base AND x.pos = f.pos JOIN lat ON lat.base = f.base AND lat.pos = f.pos")
 def r19_typed(spark: SparkSession, d: str) -> DataFrame:
     """Phases and cluster latch of a stream of files; a row a year on lets the watermark pass the last ones."""
