@@ -116,3 +116,36 @@ def alert_score(scores: list[tuple[Column, float]], families: Column) -> Column:
 def window_label(overlap_ratio: Column, event_label: Column, distance_hours: Column) -> Column:
     """1 where a window overlaps an anomaly by a tenth, 0 where it is a day away or the event is normal, else null."""
     return F.when((event_label == 1) & (overlap_ratio >= 0.10), 1).when((event_label == 1) & (overlap_ratio == 0) & (distance_hours >= 24), 0).when(event_label == 0, 0)
+
+
+#: What a detector's own score weighs in the alert score, by how far its evidence has come. Status counts at
+#: its first weight even without a confirmation.
+EVIDENCE_WEIGHTS = {
+    "short": {"candidate": 0.60, "confirmed": 0.70},
+    "cluster": {"candidate": 0.65, "confirmed": 0.90},
+    "persistent": {"candidate": 0.55, "confirmed": 0.95},
+    "localized": {"candidate": 0.55, "confirmed": 0.95},
+    "communication": {"candidate": 0.60, "confirmed": 0.98},
+    "trend": {"candidate": 0.58, "confirmed": 0.92},
+    "status": {"none": 0.65, "candidate": 0.65, "confirmed": 1.0},
+    "control": {"confirmed": 0.98},
+    "targeted": {"confirmed": 0.97},
+    "semantic": {"candidate": 0.55, "settled": 0.68, "confirmed": 0.96},
+}
+#: Two or more confirmed families of these count by themselves.
+FAMILY_START, FAMILY_STEP = 0.55, 0.20
+
+
+def weighted_alert_score(score: dict[str, Column], stage: dict[str, Column], families: Column) -> Column:
+    """The largest of the weighted scores of all detectors and of the bonus for several confirmed families, 0 at least.
+
+    ``stage`` tells for each detector how far its evidence has come (null: none), ``score`` its score; a detector that is
+    left out of ``score`` counts with 1.
+    """
+    terms = [F.lit(0.0), F.when(families >= 2, F.least(F.lit(1.0), FAMILY_START + FAMILY_STEP * families))]
+    for name, reached in stage.items():
+        at, weight = F.coalesce(reached, F.lit("none")), F.lit(0.0)
+        for level, w in EVIDENCE_WEIGHTS[name].items():
+            weight = F.when(at == level, F.lit(w)).otherwise(weight)
+        terms.append(weight * F.coalesce(score.get(name, F.lit(1.0)), F.lit(0.0)))
+    return F.greatest(*terms)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames, ranges, stats
 from ..operators.baselines import calibrated_threshold
+from ..operators.decisions import weighted_alert_score
 from ..operators.ml import neighbour_information
 from ..sources import writers
 from ..sources.shared import shared_folder
@@ -125,6 +126,27 @@ def m17_warnings(spark: SparkSession, d: str) -> DataFrame:
     return x.select("base", F.round("q", 3).alias("q"), r("threshold").alias("threshold"), r("far").alias("far"), F.round("episodes_30d", 5).alias("episodes_30d"), "met")
 
 
+ID = "event_id"
+RATES = {"short": 7, "cluster": 11, "persistent": 13, "localized": 17, "communication": 19, "trend": 23, "status": 5, "control": 29, "targeted": 31, "semantic": 3}
+
+
+@query(
+    "r18_weighted_score",
+    """WITH s AS (SELECT event_id AS i, least(1.0::DOUBLE, value / 120.0::DOUBLE) AS v FROM events), f AS (SELECT *, CAST(i % 7 = 2 AS INTEGER) + CAST(i % 11 = 2 AS INTEGER) + CAST(i % 13 = 2 AS INTEGER) + CAST(i % 17 = 2 AS INTEGER) AS k FROM s)
+SELECT i AS event_id, round(greatest(0, CASE i % 7 WHEN 1 THEN 0.60 * v WHEN 2 THEN 0.70 * v ELSE 0 END, CASE i % 11 WHEN 1 THEN 0.65 * v WHEN 2 THEN 0.90 * v ELSE 0 END, CASE i % 13 WHEN 1 THEN 0.55 * v WHEN 2 THEN 0.95 * v ELSE 0 END,
+CASE i % 17 WHEN 1 THEN 0.55 * v WHEN 2 THEN 0.95 * v ELSE 0 END, CASE i % 19 WHEN 1 THEN 0.60 WHEN 2 THEN 0.98 ELSE 0 END, CASE i % 23 WHEN 1 THEN 0.58 WHEN 2 THEN 0.92 ELSE 0 END, CASE WHEN i % 5 = 2 THEN v ELSE 0.65 * v END,
+CASE i % 29 WHEN 2 THEN 0.98 ELSE 0 END, CASE i % 31 WHEN 2 THEN 0.97 * v ELSE 0 END, CASE i % 3 WHEN 1 THEN 0.55 * v WHEN 2 THEN 0.96 * v ELSE 0 END, CASE WHEN k >= 2 THEN least(1, 0.55 + 0.20 * k) ELSE 0 END), 6) AS score FROM f""",
+)
+def r18_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """All terms of the alert score, on evidence that is made up from the event ids."""
+    e = events(spark, d, ID, "value")
+    v = F.least(F.lit(1.0), F.col("value") / 120.0)
+    stage = {n: F.when(F.col(ID) % m == 1, "candidate").when(F.col(ID) % m == 2, "confirmed") for n, m in RATES.items()}
+    families = sum(((F.col(ID) % RATES[n] == 2).cast("int") for n in ("short", "cluster", "persistent", "localized")), F.lit(0))
+    score = weighted_alert_score({n: v for n in ("short", "cluster", "persistent", "localized", "status", "targeted", "semantic")}, stage, families)
+    return e.select(ID, r(score).alias("score"))
+
+
 @query("r19_typed_stream", f"WITH RECURSIVE {PHASES}, c AS (SELECT *, sum(CAST(value >= 54 AS INTEGER)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6 FROM h), xl AS (SELECT base, t, pos, value >= 54 AND c6 >= 2 AS want, c6 <= 1 AND value < 54 AS calm FROM c), {_latch('xl', 'base', 1, 6)} SELECT x.base, CAST(floor(epoch(x.t)) AS BIGINT) AS t, phase, closed, lat.fired AS cluster FROM f JOIN x ON x.base = f.base AND x.pos = f.pos JOIN lat ON lat.base = f.base AND lat.pos = f.pos")
 def r19_typed(spark: SparkSession, d: str) -> DataFrame:
     """Phases and cluster latch of a stream of files; a row a year on lets the watermark pass the last ones."""
