@@ -31,16 +31,17 @@ def test_spaced_selection(spark):
 
 
 def test_replay_equals_a_plain_loop(spark):
-    got = {r["ts"]: r for r in catalog.QUERIES["r01_causal_replay"](spark, SF).collect()}
+    got = {(r["source"], r["ts"]): r for r in catalog.QUERIES["r01_causal_replay"](spark, SF).collect()}
     lay = replay.layout([f"{b}_{s}" for b in queries_streaming.BASES for s in queries_streaming.STATS], ["purchase_avg", "signup_avg", "view_avg"], {"shop": ["purchase", "signup"], "site": ["click", "view"], "faults": ["error"]})
-    state, seen = State(), 0
+    states, seen = {}, 0
     for r in queries_streaming._wide(spark, SF).orderBy("ts").collect():
+        state = states.setdefault(r["source"], State())
         x = np.array([r["values"].get(s, np.nan) for s in lay["signals"]], float)
         out = step(state, {"time": r["ts"].timestamp(), "status": r["status"], "x": x, **{k: lay[k] for k in ("bases", "power", "groups")}}, queries_streaming.CFG)
-        row = got[r["ts"]]
+        row = got[r["source"], r["ts"]]
         assert (row["state"], row["families"]) == (out["state"], out["families"]) and abs(row["score"] - out["score"]) < 1e-9
         seen += 1
-    assert seen == len(got) > 300
+    assert seen == len(got) > 300 and len(states) == 3
 
 
 def merged(episodes, gap):
