@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
