@@ -17,7 +17,7 @@ from vanewright.llm.toxicity import fit_toxicity, score_toxicity
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Rows of an Arrow batch: texts can be long, and a batch is held by the JVM and by its Python worker.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def _small_batches(spark: SparkSession) -> None:
