@@ -79,6 +79,12 @@ def r(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def scaled_round(c: Column) -> Column:
+    """Six decimals of a double as SQL engines round it: the scaled double is rounded. Spark's own ``round`` takes the
+    shortest decimal form instead, which differs where a product lies next to a tie."""
+    return F.round(c * 1e6, 0) / 1e6
+
+
 # The same as SQL, to stand behind WITH.
 GRID = "grid AS (SELECT date_trunc('hour', ts) AS t, event_type AS base, avg(value) AS avg, max(value) AS max, min(value) AS min, coalesce(stddev_samp(value), 0) AS std, count(*) AS n FROM events GROUP BY 1, 2)"
 LONG = GRID + ", long AS (SELECT t, base, 'avg' AS stat, avg AS value FROM grid UNION ALL SELECT t, base, 'max', max FROM grid UNION ALL SELECT t, base, 'min', min FROM grid UNION ALL SELECT t, base, 'std', std FROM grid)"

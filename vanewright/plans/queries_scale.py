@@ -15,7 +15,7 @@ from ..sources import writers
 from ..sources.shared import shared_folder
 from ..streaming.step import StreamConfig
 from ..streaming.typed import run_available
-from .fixtures import HOURLY, SPANS, WINDOWS, events, hourly, r, sec, spans, table, windows
+from .fixtures import HOURLY, SPANS, WINDOWS, events, hourly, r, scaled_round, sec, spans, table, windows
 from .queries_streaming import PHASES, W, _latch
 
 QUERIES: dict = {}
@@ -144,7 +144,7 @@ def r18_weighted(spark: SparkSession, d: str) -> DataFrame:
     stage = {n: F.when(F.col(ID) % m == 1, "candidate").when(F.col(ID) % m == 2, "confirmed") for n, m in RATES.items()}
     families = sum(((F.col(ID) % RATES[n] == 2).cast("int") for n in ("short", "cluster", "persistent", "localized")), F.lit(0))
     score = weighted_alert_score({n: v for n in ("short", "cluster", "persistent", "localized", "status", "targeted", "semantic")}, stage, families)
-    return e.select(ID, r(score).alias("score"))
+    return e.select(ID, scaled_round(score).alias("score"))
 
 
 @query("r19_typed_stream", f"WITH RECURSIVE {PHASES}, c AS (SELECT *, sum(CAST(value >= 54 AS INTEGER)) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6 FROM h), xl AS (SELECT base, t, pos, value >= 54 AND c6 >= 2 AS want, c6 <= 1 AND value < 54 AS calm FROM c), {_latch('xl', 'base', 1, 6)} SELECT x.base, CAST(floor(epoch(x.t)) AS BIGINT) AS t, phase, closed, lat.fired AS cluster FROM f JOIN x ON x.base = f.base AND x.pos = f.pos JOIN lat ON lat.base = f.base AND lat.pos = f.pos")
