@@ -5,7 +5,9 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import PROSE, empty, odd
@@ -81,6 +83,44 @@ def test_toxicity_long_text_leaves_the_sample_alone(spark):
     assert got == set(range(133))
 
 
+def test_toxicity_learns_from_every_labelled_text(spark):
+    """The toxic texts are those that come last in any hashed order of ids: a bounded sample of the rest has none."""
+    ids = spark.range(12_600).withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")))
+    rows = ids.select(F.col("id").alias("doc_id"), F.when(F.col("rank") > 12_100, 1).otherwise(0).alias("toxic")).withColumn("text", F.concat(F.when(F.col("toxic") == 1, "blarg ").otherwise("fine "), F.lit("word"), F.col("doc_id") % 50)).withColumn("lang", F.lit("en")).cache()
+    m = toxicity.fit_toxicity(rows, rows.select("doc_id", "toxic"))
+    assert m.fitted and m.prior == 500 / 12_600
+    some = spark.createDataFrame([(1, "blarg word7", "en"), (2, "fine word7", "en")], "doc_id long, text string, lang string")
+    assert [r["rejected"] for r in toxicity.score_toxicity(some, m).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_toxicity_learners_hold_each_text_once(spark):
+    rows = [(i, f"word{i} " * (500 if i % 20 == 0 else 3), "en") for i in range(140)] + [(1, "word1 " * 3, "en")] * 30 + [(1, "another", None), (2, None, "en"), (3, "", "en"), (None, "no id", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(130)] + [(1, 0), (135, None), (None, 1)], "doc_id long, toxic int")
+    want = collections.Counter((toxicity.tokens(t).tobytes(), d % 2, g) for d, t, g in {r for r in rows if r[0] is not None and r[0] < 130 and r[1] is not None})
+    for kw in ({}, {"learner_rows": 20}, {"learner_bytes": 5000}):
+        got = toxicity.learners_of(common.Scratch(spark, "test"), docs, labels, **kw).collect()
+        assert len(got) > (5 if kw else 0)
+        assert collections.Counter((x.astype(np.int16).tobytes(), y, g) for r in got for x, y, g in zip(toxicity._texts(r.asDict()), r["toxic"], r["langs"], strict=True)) == want
+
+
+def test_toxicity_average_weighs_each_row():
+    f = lambda w, v: (np.array(w, np.float64).tobytes(), np.array(v, np.float32).tobytes())
+    (w0, v0), (w1, v1) = f([1, 0], [2, 4, 9, 9]), f([3, 0], [6, 8, 5, 5])
+    out = toxicity._average((pa.scalar(7),), pa.table({"block": [7, 7], "learner": [1, 0], "weights": pa.array([w0, w1], pa.binary()), "values": pa.array([v0, v1], pa.binary())})).to_pylist()[0]
+    assert np.frombuffer(out["weights"]).tolist() == [4, 0] and np.frombuffer(out["values"], np.float32)[:2].tolist() == [5, 7]
+
+
+def test_toxicity_several_learners(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FAN", 2)
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(([f"blarg{rng.integers(0, 9)}"] if i % 4 == 0 else []) + [f"w{rng.integers(0, 300)}" for _ in range(10)]), "en", int(i % 4 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    m = toxicity.fit_toxicity(df, df.where("doc_id < 1600").select("doc_id", "toxic"), learner_rows=300)
+    held = toxicity.score_toxicity(df.where("doc_id >= 1600"), m).collect()
+    assert np.mean([(r["toxicity"] >= 0.3) == bool(r["toxic"]) for r in held]) >= 0.95
+
+
 def test_toxicity_fit_stops_by_the_held_back_loss(monkeypatch):
     losses = iter([0.5, 0.3, 0.2999, 0.2998, 0.1])
     monkeypatch.setattr(toxicity, "log_loss", lambda *a: next(losses))
