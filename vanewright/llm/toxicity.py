@@ -131,7 +131,9 @@ class TextCNN:
             rows, steps, base_grad = [], [], 0.0
             for i in order[at : at + self.batch]:
                 seq = self._padded(texts[i])
-                x = self.emb[seq].sum(axis=1)
+                x = self.emb[seq[:, 0]]
+                for part in range(1, PARTS):
+                    x += self.emb[seq[:, part]]
                 n = len(seq) - pad
                 places, pooled = [], []
                 for taps in self.taps:
@@ -152,9 +154,11 @@ class TextCNN:
                         grads[k][o] += x[p + o].T * dk
                         rows.append(seq[p + o].ravel())
                         steps.append(np.repeat((taps[o] * dk).T, PARTS, axis=0))
-            uniq, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-            ge = np.zeros((len(uniq), self.dim), np.float32)
-            np.add.at(ge, inverse, np.concatenate(steps))
+            flat = np.concatenate(rows)
+            by = np.argsort(flat, kind="stable")
+            starts = np.flatnonzero(np.diff(flat[by], prepend=-1))
+            uniq = flat[by[starts]]
+            ge = np.add.reduceat(np.concatenate(steps)[by], starts, axis=0)
             ge[uniq == self.buckets] = 0
             ge += 1e-3 * self.emb[uniq]
             memory[0][uniq] += ge * ge
