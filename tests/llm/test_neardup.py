@@ -169,3 +169,25 @@ def test_texts_of_a_common_pivot_are_copied(spark, monkeypatch):
     rows = [(i, " ".join(f"w{j}" for j in range(100)) + f" x{i}") for i in range(200)]
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
     assert set(got.values()) == {0}
+
+
+def test_closed_buckets_are_left_behind(spark, monkeypatch):
+    """What one component holds stays so: its rows are not joined again in later steps."""
+    monkeypatch.setattr(neardup, "DEALT", 0)
+    monkeypatch.setattr(neardup, "STAR_SHARE", 1e-9)
+    steps, plain = [], neardup.open_buckets
+
+    def seen(now):
+        some = plain(now)
+        steps.append([{r["key"] for r in x.select("key").distinct().collect()} for x in (now, some)])
+        return some if len(steps) == 1 else some.where("false")
+
+    monkeypatch.setattr(neardup, "open_buckets", seen)
+    rows = [(i, " ".join(f"y{j}" for j in range(240)) + " tail" * (i % 2)) for i in (2000, 2001)]
+    for i in range(30):
+        w = [f"w{j}" for j in range(240)]
+        w[8 * i + 4] = f"x{i}"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(w) + " tail")]
+    neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=97, bands=2).collect()
+    closed = steps[0][0] - steps[0][1]
+    assert len(steps) == 2 and closed and not steps[1][0] & closed

@@ -234,6 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         open_ = scratch.save(open_buckets(now), "open")
         if open_.isEmpty():
             break
+        buckets = open_.select("key", "band", "id", "common")  # a bucket within one component stays so
         rows = open_.join(lanes.select("id", "n"), "id")
         sizes = scratch.save(block_counts(rows), "sizes")
         if fine or sizes.where(crowding).isEmpty():
