@@ -29,6 +29,19 @@ def test_generations_of_the_cache():
     assert len(small.cache) + len(small.old) < 20
 
 
+def test_look_ups_do_not_go_over_the_cache():
+    class Held(dict):
+        def __iter__(self):
+            raise AssertionError("the whole cache was read")
+
+        keys = items = values = __iter__
+
+    encoder = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = encoder.encode(["one two three. four"])
+    encoder.cache, encoder.old = Held(encoder.cache), Held(encoder.cache)
+    assert encoder.encode(["one two three. four"]) == want and encoder._missing({" two", " five"}) == {" five"}
+
+
 def test_the_added_token_between_words():
     assert np.frombuffer(ENCODER.encode(["hello <|endoftext|> x"])[0], "<u4").tolist() == [31373, 220, 50256, 2124]
 

@@ -76,10 +76,11 @@ class ChunkEncoder:
 
     def _missing(self, keys: set[str]) -> set[str]:
         """Keys that neither generation holds; those of the older one are moved to the younger."""
-        keys = keys - self.cache.keys()
-        old = keys & self.old.keys()
-        self.cache.update(zip(old, map(self.old.__getitem__, old), strict=True))
-        return keys - old
+        cache, held = self.cache, self.old
+        keys = {k for k in keys if k not in cache}  # ``keys - cache.keys()`` would go over the whole cache
+        old = [k for k in keys if k in held]
+        cache.update(zip(old, map(held.__getitem__, old), strict=True))
+        return keys.difference(old)
 
     def _learn(self, new: set[str]) -> None:
         """Lines within a chunk, and words before a mark, are looked at by themselves: most chunks then need no new ids."""
