@@ -191,3 +191,17 @@ def test_closed_buckets_are_left_behind(spark, monkeypatch):
     neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=97, bands=2).collect()
     closed = steps[0][0] - steps[0][1]
     assert len(steps) == 2 and closed and not steps[1][0] & closed
+
+
+def test_bucket_rows_meet_components_once(spark, monkeypatch):
+    """Open buckets are found in a written table: it is read several times, and each reading would join all rows again."""
+    plans, plain = [], neardup.open_buckets
+
+    def seen(now):
+        plans.append(now._jdf.queryExecution().executedPlan().toString())
+        return plain(now)
+
+    monkeypatch.setattr(neardup, "open_buckets", seen)
+    rows = [(i, " ".join(f"w{j}" for j in range(100)) + f" x{i % 3}") for i in range(9)]
+    assert {r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()} == {0}
+    assert plans and not any("Join" in p for p in plans)

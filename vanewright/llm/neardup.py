@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     buckets, final, fine = buckets.drop("pivot"), comp, False
     crowding = F.expr(f"outer * (no + ni) + inner * no > {DEALT} * (outer + inner)")
     while True:
-        now = buckets.join(comp, "id", "left").select("key", "band", "id", "common", F.coalesce("component", "id").alias("c"))
+        # written, as it is read three times: each reading would join all rows again
+        now = scratch.save(buckets.join(comp, "id", "left").select("key", "band", "id", "common", F.coalesce("component", "id").alias("c")), "now")
         open_ = scratch.save(open_buckets(now), "open")
         if open_.isEmpty():
             break
