@@ -376,3 +376,19 @@ def test_divergence_is_zero_for_equal_histograms(spark):
     a = F.array(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))
     r = spark.range(1).select(quality.distance(a, a).alias("x"), quality.distance(F.array(F.lit(1).cast("bigint"), F.lit(0).cast("bigint")), F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("y")).first()
     assert r["x"] == 0 and math.isclose(r["y"], 1)
+
+
+def test_toxicity_takes_back_only_what_is_kept(spark):
+    """Scores are the same without the texts; the query's texts don't come back from Python, and go there in small batches."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = toxicity.TextCNN(fitted=True, thresholds={"en": 0.45})
+    slim, full = (toxicity.score_toxicity(docs, model, keep) for keep in (["doc_id"], None))
+    assert slim.columns == ["doc_id", "toxicity", "rejected"] and full.columns == [*docs.columns, "toxicity", "rejected"]
+    assert sorted(slim.collect()) == sorted(full.select(slim.columns).collect())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        plan = toxicity.op4_toxicity(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        made = next(x for x in plan.splitlines() if "MapInArrow" in x)
+        assert "text#" not in made.partition("[")[2].rpartition("[")[2] and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

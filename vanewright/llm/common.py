@@ -179,5 +179,17 @@ def join_keys(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(common, key).union(rows.join(common.select(*key), key, "left_anti").join(table.where("not common").hint("merge"), key))
 
 
+#: Rows of a batch of texts: texts can be long, and a batch is held by the JVM (by Parquet's reader and by Arrow) and by
+#: its Python worker.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are read, and handed to Python, in small batches; a smaller setting of the session stays."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

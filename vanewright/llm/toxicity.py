@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, crc_mod, hashes, mapped, read, write_bytes
+from .common import Scratch, crc_mod, hashes, mapped, read, small_batches, write_bytes
 
 BUCKETS = 1 << 15
 WIDTHS = (1, 2, 3)
@@ -423,14 +423,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learner_rows: int = LEARNER
     return model
 
 
-def score_toxicity(docs: DataFrame, model: TextCNN) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: TextCNN, keep: list[str] | None = None) -> DataFrame:
     """The documents with ``toxicity`` (0 to 1) and ``rejected`` (at or over the language's threshold) at the end.
 
     Null and empty texts are scored as one empty word. Rows are never dropped; a column of docs that has one of the
-    two names is replaced. Languages without a threshold of their own, and null, take 0.3.
+    two names is replaced. Languages without a threshold of their own, and null, take 0.3. ``keep`` names the columns of
+    docs to return, if not all: texts that nobody reads afterwards needn't come back from Python.
     """
     docs = docs.drop("toxicity", "rejected")
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    kept = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("toxicity", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     text_at = docs.columns.index("text")
     lang_at = docs.columns.index("lang") if "lang" in docs.columns else None
     # the model's size is fixed by its parameters: buckets * dim floats and the taps
@@ -443,14 +445,15 @@ def score_toxicity(docs: DataFrame, model: TextCNN) -> DataFrame:
             score = np.concatenate([m.scores([tokens(t) for t in batch.column(text_at).slice(at, 256).to_pylist()], table) for at in range(0, batch.num_rows, 256)])
             langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * batch.num_rows
             cut = np.array([m.thresholds.get(x, CUT) for x in langs])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(score >= cut)], [*batch.schema.names, "toxicity", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(score), pa.array(score >= cut)], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labels of three quarters of them."""
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = read(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
-    scored = score_toxicity(docs, fit_toxicity(docs, labels))
+    scored = score_toxicity(docs, fit_toxicity(docs, labels), ["doc_id"])
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= CUT).cast("int").alias("predicted"), "rejected")
