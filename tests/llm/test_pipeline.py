@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from tests.llm.fixtures import empty, odd
 from tests.llm.test_neardup import brute
+from vanewright.llm import common, packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,19 @@ def test_stages_on_odd_and_empty_rows(spark):
             assert ids.count(7) == 2 and ids.count(None) == 2 and 2 not in ids and 1 in ids and {4, 5, 6} <= set(ids)
     packed = cp.STAGES[-1][1](spark, rows, SF)
     assert packed.where("piece = 0").count() == 16 and cp.STAGES[-1][1](spark, none, SF).count() == 0
+
+
+def test_stages_hold_few_texts_at_once(spark, monkeypatch):
+    """Parquet's reader and Arrow take texts in small batches, and packing keeps a smaller cache than by itself."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(n) for n in names]
+    seen, plain = [], packing.tokenized
+    monkeypatch.setattr(packing, "tokenized", lambda *a: seen.append(a[-1]) or plain(*a))
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        cp.packing(spark, odd(spark), SF)
+        assert all(int(spark.conf.get(n)) <= common.BATCH_ROWS for n in names) and seen[0] < packing.CACHE_ENTRIES
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)

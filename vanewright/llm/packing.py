@@ -112,13 +112,13 @@ class ChunkEncoder:
         return [self.whole(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, split, strict=True)]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def _encoder(tokenizer_file: str) -> ChunkEncoder:
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = ChunkEncoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+def _encoder(tokenizer_file: str, entries: int) -> ChunkEncoder:
+    if (tokenizer_file, entries) not in _encoders:
+        _encoders[tokenizer_file, entries] = ChunkEncoder(tokenizer_file, entries)
+    return _encoders[tokenizer_file, entries]
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[int]:
@@ -129,12 +129,12 @@ def pieces_of(ids: bytes, capacity: int) -> list[int]:
     return [zlib.crc32(ids[a:b]) for a, b in itertools.pairwise(cuts)]
 
 
-def tokenized(docs: DataFrame, capacity: int, end_id: int, tokenizer_file: str) -> DataFrame:
+def tokenized(docs: DataFrame, capacity: int, end_id: int, tokenizer_file: str, entries: int = CACHE_ENTRIES) -> DataFrame:
     """(doc_id, n_tokens, crcs): the length with the end id and the checksum of each piece."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_file)
+        encoder = _encoder(tokenizer_file, entries)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # bounds what is held as chunks at once
                 part = batch.slice(at, 500)
@@ -192,21 +192,22 @@ def _two_for(left: np.ndarray, room: int, beaten: int) -> tuple[int, int] | None
     return (int(have[best]), int(other[best])) if sums[best] > beaten else None
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_file: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_file: str | None = None, entries: int = CACHE_ENTRIES) -> DataFrame:
     """Place every document's token pieces: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     A document's ids end with ``end_id``; a longer one than ``capacity`` is cut so that only its first piece can be
     short. Null or empty texts consist of the end id. Rows with the same doc_id are packed one by one; rows with a
     null doc_id too, and keep the null. An empty table gives an empty result. Further columns are ignored.
     ``tokenizer_file`` is a byte-level vocabulary of the ``tokenizers`` library (its path on every executor). The
-    string of one of its added tokens in a text has that token's id.
+    string of one of its added tokens in a text has that token's id. Fewer ``entries`` of a worker's cache of ids take
+    less memory and more time; the result is the same.
     """
     if tokenizer_file is None:
         import public_tokenizers
 
         tokenizer_file = public_tokenizers.path("byte_bpe_50k.json")
     scratch = Scratch(docs.sparkSession, "packing")
-    items = scratch.save(tokenized(docs, capacity, end_id, tokenizer_file), "items")
+    items = scratch.save(tokenized(docs, capacity, end_id, tokenizer_file, entries), "items")
     items = items.select("doc_id", "n_tokens", "crcs", (F.col("n_tokens") % capacity).cast("int").alias("tail"), F.floor(F.col("n_tokens") / capacity).alias("n_full"), F.pmod(F.xxhash64("doc_id", "n_tokens", "crcs"), F.lit(RANK_BUCKETS)).cast("int").alias("bucket"))
     groups = scratch.save(items.groupBy("tail", "bucket").agg(F.count("*").alias("g_rows"), F.sum("n_full").alias("g_full")), "groups")
     # at most `capacity` rows, whatever the input
