@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -42,6 +43,44 @@ def test_look_ups_do_not_go_over_the_cache():
     assert encoder.encode(["one two three. four"]) == want and encoder._missing({" two", " five"}) == {" five"}
 
 
+def test_plain_words_go_to_the_model_and_each_is_looked_up_once():
+    class Counted(dict):
+        seen = 0
+
+        def get(self, *key):
+            self.seen += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            self.seen += 1
+            return super().__getitem__(key)
+
+    encoder = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder._ids = lambda texts: [].index(texts)  # the whole way of the library
+    texts = ["Plain words, schöne Wörter;\nand 42 (more)..." + " again and again" * 100] * 3
+    want = np.array(PLAIN.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.encode(texts) == [want] * 3
+    encoder.cache = Counted(encoder.cache)
+    assert encoder.encode(texts) == [want] * 3 and encoder.cache.seen < 20
+
+
+PARTS = [*" \n\t.,'9#é×ÿȕɏɐßªµ²\x1c\x85\xa0\u2003\u2028\u3000\u1680\x00\u0301٣中\U0001f600", "ab", " the", "  ", "\n\n", "\r\n", "'s", " 'll", "<|endoftext|>", "Ab\nCd", "x.", "!?"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), max_size=5), st.sampled_from([1, 12, 4_000_000]))
+def test_texts_of_any_characters_equal_the_tokenizer(texts, slice_bytes):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "SLICE_BYTES", slice_bytes)
+        got = ENCODER.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_every_letter_and_symbol_is_cut_as_by_the_tokenizer():
+    texts = [f"a{c}b {c} {c}{c} 1{c}.\n{c}" for c in map(chr, range(0x3000)) if c.isprintable() or c.isspace()]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER.encode(texts)] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_the_added_token_between_words():
     assert np.frombuffer(ENCODER.encode(["hello <|endoftext|> x"])[0], "<u4").tolist() == [31373, 220, 50256, 2124]
 

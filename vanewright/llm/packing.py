@@ -11,13 +11,14 @@ third of all documents does not meet in one task.
 from __future__ import annotations
 
 import itertools
+import operator
 import os
 import re
 import sys
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +31,42 @@ CAPACITY = 1024
 END_ID = 2
 #: Chunks from which the cache of a worker begins a new generation; the one before is kept beside it.
 CACHE_ENTRIES = 800_000
-#: Marks that are tokens' own pre-tokens when they follow a letter.
-MARKS = ".,;:!?"
-_CUT = re.compile(r"(?= \S)")
-#: Spaces that are no place to cut.
-_SPACES = re.compile(r" (?:\s|\Z)")
+_ID = operator.attrgetter("id")
+#: UTF-8 bytes of texts that are cut, and whose ids are held, at once (a longer text goes alone).
+SLICE_BYTES = 4_000_000
+#: Bytes that may stand behind the blank before which a text is cut: those that begin no blank.
+_BEHIND = np.ones(256, bool)
+_BEHIND[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: The pre-tokens of a chunk of these characters. An apostrophe begins pre-tokens of its own (``'s``), and what is a letter
+#: further on depends on the library's Unicode tables: chunks with those are left to its own pre-tokenisation.
+_RUNS = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|\n(?=\S)")
 RANK_BUCKETS = 256
 
 
 class ChunkEncoder:
     """Byte-level BPE ids of whole texts by the ``tokenizers`` library, which sees each distinct chunk once.
 
-    In this vocabulary's pre-tokenisation a token never spans the place before a space with a non-blank behind it, and
-    what stands before that place is cut alike with and without what follows. So a text is the concatenation of the ids
-    of its chunks between such places, and those are cached. Texts that hold an added token's string (which has the id
-    of that token) are encoded whole. ``encode`` returns little-endian uint32.
+    In this vocabulary's pre-tokenisation a token never spans the place before a space or line end with a non-blank
+    behind it, and what stands before that place is cut alike with and without what follows. So a text is the
+    concatenation of the ids of its chunks between such places (or some of them). Each distinct chunk of some texts is
+    looked up once in a cache. A new chunk of plain characters is cut into its pre-tokens here and the library's model
+    gets those that are new: its way from a text to pre-tokens takes longer than the model. Texts that hold an added
+    token's string (which has the id of that token) are encoded whole. ``encode`` returns little-endian uint32.
     """
 
     def __init__(self, tokenizer_file: str, entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores out
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self.entries = entries
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self._newline = self._ids(["\n"])[0]
-        self._marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+        alphabet = ByteLevel.alphabet()  # printable bytes are their own characters, others follow from 256 on
+        others = iter(sorted(x for x in alphabet if ord(x) > 255))
+        self._names = {b: chr(b) if chr(b) in alphabet else next(others) for b in range(256)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = [array("I", x.ids) for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,47 +78,90 @@ class ChunkEncoder:
     def whole(self, text: str) -> bytes:
         return self._ids([text])[0]
 
-    def _chunks(self, text: str) -> list[str] | None:
-        if "\0" in text or any(x in text for x in self._added):
-            return None
-        return _CUT.split(text) if _SPACES.search(text) else text.replace(" ", "\0 ").split("\0")
-
-    def _missing(self, keys: set[str]) -> set[str]:
+    def _missing(self, keys: Iterable[str]) -> set[str]:
         """Keys that neither generation holds; those of the older one are moved to the younger."""
         cache, held = self.cache, self.old
-        keys = {k for k in keys if k not in cache}  # ``keys - cache.keys()`` would go over the whole cache
+        keys = [k for k in keys if k not in cache]  # a set less ``cache.keys()`` would go over the whole cache
         old = [k for k in keys if k in held]
         cache.update(zip(old, map(held.__getitem__, old), strict=True))
-        return keys.difference(old)
+        return set(keys).difference(old)
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        """Ids of single pre-tokens by the library's model, which takes a character for each byte."""
+        names, text = self._names, "\0".join(runs)
+        text = text.replace(" ", names[32]).replace("\n", names[10]).replace("\0", names[0]) if text.isascii() else text.encode().decode("latin-1").translate(names)
+        tokens = list(map(self._tokenizer.model.tokenize, text.split(names[0])))
+        ids = np.fromiter(map(_ID, itertools.chain.from_iterable(tokens)), "<u4").tobytes()
+        ends = itertools.accumulate(map(len, tokens), initial=0)
+        self.cache.update(zip(runs, [ids[4 * a : 4 * b] for a, b in itertools.pairwise(ends)], strict=True))
 
     def _learn(self, new: set[str]) -> None:
-        """Lines within a chunk, and words before a mark, are looked at by themselves: most chunks then need no new ids."""
-        cache, marks = self.cache, self._marks
-        marked = lambda x: x[-1:] in marks and x[-2:-1].isalpha()
-        alone, made = set(), []
+        cache, single, made, other = self.cache, set(), [], []
         for c in new:
-            lines = [c]
-            if "\n" in c:
-                cut = c.split("\n")
-                if all(x and not x[-1].isspace() for x in cut) and not any(x[0].isspace() for x in cut[1:]):
-                    lines = cut
-            if len(lines) > 1 or marked(c):
-                made.append((c, lines))
-            for x in lines:
-                alone.add(x[:-1] if marked(x) else x)
-        items = list(self._missing(alone))
-        for at in range(0, len(items), 10_000):
-            cache.update(zip(part := items[at : at + 10_000], self._ids(part), strict=True))
-        for c, lines in made:
-            cache[c] = self._newline.join([cache[x[:-1]] + marks[x[-1]] if marked(x) else cache[x] for x in lines])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._chunks(t) for t in texts]
+            if c.isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()):
+                single.add(c)
+            elif "".join(runs := _RUNS.findall(c)) == c:
+                single.update(runs)
+                made.append((c, runs))
+            else:
+                other.append(c)
+        runs = list(self._missing(single))
+        for at in range(0, len(runs), 1000):
+            self._learn_runs(runs[at : at + 1000])
+        for c, runs in made:
+            cache[c] = b"".join([cache[x] for x in runs])
+        if other:
+            cache.update(zip(other, self._ids(other), strict=True))
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
         if len(self.cache) > self.entries:
             self.old, self.cache = self.cache, {}
-        self._learn(self._missing(set(itertools.chain.from_iterable(x for x in split if x is not None))))
-        get = self.cache.__getitem__
-        return [self.whole(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, split, strict=True)]
+        ids = list(map(self.cache.get, chunks))
+        if holes := list(itertools.compress(itertools.count(), map(operator.not_, ids))):
+            self._learn(self._missing([chunks[i] for i in holes]))
+            for i in holes:
+                ids[i] = self.cache[chunks[i]]
+        return ids
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        ends = np.cumsum([len(t) for t in texts])
+        if not ends[-1]:
+            return [b""] * len(texts)
+        data = b"".join(texts)
+        seen = np.frombuffer(data, np.uint8)
+        first = np.zeros(len(seen), bool)
+        first[:-1] = ((seen == 0x20) | (seen == 0x0A))[:-1] & _BEHIND[seen[1:]]
+        first[ends[ends > 0] - 1] = False  # a blank at a text's end; what follows is another text
+        bounds = np.concatenate([[0], ends])
+        first[bounds[bounds < len(seen)]] = True
+        starts = np.flatnonzero(first)
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(seen))), pa.py_buffer(data)).dictionary_encode()
+
+        ids = self._look_up(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())  # ``to_pylist`` is slower
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        which = chunks.indices.to_numpy()
+        n = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        # the ids of each chunk's place, one after another
+        out = flat[np.arange(upto[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], n)].tobytes()
+        cuts = 4 * upto[np.searchsorted(starts, bounds)]
+        return [out[a:b] for a, b in itertools.pairwise(cuts.tolist())]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i: self.whole(t) for i, t in enumerate(texts) if any(x in t for x in self._added)}
+        parts, size = [[]], 0
+        for i, t in enumerate(texts):
+            t = b"" if i in whole else t.encode()
+            if parts[-1] and size + len(t) > SLICE_BYTES:
+                parts.append([])
+                size = 0
+            parts[-1].append(t)
+            size += len(t)
+        out = [ids for part in parts if part for ids in self._encode(part)]
+        for i, ids in whole.items():
+            out[i] = ids
+        return out
 
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
@@ -136,8 +188,8 @@ def tokenized(docs: DataFrame, capacity: int, end_id: int, tokenizer_file: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file, entries)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # bounds what is held as chunks at once
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2000):  # bounds what is held as texts and ids at once
+                part = batch.slice(at, 2000)
                 ids = [x + end for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pieces_of(x, capacity) for x in ids], pa.list_(pa.int64()))], ["doc_id", "n_tokens", "crcs"])
 
