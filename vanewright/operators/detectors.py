@@ -106,17 +106,19 @@ def flag_segments(df: DataFrame, flag: str, key: Sequence[str], order: str, scor
     return seg.withColumn("segment", F.row_number().over(keyed(key, ["first"]))).drop("_i")
 
 
-def confidence(detector: Column, power: Column, count: Column, least: Column, overlap: Column, core: Column, strength: Column, fraction: Column, threshold: Column, strength_threshold: Column, overlap_least: float = 0.4) -> Column:
+def confidence(detector: Column, power: Column, count: Column, least: Column, overlap: Column, core: Column, strength: Column, fraction: Column, threshold: Column, strength_threshold: Column, overlap_least: float = 0.4, overlap_high: float = 0.60) -> Column:
     """Bands of a segment's confidence, one rule for each detector.
 
     Short stops: full power evidence (dip, recovery and both within the window). Clusters: the largest count against
     the least count. Localized: mean overlap, stable core against ``threshold``, and strength. Others: the largest
-    smoothed fraction against ``threshold``.
+    smoothed fraction against ``threshold``. Multiples of a threshold are decimal: 1.5 times 0.4 is 0.6, where the product
+    of the doubles lies next to it.
     """
+    times = lambda factor, c: F.round(factor * c, 12)
     short = F.when(power, "Very High").otherwise("High")
     cluster = F.when(count >= 2.0 * least, "High").when(count >= 1.5 * least, "Medium-High").otherwise("Medium")
-    local = F.when((overlap >= 0.60) & (core >= 1.25 * threshold) & (strength >= 1.5 * strength_threshold), "High").when(overlap >= overlap_least, "Medium-High").otherwise("Medium")
-    other = F.when(fraction >= 1.5 * threshold, "High").when(fraction >= 1.2 * threshold, "Medium-High").otherwise("Medium")
+    local = F.when((overlap >= overlap_high) & (core >= times(1.25, threshold)) & (strength >= times(1.5, strength_threshold)), "High").when(overlap >= overlap_least, "Medium-High").otherwise("Medium")
+    other = F.when(fraction >= times(1.5, threshold), "High").when(fraction >= times(1.2, threshold), "Medium-High").otherwise("Medium")
     return F.when(detector == "short_standstill", short).when(detector == "intermittent_cluster", cluster).when(detector == "localized_persistent_subsystem_state", local).otherwise(other)
 
 

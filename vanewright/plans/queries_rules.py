@@ -180,9 +180,10 @@ KINDS = ("short_standstill", "intermittent_cluster", "localized_persistent_subsy
 
 @query("d07_confidence", f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 3 = 0 THEN 'Very High' ELSE 'High' END WHEN 1 THEN CASE WHEN event_id % 9 >= 4 THEN 'High' WHEN event_id % 9 >= 3 THEN 'Medium-High' ELSE 'Medium' END WHEN 2 THEN CASE WHEN value >= 60 AND event_id % 9 >= 5 AND event_id % 14 >= 12 THEN 'High' WHEN value >= 40 THEN 'Medium-High' ELSE 'Medium' END ELSE CASE WHEN value / 100 >= 0.6 THEN 'High' WHEN value / 100 >= 0.48 THEN 'Medium-High' ELSE 'Medium' END END AS band FROM events")
 def d07(spark: SparkSession, d: str) -> DataFrame:
-    i, v = F.col("event_id"), F.col("value") / 100
+    i, v = F.col("event_id"), F.col("value")
     local = i % 4 == 2
-    band = detectors.confidence(_pick(KINDS, i % 4), i % 3 == 0, i % 9, F.lit(2), v, i % 9, i % 14, v, F.when(local, 4.0).otherwise(0.4), F.lit(8.0))
+    # overlaps are in per cent, as the SQL has them
+    band = detectors.confidence(_pick(KINDS, i % 4), i % 3 == 0, i % 9, F.lit(2), v, i % 9, i % 14, v / 100, F.when(local, 4.0).otherwise(0.4), F.lit(8.0), 40.0, 60.0)
     return events(spark, d, "event_id", "value").select("event_id", band.alias("band"))
 
 
