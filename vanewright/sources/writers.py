@@ -89,9 +89,11 @@ def write_graph(edges: DataFrame, path: str) -> None:
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, key: str) -> None:
-    """The tables of events, each partitioned by the event's key."""
+    """The tables of events, each dealt by the event's key and sorted by it: a filter on the key passes over the pages of
+    other events. Files follow from the tables' sizes; a folder for each event would be at least a file for each, which
+    takes far longer than the rows, and would read keys back as other types."""
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy(key).parquet(f"{path}/{name}")
+        df.hint("rebalance", key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str, aggregate: str = "figures") -> DataFrame:
