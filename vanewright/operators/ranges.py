@@ -97,6 +97,19 @@ def nearest_hours(left: DataFrame, right: DataFrame, key: Sequence[str], l_range
     return x.select(*key, *ids, F.least(F.when(F.col("_reach").isNotNull(), back), hours_between(F.col("_t"), F.col("_next"))).alias("nearest_hours"))
 
 
+def touched(left: DataFrame, right: DataFrame, key: Sequence[str], l_range: tuple[str, str], r_range: tuple[str, str], ids: Sequence[str], marks: dict[str, Column], rows: int | None = None) -> DataFrame:
+    """(ids, marks) of left rows: whether a right interval of the key for which the mark's condition holds overlaps or
+    touches. Of those that start up to a left one's end only the latest end matters, so nothing is joined on time: rows
+    stay linear. Right intervals with one start are one row."""
+    (l0, l1), (r0, r1) = l_range, r_range
+    known = right.where(" and ".join(f"`{c}` is not null" for c in (*key, r0)))
+    ends = known.groupBy(*key, F.col(r0).alias("_t")).agg(*(F.max(F.when(c, F.col(r1))).alias(f"_end_{m}") for m, c in marks.items()))
+    both = left.select(*key, *ids, F.col(l1).alias("_t"), F.lit(1).alias("_side"), F.col(l0).alias("_from")).unionByName(ends.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    order = ["_t", "_side", *ids]
+    x = _around(ranged(stored(both, "touched"), key, order, rows), key, order, {f"_reach_{m}": F.col(f"_end_{m}") for m in marks}, {}).where("_side = 1")
+    return x.select(*ids, *(F.coalesce(F.col(f"_reach_{m}") >= F.col("_from"), F.lit(False)).alias(m) for m in marks))
+
+
 def _place(bounds: str, at: Column) -> Column:
     """The number of the last of the sorted ``bounds`` that isn't behind ``at``, 0 before all: a binary search."""
     steps = F.array(*(F.lit(1 << i) for i in range(16, -1, -1)))

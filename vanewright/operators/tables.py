@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import consensus, divide, hours_between, overlap_hours
-from .intervals import clip, merge, overlap_join
+from ..sources.shared import stored
+from .intervals import bucketed_overlap, clip, merge, overlap_join
+from .ranges import attach, touched
 
 
 def event_hours(windows: DataFrame, segments: DataFrame, key: Sequence[str], ids: str, gap_seconds: float = 0.0) -> DataFrame:
@@ -119,15 +122,29 @@ def power_signature(df: DataFrame, key: Sequence[str], order: str, value: str, n
     return df.withColumns({"local_dip": mid - v, "previous_drop": F.lag(v).over(w) - v, "next_recovery": F.lead(v).over(w) - v, "range_change": spread(after) - spread(before), "std_change": F.stddev_pop(v).over(after) - F.stddev_pop(v).over(before)})
 
 
-def scoped(rows: DataFrame, farm: str, source: str, wanted: Column, wanted_farm: Column, ids: Sequence[str]) -> DataFrame:
-    """Rows joined to what wants them, scoped to the same farm if any row of it matches, then to the same source; rows
-    without a source at all stay where no row has one."""
-    w = Window.partitionBy(*ids)
-    same = F.col(farm) == wanted_farm
-    any_farm = F.max(same.cast("int")).over(w) == 1
-    left = rows.withColumn("_keep", F.when(any_farm, same).otherwise(F.lit(True))).where("_keep")
-    any_source = F.max((F.col(source) != "").cast("int")).over(w) == 1
-    return left.withColumn("_keep", F.when(any_source, F.col(source) == wanted).otherwise(F.lit(True))).where("_keep").drop("_keep")
+def scoped_overlap(left: DataFrame, right: DataFrame, key: Sequence[str], l_range: tuple[str, str], r_range: tuple[str, str], farm: str, source: str, wanted: Column, wanted_farm: Column, ids: Sequence[str], bucket_seconds: int) -> DataFrame:
+    """Pairs of the closed overlap join, scoped by ``ids`` of the left: to the same farm if any pair matches it, then to
+    the same source; pairs without a source at all stay where none has one.
+
+    Which scope holds is found out first, by sweeps that make no pairs (``touched``); the farm and the source then are
+    part of the join's equality, so only pairs that stay are made.
+    """
+    named = F.col(source) != ""
+    of_farm = left.select(*key, *ids, *l_range, wanted_farm.alias(farm))
+    scope = touched(of_farm, right, [*key, farm], l_range, r_range, ids, {"_farm": F.lit(True), "_named": named})
+    scope = stored(scope.groupBy(*ids).agg(F.bool_or("_farm").alias("_farm"), F.bool_or("_named").alias("_named")), "scope")
+    strange = scope.where("not _farm").select(*ids)
+    if not strange.isEmpty():
+        others = touched(attach(left, strange, ids), right, key, l_range, r_range, ids, {"_any": named}).groupBy(*ids).agg(F.bool_or("_any").alias("_any"))
+        scope = stored(attach(scope, others, ids, "left").select(*ids, "_farm", F.when(F.col("_farm"), F.col("_named")).otherwise(F.col("_any")).alias("_named")), "scope")
+    kinds = [tuple(r) for r in scope.select("_farm", "_named").distinct().collect()] or [(True, True)]  # four at most
+    parts = []
+    for in_farm, with_source in kinds:
+        own = ({farm: wanted_farm} if in_farm else {}) | ({source: wanted} if with_source else {})
+        l = attach(left, scope.where((F.col("_farm") == in_farm) & (F.col("_named") == with_source)).select(*ids), ids).withColumns(own)
+        r = right if with_source else right.where(F.coalesce(~named, F.lit(True)))
+        parts.append(bucketed_overlap(l, r, [*key, *own], l_range, r_range, bucket_seconds).select(*left.columns, *(c for c in right.columns if c not in key)))
+    return reduce(DataFrame.union, parts)
 
 
 def overlap_share(s: Column, e: Column, a: Column, z: Column) -> Column:

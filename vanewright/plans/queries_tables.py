@@ -67,8 +67,7 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
 def j12(spark: SparkSession, d: str) -> DataFrame:
     w = windows(spark, d).select("w_id", F.col("user_id").alias("wu"), (F.col("user_id") % 8).alias("k"), "w_start", (F.col("w_start") + F.expr("interval 6 hours")).alias("w_6"))
     s = spans(spark, d).select("event_id", (F.col("user_id") % 8).alias("k"), (F.col("user_id") % 4).cast("string").alias("farm"), F.when(F.col("user_id") % 3 == 0, "").otherwise(F.col("user_id").cast("string")).alias("source"), "start", "end")
-    j = intervals.overlap_join(w, s, ["k"], ("w_start", "w_6"), ("start", "end"))
-    return tables.scoped(j, "farm", "source", F.col("wu").cast("string"), (F.col("wu") % 4).cast("string"), ["w_id"]).select("w_id", "event_id")
+    return tables.scoped_overlap(w, s, ["k"], ("w_start", "w_6"), ("start", "end"), "farm", "source", F.col("wu").cast("string"), (F.col("wu") % 4).cast("string"), ["w_id"], 86_400).select("w_id", "event_id")
 
 
 DRAWS = """u AS (SELECT *, (CAST('0x' || substr(md5('0:' || resample || ':' || doc_id), 1, 10) AS BIGINT) + 0.5::DOUBLE) / 1099511627776.0::DOUBLE AS u FROM wide, (SELECT unnest(generate_series(1, 1000)) AS resample)),
